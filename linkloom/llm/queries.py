@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from linkloom.llm import cutoff, topn
+from linkloom.llm import cutoff, encoding, packing, topn
 from linkloom.llm.scores import COUNTING_SQL
 
 QUERIES = {
     "p1_found": cutoff.p1_found,
     "p3_found": topn.p3_found,
+    "p8_ids": encoding.p8_ids,
+    "p9_containers": packing.p9_containers,
 }
 
 ORACLE = {
