@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from linkloom.llm import cutoff, encoding, packing, topn
+from linkloom.llm import cutoff, encoding, packing, stuffing, topn
 from linkloom.llm.scores import COUNTING_SQL
 
 QUERIES = {
@@ -10,6 +10,7 @@ QUERIES = {
     "p3_found": topn.p3_found,
     "p8_ids": encoding.p8_ids,
     "p9_containers": packing.p9_containers,
+    "p10_found": stuffing.p10_found,
 }
 
 ORACLE = {
