@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from linkloom.llm import cutoff, encoding, packing, stuffing, topn
+from linkloom.llm import cutoff, encoding, lookalike, packing, stuffing, topn
 from linkloom.llm.scores import COUNTING_SQL
 
 QUERIES = {
     "p1_found": cutoff.p1_found,
     "p3_found": topn.p3_found,
+    "p5_found": lookalike.p5_found,
     "p8_ids": encoding.p8_ids,
     "p9_containers": packing.p9_containers,
     "p10_found": stuffing.p10_found,
