@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -20,11 +19,10 @@ def _encoder(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = transducer(path)
         for batch in batches:
-            tokens = [machine.chunks(t) if t else [] for t in batch.column("text").to_pylist()]
-            sizes = [sum(map(len, t)) for t in tokens]
-            ids = np.fromiter(chain.from_iterable(chain.from_iterable(tokens)), np.int32, sum(sizes))
-            ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.ListArray.from_arrays(pa.array(ends), pa.array(ids))], names=["doc_id", "ids"])
+            packed = [machine.packed(t) for t in batch.column("text").to_pylist()]
+            ends = np.cumsum([0, *map(len, packed)], dtype=np.int64) // 4
+            ids = np.frombuffer(b"".join(packed), np.int32)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids))], names=["doc_id", "ids"])
 
     return run
 
