@@ -83,7 +83,7 @@ def rank_curves(documents: DataFrame) -> DataFrame:
 
     The curve's points are the ranks at which the frequency falls: ``rank`` is the running count of words down to
     a frequency, a window over the page's frequencies. ``slope`` and ``residual`` are those of the least-squares line of
-    ln f over ln rank; ``level`` is ln v / ln n, the curve's height. The divergence is that of the shares of function words and
+    ln f over ln rank; ``level`` is where the curve ends, ln of its last rank, relative to ln of the words under it. The divergence is that of the shares of function words and
     other words from the pooled shares of all pages of the same language and power of two of words, or of the whole language
     where pages of that length are poorer in function words (short pages are seldom prose). Whole texts of all pages count.
     """
@@ -93,14 +93,14 @@ def rank_curves(documents: DataFrame) -> DataFrame:
     curves = spark.sql(
         """
         with points as (
-          select doc_id, ln(f) as y, ln(sum(v) over (partition by doc_id order by f desc)) as x
-          from (select doc_id, inline(spectrum) from {pages} where n >= {least})
+          select doc_id, f * v as words, ln(f) as y, sum(v) over (partition by doc_id order by f desc) as place
+          from (select doc_id, inline(spectrum) from {pages} where v > 0)
         )
-        select doc_id, regr_slope(y, x) as slope, sqrt(greatest(0, regr_syy(y, x) - coalesce(try_divide(regr_sxy(y, x) * regr_sxy(y, x), regr_sxx(y, x)), 0)) / count(*)) as residual
+        select doc_id, regr_slope(y, ln(place)) as slope, max(ln(place)) / ln(greatest(2, sum(words))) as level,
+          sqrt(greatest(0, regr_syy(y, ln(place)) - coalesce(try_divide(regr_sxy(y, ln(place)) * regr_sxy(y, ln(place)), regr_sxx(y, ln(place))), 0)) / count(*)) as residual
         from points group by doc_id
         """,
         pages=pages,
-        least=LEAST_WORDS,
     )
     sized = pages.drop("spectrum").withColumn("size", F.floor(F.log2(F.greatest(F.col("n"), F.lit(1)))))
     cells = sized.groupBy("lang", "size").agg(F.sum("function").alias("function"), F.sum("n").alias("n"))
@@ -112,7 +112,6 @@ def rank_curves(documents: DataFrame) -> DataFrame:
         .join(curves, "doc_id", "left")
         .withColumn("share", share)
         .withColumn("divergence", F.when(F.col("share") < F.col("usual"), F.col("share") * F.log(F.col("share") / F.col("usual")) + (1 - F.col("share")) * F.log((1 - F.col("share")) / (1 - F.col("usual")))).otherwise(0.0))
-        .withColumn("level", F.when(F.col("n") > 1, F.log(F.greatest(F.col("v"), F.lit(1))) / F.log("n")))
     )
 
 
@@ -124,6 +123,7 @@ def stuffed_pages(documents: DataFrame) -> DataFrame:
     is one if its curve is extremely low: sentences made of one phrase. Null, empty and blank texts, stubs, and tables of
     numbers have too few words for a curve and no links, and are none. Each row is judged by itself, so copies come out alike.
     """
+    # a curve that ends early: at 30 words below 0.80 of their logarithm, less with every power of ten
     low = F.lit(0.80) - 0.06 * F.log10(F.col("n") / 30)
     words = F.col("n") >= LEAST_WORDS
     far = F.col("divergence") >= NO_PROSE
