@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from linkloom.llm import cutoff, encoding, lookalike, names, packing, stuffing, topn
+from linkloom.llm import addresses, cutoff, encoding, lookalike, names, packing, stuffing, topn
 from linkloom.llm.scores import COUNTING_SQL
 
 QUERIES = {
     "p1_found": cutoff.p1_found,
     "p2_found": names.p2_found,
     "p3_found": topn.p3_found,
+    "p4_found": addresses.p4_found,
     "p5_found": lookalike.p5_found,
     "p8_ids": encoding.p8_ids,
     "p9_containers": packing.p9_containers,
