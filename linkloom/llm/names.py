@@ -246,18 +246,22 @@ def name_forms(names: DataFrame) -> DataFrame:
     )
 
 
-def agreeing(a: str = "a", b: str = "b"):
-    """Whether two forms of one key are one name: what both state must agree."""
-    col = lambda side, c: F.col(f"{side}.{c}")
-    either = lambda c: (col(a, c) == "") | (col(b, c) == "") | (col(a, c) == col(b, c))
-    trades = (F.size(col(a, "trades")) == 0) | (F.size(col(b, "trades")) == 0) | F.arrays_overlap(col(a, "trades"), col(b, "trades"))
+def agreeing(a, b):
+    """Whether two forms of one key are one name: what both state must agree. ``a`` and ``b`` give a form's column by name."""
+    either = lambda c: (a(c) == "") | (b(c) == "") | (a(c) == b(c))
+    trades = (F.size(a("trades")) == 0) | (F.size(b("trades")) == 0) | F.arrays_overlap(a("trades"), b("trades"))
     # a first name against an initial agrees by the key; two full names must be one
-    full = lambda side: F.exists(col(side, "firsts"), lambda x: F.length(x) > 1)
-    firsts = ~(full(a) & full(b)) | F.arrays_overlap(col(a, "firsts"), col(b, "firsts"))
-    person = (col(a, "kind") == "f") | ((F.size(col(a, "firsts")) > 0) & (F.size(col(b, "firsts")) > 0))
+    full = lambda side: F.exists(side("firsts"), lambda x: F.length(x) > 1)
+    firsts = ~(full(a) & full(b)) | F.arrays_overlap(a("firsts"), b("firsts"))
+    person = (a("kind") == "f") | ((F.size(a("firsts")) > 0) & (F.size(b("firsts")) > 0))
     return either("lead") & either("middle") & trades & firsts & person
 
 
+def side(alias: str):
+    """Columns of a joined side by name."""
+    return lambda c: F.col(f"{alias}.{c}")
+
+
 #: Names of one key that one task joins; larger keys are salted.
 NAMES_A_PART = 500
 
@@ -273,7 +277,7 @@ def name_links(names: DataFrame) -> DataFrame:
     a = forms.withColumn("part", F.pmod(F.xxhash64("value"), F.col("parts")).cast("int")).alias("a")
     b = forms.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).alias("b")
     joined = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.part") == F.col("b.part")) & (F.col("a.value") < F.col("b.value")))
-    return joined.where(agreeing()).groupBy(F.col("a.value").alias("value_a"), F.col("b.value").alias("value_b")).agg(F.max(F.col("a.rarity") * F.col("b.rarity")).alias("rarity"))
+    return joined.where(agreeing(side("a"), side("b"))).groupBy(F.col("a.value").alias("value_a"), F.col("b.value").alias("value_b")).agg(F.max(F.col("a.rarity") * F.col("b.rarity")).alias("rarity"))
 
 
 def once(records: DataFrame, column: str) -> DataFrame:
