@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from linkloom.llm import addresses, cutoff, encoding, lookalike, matching, names, packing, stuffing, topn
+from linkloom.llm import addresses, cutoff, encoding, lookalike, matching, names, neighbours, packing, stuffing, topn
 from linkloom.llm.scores import COUNTING_SQL
 
 QUERIES = {
@@ -11,6 +11,7 @@ QUERIES = {
     "p3_found": topn.p3_found,
     "p4_found": addresses.p4_found,
     "p5_found": lookalike.p5_found,
+    "p6_found": neighbours.p6_found,
     "p7_found": matching.p7_found,
     "p8_ids": encoding.p8_ids,
     "p9_containers": packing.p9_containers,
