@@ -14,7 +14,7 @@ from functools import lru_cache
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from linkloom.llm.plain import heard, near, plain, rewritings, spellings
+from linkloom.llm.plain import Lexicon, heard, plain, rewritings, spellings
 from linkloom.runtime import materialise, table
 
 #: Words of legal forms, after dots are dropped and single letters joined.
@@ -49,9 +49,18 @@ _FORMAL: dict[str, tuple[str, ...]] = {}
 for _formal, _short in NICKNAMES.items():
     for _name in [_formal, *_short.split()]:
         _FORMAL[_name] = (*_FORMAL.get(_name, ()), _formal)
-_TRADE_WORDS = {heard(w): (trade, w) for trade, words in TRADES.items() for w in words.split()}
+_TRADE_WORDS = [(trade, w) for trade, words in TRADES.items() for w in words.split()]
+_LEXICONS = {
+    "trade": Lexicon({w: trade for trade, w in _TRADE_WORDS}, 5, 9),
+    "legal": Lexicon({w: w for w in LEGAL}, 6, 8),
+    "lead": Lexicon({w: w for w in LEADS}, 5, 8),
+    "beside": Lexicon({w: w for w in BESIDE}, 6),
+    "shop": Lexicon({w: w for w in SHOPS}, 6),
+    "first": Lexicon({w: w for w in NICKNAMES if len(w) >= 6}, 6),
+}
 _OTHER_NAME = re.compile(r"\b(?:d[/. ]?b[/. ]?a|f[/. ]?k[/. ]?a|a[/. ]?k[/. ]?a|t/a|trading as|doing business as|formerly(?: known as)?|also known as)\b\.?")
 _TOKENS = re.compile(r"[a-z]+|\d+")
+_CUT = re.compile(r"\b([a-z]+)\.")
 _SYLLABLES = re.compile(r"(?:[b-df-hj-np-tv-z]{1,2}[aeiou]){3,}")
 _FIRM_FROM = 4
 
@@ -59,23 +68,15 @@ _FIRM_FROM = 4
 @lru_cache(maxsize=200_000)
 def trades_of(token: str) -> tuple[str, ...]:
     """Trades that a token may name: in full, misspelt, cut short, or with letters left out."""
-    folded = heard(token)
-    if folded in _TRADE_WORDS:
-        return (_TRADE_WORDS[folded][0],)
-    if len(folded) >= 5:
-        close = {t for w, (t, _) in _TRADE_WORDS.items() if near(w, folded) or (len(w) >= 9 and len(folded) >= 7 and _within_two(w, folded))}
-        if close:
-            return tuple(sorted(close))
-    if len(token) < 2 or len(token) > 9 or _SYLLABLES.fullmatch(token):
+    syllables = bool(_SYLLABLES.fullmatch(token))
+    if named := _LEXICONS["trade"].find(token, syllables):
+        return tuple(sorted(set(named)))
+    if len(token) < 3 or len(token) > 9 or syllables:
         return ()
-    cut = {t for t, w in _TRADE_WORDS.values() if len(token) >= 3 and w.startswith(token)}
+    cut = {t for t, w in _TRADE_WORDS if w.startswith(token)}
     if cut:
         return tuple(sorted(cut))
-    return tuple(sorted({t for t, w in _TRADE_WORDS.values() if len(token) >= 3 and w[0] == token[0] and _left_out(token, w)}))
-
-
-def _within_two(a: str, b: str) -> bool:
-    return any(near(a, b[:i] + b[i + 1 :]) for i in range(len(b))) or any(near(a[:i] + a[i + 1 :], b) for i in range(len(a)))
+    return tuple(sorted({t for t, w in _TRADE_WORDS if w[0] == token[0] and _left_out(token, w)}))
 
 
 def _left_out(token: str, word: str) -> bool:
@@ -94,12 +95,7 @@ def _left_out(token: str, word: str) -> bool:
 @lru_cache(maxsize=100_000)
 def _known(token: str, which: str) -> str | None:
     """The word of a list that ``token`` is, or of which it is a slight misspelling."""
-    words = {"legal": LEGAL, "lead": LEADS, "beside": BESIDE, "shop": SHOPS}[which]
-    if token in words:
-        return token
-    folded = heard(token)
-    least = 5 if which == "lead" else 6
-    return next((w for w in words if (len(w) >= least and len(token) >= least and near(heard(w), folded)) or (len(w) >= 8 and _within_two(heard(w), folded))), None)
+    return next(iter(_LEXICONS[which].find(token, bool(_SYLLABLES.fullmatch(token)))), None)
 
 
 @lru_cache(maxsize=100_000)
@@ -108,7 +104,7 @@ def formal_names(token: str) -> tuple[str, ...]:
     if token in _FORMAL:
         return _FORMAL[token]
     if len(token) >= 6 and not _SYLLABLES.fullmatch(token):
-        return tuple(f for f in NICKNAMES if len(f) >= 6 and near(heard(f), heard(token)))
+        return tuple(_LEXICONS["first"].find(token))
     return ()
 
 
@@ -148,7 +144,7 @@ def _part(text: str) -> list[dict]:
     text = re.sub(r"(?<=\b[a-z])\.(?=[a-z]\b)", "", text)  # l.l.c. -> llc.
     text = re.sub(r"\(p\)|\bp\.? (?=ltd|limited)|m/s|\ba (?=respon)", " ", text)
     tokens = _joined_letters(_TOKENS.findall(text.replace("'", "")))
-    short = {t for t in tokens if re.search(rf"\b{t}\.", text)}
+    short = set(_CUT.findall(text))
     lead, trades, words, firsts, middle = "", [], [], [], ""
     for t in tokens:
         if t in EMPTY and len(t) > 1 and t not in _FORMAL:
