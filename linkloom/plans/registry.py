@@ -6,11 +6,27 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from linkloom.runtime import table
+Builder = Callable[[SparkSession, str], DataFrame]
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+QUERIES: dict[str, Builder] = {}
 ORACLE: dict[str, str] = {}
 
 
+def query(name: str, sql: str | None = None) -> Callable[[Builder], Builder]:
+    """Registers a builder under a name, with the SQL that gives the same result if there is one."""
+
+    def put(build: Builder) -> Builder:
+        QUERIES[name] = build
+        if sql:
+            ORACLE[name] = sql
+        return build
+
+    return put
+
+
 def FLAGSHIP(spark: SparkSession, sf_dir: str) -> DataFrame:  # noqa: N802
-    return table(spark, sf_dir, "documents").select("doc_id")
+    return QUERIES["met_by_country"](spark, sf_dir)
+
+
+# each module registers its queries when imported
+from linkloom.plans import q_text  # noqa: E402, F401
