@@ -188,14 +188,14 @@ def view_text(named: Column, address: Column, view: str) -> Column:
 
 
 def clip(s: Column, n: int) -> Column:
-    """White space squeezed; what is longer than ``n`` is cut to ``n - 1`` and an ellipsis."""
+    """White space squeezed; what is longer than ``n`` is cut to ``n`` characters and an ellipsis."""
     flat = F.trim(F.regexp_replace(F.coalesce(s, F.lit("")), "\\s+", " "))
-    return F.when(F.length(flat) > n, F.concat(F.substring(flat, 1, n - 1), F.lit("…"))).otherwise(flat)
+    return F.when(F.length(flat) > n, F.concat(F.substring(flat, 1, n), F.lit("…"))).otherwise(flat)
 
 
 def id_list(cell: Column) -> Column:
     """Ids of a comma list: trimmed, without empties and repeats; none of null."""
-    return F.array_distinct(F.filter(F.transform(F.split(F.coalesce(cell, F.lit("")), ","), F.trim), lambda t: t != ""))
+    return F.array_distinct(F.filter(F.transform(F.split(F.coalesce(cell, F.lit("")), ","), lambda t: F.trim(t)), lambda t: t != ""))
 
 
 def script(s: Column) -> Column:

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from linkloom.functions import similarity as sim, text
 from linkloom.plans import views
 from linkloom.plans.registry import query
-from linkloom.plans.views import NF, P, PF, REC, VEC, cosine_sql, tokens_sql
+from linkloom.plans.views import NF, P, PF, REC, TRUTH, VEC, cosine_sql, tokens_sql
 from linkloom.runtime import table
 
 _ASCII_NAME, _ASCII_ADDRESS = text.to_ascii_sql("business_name"), text.to_ascii_sql("business_address")
@@ -106,7 +106,7 @@ query("str_view_text", f"with {REC} select entity_id, 'query: ' || business_name
     _rec(lambda: tuple(text.view_text(F.col("business_name"), F.col("business_address"), v).alias(f"{v}_text") for v in ("name", "addr", "both")))
 )
 _FLAT = r"trim(regexp_replace(business_address, '\s+', ' ', 'g'))"
-query("str_clip", f"with {REC} select entity_id, case when length({_FLAT}) > 24 then substr({_FLAT}, 1, 23) || '…' else {_FLAT} end as clipped from rec")(_rec(lambda: (text.clip(F.col("business_address"), 24).alias("clipped"),)))
+query("str_clip", f"with {REC} select entity_id, case when length({_FLAT}) > 24 then substr({_FLAT}, 1, 24) || '…' else {_FLAT} end as clipped from rec")(_rec(lambda: (text.clip(F.col("business_address"), 24).alias("clipped"),)))
 query("str_script", f"with {REC} select entity_id, case when regexp_matches(business_name, '[\\x{{0900}}-\\x{{097F}}]') then 'devanagari' when regexp_matches(business_name, '[\\x{{00C0}}-\\x{{024F}}]') then 'latin_accented' when regexp_matches(business_name, '[^\\x00-\\x7f]') then 'other_non_ascii' else 'ascii' end as script from rec")(
     _rec(lambda: (text.script(F.col("business_name")).alias("script"),))
 )
@@ -118,10 +118,10 @@ query("str_safe_name", f"with {REC} select entity_id, case when regexp_full_matc
 query("str_prefix", f"with {REC} select 'tr:' || entity_id as train_id, entity_id || '#fr' as french_id, source from rec")(lambda spark, d: views.records(spark, d).select(F.concat(F.lit("tr:"), "entity_id").alias("train_id"), F.concat("entity_id", F.lit("#fr")).alias("french_id"), "source"))
 
 
-@query("str_idlist", f"with {P}, l as (select s1_id, string_agg(cand_id, ' , ' order by cand_id) || ',,' || min(cand_id) as cell from p group by s1_id) select s1_id, array_to_string(list_sort(list_distinct(list_filter(list_transform(string_split(cell, ','), lambda t: trim(t)), lambda t: t <> ''))), ',') as ids from l")
+@query("str_idlist", f"with {TRUTH}, l as (select s1_id, string_agg(cand_id, ' , ' order by cand_id) || ',,' || min(cand_id) as cell from truth group by s1_id) select s1_id, array_to_string(list_sort(list_distinct(list_filter(list_transform(string_split(cell, ','), lambda t: trim(t)), lambda t: t <> ''))), ',') as ids from l")
 def str_idlist(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Parses lists with blanks, empties and a repeat, as they are typed."""
-    lists = views.pairs(spark, sf_dir).groupBy("s1_id").agg(F.concat(F.array_join(F.array_sort(F.collect_list("cand_id")), " , "), F.lit(",,"), F.min("cand_id")).alias("cell"))
+    """Parses lists of matches with blanks, empties and a repeat, as they are typed."""
+    lists = views.truth(spark, sf_dir).groupBy("s1_id").agg(F.concat(F.array_join(F.array_sort(F.collect_list("cand_id")), " , "), F.lit(",,"), F.min("cand_id")).alias("cell"))
     return lists.select("s1_id", F.array_join(F.array_sort(text.id_list(F.col("cell"))), ",").alias("ids"))
 
 
@@ -132,27 +132,48 @@ def str_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.pairs(spark, sf_dir).agg(F.count(F.lit(1)).alias("n"), F.bit_xor(hashed).alias("fingerprint"))
 
 
-_RIVALS = "rivals as (select cand_id, s1_id, row_number() over (partition by cand_id order by prob desc, s1_id) as place from p)"
+#: Wording and lengths of the question.
+_ASKED = ("Business A (", "): ", "Record B: ", "Other businesses that record B also resembles:", "Is record B the same real-world business as business A? Answer Yes or No.", "Answer:")
+_NAME_CUT, _ADDRESS_CUT, _RIVAL_NAME_CUT, _RIVAL_ADDRESS_CUT, _RIVALS_SHOWN = 80, 90, 60, 70, 3
+
+
+def best_rivals(pairs: DataFrame, k: int) -> DataFrame:
+    """``cand_id, s1_id, place``: the ``k`` best S1s of each record, equal scores by smaller id."""
+    return pairs.withColumn("place", F.row_number().over(Window.partitionBy("cand_id").orderBy(F.desc("prob"), "s1_id"))).where(F.col("place") <= k)
+
+
+def _cut_sql(c: str, n: int) -> str:
+    flat = f"trim(regexp_replace({c}, '\\s+', ' ', 'g'))"
+    return f"case when length({flat}) > {n} then substr({flat}, 1, {n}) || '…' else {flat} end"
+
+
+def _or_none(s: str) -> str:
+    return f"coalesce(nullif({s}, ''), '(no address)')"
 
 
 @query(
     "str_prompt",
-    f"with {REC}, {P}, {_RIVALS}, other as (select p.s1_id, p.cand_id, string_agg('  - ' || r.s1_id, chr(10) order by r.place) filter (where r.s1_id <> p.s1_id) as others from p left join (select * from rivals where place <= 4) r on r.cand_id = p.cand_id group by all) "
-    "select o.s1_id, o.cand_id, 'A: ' || a.business_name || chr(10) || 'at ' || case when a.business_address = '' then '(no address)' else a.business_address end || chr(10) || 'B: ' || b.business_name || chr(10) || 'at ' || case when b.business_address = '' then '(no address)' else b.business_address end || chr(10) || 'Others:' || chr(10) || coalesce(o.others, '  (none)') || chr(10) || 'Same business? Yes or No:' as prompt "
-    "from other o join rec a on a.entity_id = o.s1_id join rec b on b.entity_id = o.cand_id",
+    f"""with {REC}, {P}, best as (select cand_id, s1_id, row_number() over (partition by cand_id order by prob desc, s1_id) as place from p qualify place <= {_RIVALS_SHOWN + 1}),
+    o as (select p.s1_id, p.cand_id, r.place, '  - ' || {_cut_sql('rec.business_name', _RIVAL_NAME_CUT)} || ' | ' || {_or_none(_cut_sql('rec.business_address', _RIVAL_ADDRESS_CUT))} as line
+      from p join best r on r.cand_id = p.cand_id and r.s1_id <> p.s1_id join rec on rec.entity_id = r.s1_id
+      qualify row_number() over (partition by p.s1_id, p.cand_id order by r.place) <= {_RIVALS_SHOWN}),
+    g as (select s1_id, cand_id, string_agg(line, chr(10) order by place) as lines from o group by all)
+    select p.s1_id, p.cand_id, '{_ASKED[0]}' || a.country || '{_ASKED[1]}' || {_cut_sql('a.business_name', _NAME_CUT)} || ' | ' || {_or_none(_cut_sql('a.business_address', _ADDRESS_CUT))} || chr(10) || '{_ASKED[2]}' ||
+      {_cut_sql('b.business_name', _NAME_CUT)} || ' | ' || {_or_none(_cut_sql('b.business_address', _ADDRESS_CUT))} || chr(10) || '{_ASKED[3]}' || chr(10) || coalesce(g.lines, '  (none)') || chr(10) || '{_ASKED[4]}' || chr(10) || '{_ASKED[5]}' as prompt
+    from p left join g using (s1_id, cand_id) join rec a on a.entity_id = p.s1_id join rec b on b.entity_id = p.cand_id""",
 )
 def str_prompt(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Yes/no question of a pair, with up to four best S1s of the record but its own."""
-    from pyspark.sql import Window
-
+    """Yes/no question of a pair, with the record's best other S1s: names and addresses cut, missing addresses said."""
     p, rec = views.pairs(spark, sf_dir), views.records(spark, sf_dir)
-    best = p.withColumn("place", F.row_number().over(Window.partitionBy("cand_id").orderBy(F.desc("prob"), "s1_id"))).where("place <= 4")
-    lists = best.groupBy("cand_id").agg(F.array_sort(F.collect_list(F.struct("place", "s1_id"))).alias("best"))
-    side = lambda a: rec.select(F.col("entity_id").alias(a), F.col("business_name").alias(f"{a}_n"), F.when(F.col("business_address") == "", "(no address)").otherwise(F.col("business_address")).alias(f"{a}_a"))
-    asked = p.join(lists, "cand_id").join(side("s1_id"), "s1_id").join(side("cand_id"), "cand_id")
-    others = F.transform(F.filter("best", lambda x: x["s1_id"] != F.col("s1_id")), lambda x: F.concat(F.lit("  - "), x["s1_id"]))
+    said = lambda c, n: F.coalesce(F.nullif(text.clip(F.col(c), n), F.lit("")), F.lit("(no address)"))
+    shown = rec.select(F.col("entity_id").alias("s1_id"), F.concat(F.lit("  - "), text.clip(F.col("business_name"), _RIVAL_NAME_CUT), F.lit(" | "), said("business_address", _RIVAL_ADDRESS_CUT)).alias("line"))
+    lists = best_rivals(p, _RIVALS_SHOWN + 1).join(shown, "s1_id").groupBy("cand_id").agg(F.array_sort(F.collect_list(F.struct("place", "s1_id", "line"))).alias("best"))
+    a = rec.select(F.col("entity_id").alias("s1_id"), F.concat(F.lit(_ASKED[0]), "country", F.lit(_ASKED[1]), text.clip(F.col("business_name"), _NAME_CUT), F.lit(" | "), said("business_address", _ADDRESS_CUT)).alias("a"))
+    b = rec.select(F.col("entity_id").alias("cand_id"), F.concat(F.lit(_ASKED[2]), text.clip(F.col("business_name"), _NAME_CUT), F.lit(" | "), said("business_address", _ADDRESS_CUT)).alias("b"))
+    asked = p.join(lists, "cand_id").join(a, "s1_id").join(b, "cand_id")
+    others = F.slice(F.transform(F.filter("best", lambda x: x["s1_id"] != F.col("s1_id")), lambda x: x["line"]), 1, _RIVALS_SHOWN)
     lines = F.when(F.size(others) == 0, "  (none)").otherwise(F.array_join(others, "\n"))
-    return asked.select("s1_id", "cand_id", F.concat(F.lit("A: "), "s1_id_n", F.lit("\nat "), "s1_id_a", F.lit("\nB: "), "cand_id_n", F.lit("\nat "), "cand_id_a", F.lit("\nOthers:\n"), lines, F.lit("\nSame business? Yes or No:")).alias("prompt"))
+    return asked.select("s1_id", "cand_id", F.concat_ws("\n", "a", "b", F.lit(_ASKED[3]), lines, F.lit(_ASKED[4]), F.lit(_ASKED[5])).alias("prompt"))
 
 
 # similarities ------------------------------------------------------------------------------------------------------
