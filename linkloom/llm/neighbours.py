@@ -18,7 +18,7 @@ from linkloom.runtime import materialise, table
 #: Length of the vectors that take part, and neighbours of each.
 DIMENSION, NEIGHBOURS = 64, 5
 #: Classes that a cell should own, cells in which each class is stored.
-CELL_ROWS, PROBES = 4_096, 16
+CELL_ROWS, PROBES = 512, 8
 #: Vectors of a view on which the centroids are fitted.
 FIT_ROWS = 20_000
 #: Deviations of the estimate's error that the bound allows.
