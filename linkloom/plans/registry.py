@@ -29,4 +29,4 @@ def FLAGSHIP(spark: SparkSession, sf_dir: str) -> DataFrame:  # noqa: N802
 
 
 # each module registers its queries when imported
-from linkloom.plans import q_blocking, q_decide, q_relational, q_text  # noqa: E402, F401
+from linkloom.plans import q_blocking, q_decide, q_features, q_relational, q_text  # noqa: E402, F401
