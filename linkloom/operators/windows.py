@@ -50,6 +50,26 @@ def numbered(df: DataFrame, keys: list[str], order: list[Column], name: str) ->
     return local.join(offsets, [*keys, "_part"]).withColumn(name, F.col("_local") + F.col("_before")).drop("_part", "_local", "_before")
 
 
+def running(df: DataFrame, keys: list[str], order: list[Column], **figures: tuple) -> DataFrame:
+    """Running aggregates of each group up to and including the row, without gathering a group.
+
+    ``figures``: name = (function such as F.min or F.sum, column). Range partitions aggregate their part, and add what the
+    parts before them give. ``order`` must tell all rows of a group apart.
+    """
+    parts = max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    ranged = materialise(df.repartitionByRange(parts, *(F.col(k) for k in keys), *order).withColumn("_part", F.spark_partition_id()))
+    own = Window.partitionBy(*keys, "_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    totals = ranged.groupBy(*keys, "_part").agg(*(f(c).alias(f"_t_{n}") for n, (f, c) in figures.items()))
+    earlier = totals.select(*keys, "_part", *(f(f"_t_{n}").over(before).alias(f"_b_{n}") for n, (f, c) in figures.items()))
+    made = ranged.select("*", *(f(c).over(own).alias(f"_o_{n}") for n, (f, c) in figures.items())).join(earlier, [*keys, "_part"])
+    joined = {F.min: F.least, F.max: F.greatest}
+    for n, (f, _) in figures.items():
+        both = joined[f](f"_o_{n}", f"_b_{n}") if f in joined else F.coalesce(F.col(f"_o_{n}"), F.lit(0)) + F.coalesce(F.col(f"_b_{n}"), F.lit(0))
+        made = made.withColumn(n, both)
+    return made.drop("_part", *(f"{p}{n}" for n in figures for p in ("_o_", "_b_")))
+
+
 def tiles(df: DataFrame, order: list[Column], n: int, name: str) -> DataFrame:
     """``n`` nearly equal stretches of the ordered table, the larger ones first, numbered from 1."""
     made = numbered(df, [], order, "_row")

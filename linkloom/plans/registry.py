@@ -22,11 +22,3 @@ def query(name: str, sql: str | None = None) -> Callable[[Builder], Builder]:
         return build
 
     return put
-
-
-def FLAGSHIP(spark: SparkSession, sf_dir: str) -> DataFrame:  # noqa: N802
-    return QUERIES["met_by_country"](spark, sf_dir)
-
-
-# each module registers its queries when imported
-from linkloom.plans import q_blocking, q_decide, q_features, q_relational, q_text  # noqa: E402, F401
