@@ -347,11 +347,11 @@ def owner_features(groups: DataFrame) -> DataFrame:
 @query(
     "owner_features",
     f"with {P}, {GROUPED}, e as (select cand_id, unnest(s1_ids) as s1_id, unnest(probs) as prob, list_sum(probs) as total, len(probs) as n from g), m as (select *, max(prob) over (partition by cand_id) as first, count(*) filter (where true) over (partition by cand_id) as c, nth_value(prob, 2) over (partition by cand_id order by prob desc, s1_id rows between unbounded preceding and unbounded following) as second, row_number() over (partition by cand_id order by prob desc, s1_id) as rn from e) "
-    "select s1_id, cand_id, round(prob / greatest(total, 1), 6) as own_p, round(greatest(0, 1 - total), 6) as own_none, round((prob - case when rn = 1 then second else first end) / greatest(total, 1), 6) as own_margin, n::bigint as own_n from m",
+    "select s1_id, cand_id, round(prob / greatest(total, 1), 6) as own_p, round(greatest(0, 1 - total), 6) as own_none, round((prob - case when rn = 1 then second else first end) / greatest(total, 1) + 1e-9, 6) as own_margin, n::bigint as own_n from m",
 )
 def owner_features_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = owner_features(contested(views.pairs(spark, sf_dir)))
-    return made.select("s1_id", "cand_id", *(F.round(c, 6).alias(c) for c in ("own_p", "own_none", "own_margin")), "own_n")
+    return made.select("s1_id", "cand_id", *(F.round(c, 6).alias(c) for c in ("own_p", "own_none")), F.round(F.col("own_margin") + 1e-9, 6).alias("own_margin"), "own_n")
 
 
 @query("final_frame", f"with {P}, {LAB} select prob as s1_prob, y from p join lab using (s1_id, cand_id)")
