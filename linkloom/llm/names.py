@@ -14,7 +14,7 @@ from functools import lru_cache
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from linkloom.llm.plain import Lexicon, heard, plain, rewritings, spellings
+from linkloom.llm.plain import WORD_UP_TO, Lexicon, heard, plain, rewritings, spellings
 from linkloom.runtime import materialise, table
 
 #: Words of legal forms, after dots are dropped and single letters joined.
@@ -132,7 +132,7 @@ def _readings(words: list[str]) -> tuple[list[list[str]], bool]:
         cuts = [words]
     elif len(words) == 1:
         w = words[0]
-        cuts = [[w, ""]] if len(w) < 10 else [[w[:i], w[i:]] for i in range(_FIRM_FROM, len(w) - _FIRM_FROM + 1)]
+        cuts = [[w, ""]] if not 10 <= len(w) <= WORD_UP_TO else [[w[:i], w[i:]] for i in range(_FIRM_FROM, len(w) - _FIRM_FROM + 1)]
     elif len(words) in (3, 4):
         cuts = [["".join(words[:i]), "".join(words[i:])] for i in range(1, len(words))]
     else:
