@@ -61,7 +61,8 @@ def partial(a: str, b: str) -> float:
     best = 0.0
     for start in range(1 - n, len(long)):
         window = long[max(0, start) : start + n]
-        if (window[-1] in letters) and 2 * len(window) / (n + len(window)) > best:
+        # a window that ends with a foreign letter, or a cut one at the end that begins with one, has a better neighbour
+        if (window[0 if start > len(long) - n else -1] in letters) and 2 * len(window) / (n + len(window)) > best:
             best = max(best, ratio(short, window))
     return best
 

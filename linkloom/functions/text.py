@@ -58,23 +58,20 @@ def _singles() -> dict[str, str]:
 
 #: Devanagari letters: the block names its letters by sound.
 _DEVANAGARI = {ch: unicodedata.name(ch).rsplit(" ", 1)[1].lower() for ch in map(chr, range(0x900, 0x970)) if unicodedata.name(ch, "").startswith(("DEVANAGARI LETTER", "DEVANAGARI VOWEL SIGN")) and " SHORT " not in unicodedata.name(ch) and "CANDRA" not in unicodedata.name(ch)}
-_CONSONANTS = {ch: s[:-1] for ch, s in _DEVANAGARI.items() if 0x915 <= ord(ch) <= 0x939}
-_SIGNS = {ch: s for ch, s in _DEVANAGARI.items() if unicodedata.name(ch).startswith("DEVANAGARI VOWEL SIGN") and s.isalpha() and len(s) <= 2}
-_VOWELS = {ch: s for ch, s in _DEVANAGARI.items() if 0x904 <= ord(ch) <= 0x914 and len(s) <= 2}
+#: By sound: consonants without the vowel that Devanagari leaves unwritten, long vowels as short ones.
+_DEVANAGARI = {ch: (s[:-1] if 0x915 <= ord(ch) <= 0x939 else {"aa": "a", "ii": "i", "uu": "u", "vocalic": "ri"}.get(s, s)) for ch, s in _DEVANAGARI.items() if s.isalpha() and len(s) <= 3}
 
 
 def ascii_steps() -> tuple[list[tuple[str, str]], str, str]:
     """(regular replacements in order, characters of the translation, what they become).
 
-    The same steps state :func:`to_ascii` in any SQL dialect: consonants take the inherent vowel, which a following vowel sign or virama
-    removes; letters of several sounds are replaced next, all others by one translation; what has no sound then is dropped.
+    The same steps state :func:`to_ascii` in any SQL dialect: letters of several sounds are replaced first, all others by one translation;
+    what has no sound then is dropped, such as signs that silence a vowel.
     """
-    steps = [("ज़|ज़", "z"), ("फ़|फ़", "f"), ("([" + "".join(_CONSONANTS) + "])", "\\1a"), ("़", "")]
-    steps += [("a([" + "".join(_SIGNS) + "्])", "\\1"), ("्", ""), ("ं|ँ", "n")]
-    steps += [("z([" + "".join(_SIGNS) + "])", "z\\1")]
-    several = {**{c: s for c, s in _CONSONANTS.items() if len(s) > 1}, **{c: s for c, s in (_SIGNS | _VOWELS).items() if len(s) > 1}, **_PAIRS}
-    steps += [(ch, s) for ch, s in several.items()]
-    single = _singles() | {c: s for c, s in (_CONSONANTS | _SIGNS | _VOWELS).items() if len(s) == 1}
+    steps = [("ज़|ज़", "z"), ("फ़|फ़", "f"), ("ं|ँ", "n")]
+    several = {**{c: s for c, s in _DEVANAGARI.items() if len(s) > 1}, **_PAIRS}
+    steps += list(several.items())
+    single = _singles() | {c: s for c, s in _DEVANAGARI.items() if len(s) == 1}
     single = {c: s for c, s in single.items() if c not in several and not c.isascii()}
     return steps, "".join(single), "".join(single.values())
 

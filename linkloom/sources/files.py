@@ -31,7 +31,7 @@ def scan_tsv(spark: SparkSession, path: str, schema: T.StructType, columns: list
 def write_tsv(df: DataFrame, path: str, one_file: bool = False) -> None:
     """Tab-separated text without quotes; line ends and tabs inside fields become spaces. Several files unless one is asked for."""
     flat = df.select(*(F.regexp_replace(F.coalesce(F.col(c), F.lit("")), "[\\t\\r\\n]", " ").alias(c) for c in df.columns))
-    (flat.coalesce(1) if one_file else flat).write.csv(path, sep="\t", quote="", escape="", header=True, emptyValue="", nullValue="")
+    (flat.coalesce(1) if one_file else flat).write.csv(path, sep="\t", quote="", escape="", header=True, emptyValue="", nullValue="", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
 
 
 def complete(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
