@@ -145,7 +145,7 @@ def _part(text: str) -> list[dict]:
     text = re.sub(r"\(p\)|\bp\.? (?=ltd|limited)|m/s|\ba (?=respon)", " ", text)
     tokens = _joined_letters(_TOKENS.findall(text.replace("'", "")))
     short = set(_CUT.findall(text))
-    lead, trades, words, firsts, middle = "", [], [], [], ""
+    lead, hits, words = "", [], []
     for t in tokens:
         if t in EMPTY and len(t) > 1 and t not in _FORMAL:
             continue
@@ -154,9 +154,11 @@ def _part(text: str) -> list[dict]:
         elif (len(t) > 1 and _known(t, "legal")) or _known(t, "beside") or t in ("schl", "clnc", "std", "stud", "clin", "sch"):
             continue
         elif len(t) > 2 and not (t in _FORMAL and t not in short) and (named := trades_of(t)):
-            trades.append(named)
+            hits.append((len(words), t, named))
+            words.append(t)
         else:
             words.append(t)
+    trades = _settle(hits, words)
     # a person: a first name or an initial beside one surname
     long = [w for w in words if len(w) > 1]
     formal = [w for w in long if formal_names(w)]
@@ -181,6 +183,16 @@ def _part(text: str) -> list[dict]:
     return [{"kind": "f", "readings": readings, "guess": guess, "lead": lead, "trades": _one(trades), "firsts": [], "middle": ""}]
 
 
+def _settle(hits: list[tuple[int, str, tuple[str, ...]]], words: list[str]) -> list[tuple[str, ...]]:
+    """Takes the trade words out of ``words``. Where tokens name different trades, those written in full count, and the others are plain words."""
+    sure = [h for h in hits if any(heard(h[1]) == heard(w) for _, w in _TRADE_WORDS)]
+    if sure and len(sure) < len(hits) and not set.intersection(*(set(h[2]) for h in hits)):
+        hits = sure
+    for at, _, _ in reversed(hits):
+        del words[at]
+    return [h[2] for h in hits]
+
+
 _LEGAL_LETTERS = frozenset("plcsarmbhegu")
 
 

@@ -142,7 +142,10 @@ def _assign(centres):
             for view, rows in pdf.groupby("view_name").groups.items():
                 rows = np.asarray(rows)
                 near = unit[rows].astype(np.float32) @ by_view[view].T
-                for r, c in zip(rows, np.argsort(-near, axis=1, kind="stable")[:, :PROBES]):
+                many = min(PROBES, near.shape[1])
+                first = np.argpartition(-near, many - 1, axis=1)[:, :many]
+                order = np.argsort(-np.take_along_axis(near, first, axis=1), axis=1, kind="stable")
+                for r, c in zip(rows, np.take_along_axis(first, order, axis=1)):
                     cells[r] = c.tolist()
             raw = np.array(pdf["vec"].tolist(), np.float32)
             yield pd.DataFrame({"view_name": pdf["view_name"], "class_id": pdf["class_id"], "packed": [v.tobytes() for v in raw], "code": [c.tobytes() for c in code], "scalar": scalar.astype(np.float64), "cells": cells})
