@@ -28,11 +28,11 @@ TRADES = {
     "furniture": "furniture", "logistics": "logistics", "foods": "foods", "electronics": "electronics", "services": "services", "motors": "motors", "construction": "construction", "bakery": "bakery",
     "textiles": "textiles", "manufacturing": "manufacturing", "hardware": "hardware", "printing": "printing", "traders": "traders trading", "consulting": "consulting consultancy", "pharmaceuticals": "pharmaceuticals pharmacy",
     "engineering": "engineering", "immobilier": "immobilier", "boulangerie": "boulangerie", "menuiserie": "menuiserie", "patisserie": "patisserie", "conseil": "conseil", "transports": "transports", "librairie": "librairie",
-    "batiment": "batiment", "electricite": "electricite", "mecanique": "mecanique", "dental": "dental dentist", "veterinary": "veterinary", "music": "music", "hair": "hair", "attorney": "attorney lawyer",
+    "batiment": "batiment", "electricite": "electricite", "mecanique": "mecanique", "dental": "dental dentist", "veterinary": "veterinary", "music": "music", "hair": "hair", "attorney": "attorney lawyer law",
     "plumbing": "plumbing plumbers", "florist": "florist", "opticians": "opticians", "tailors": "tailors tailoring", "photography": "photography",
 }
 #: Words that go with a trade's word and say nothing alone.
-BESIDE = "clinic school studio law at office".split()
+BESIDE = "clinic school studio at office".split()
 #: Shops that trade names end with.
 SHOPS = "house store depot shop mart".split()
 #: Formal first names and the short forms in use for them.
@@ -80,9 +80,9 @@ def trades_of(token: str) -> tuple[str, ...]:
 
 
 def _left_out(token: str, word: str) -> bool:
-    """Whether ``token`` is ``word`` with letters left out: between the beginning and the end that both share, no vowel stands."""
+    """Whether ``token`` is ``word`` with letters left out: between the beginning and the end that both share, no vowel stands; three consonants are left."""
     at = iter(word)
-    if not all(ch in at for ch in token):
+    if sum(ch not in "aeiou" for ch in token) < 3 or not all(ch in at for ch in token):
         return False
     i = j = 0
     while i < len(token) and token[i] == word[i]:
@@ -109,13 +109,13 @@ def formal_names(token: str) -> tuple[str, ...]:
 
 
 def _joined_letters(tokens: list[str]) -> list[str]:
-    """Runs of single letters that spell a legal form are joined: l l c."""
+    """Runs of three or more single letters that spell a legal form are joined: l l c. Two may be a person's initials."""
     out, i = [], 0
     while i < len(tokens):
         j = i
         while j < len(tokens) and len(tokens[j]) == 1 and tokens[j].isalpha():
             j += 1
-        for end in range(j, i + 1, -1):
+        for end in range(j, i + 2, -1):
             if "".join(tokens[i:end]) in LEGAL:
                 out.append("".join(tokens[i:end]))
                 i = end
