@@ -16,8 +16,8 @@ from linkloom.runtime import materialise, table
 BANDS, ROWS = 4, 6
 #: Values combined with the address key in turn.
 WITH_ADDRESS = 3
-#: Comparisons of one band key, and of one whole form, beyond which its records are blocked by the key and a part of the address together.
-COMPARISONS, NAMESAKES = 2_000, 1_000_000
+#: Records of one side of a band that one task joins; larger bands are salted on both sides.
+RECORDS_A_PART = 1_000
 #: Rows of each weak class, and reviewed pairs, that are brought to the driver to fit and calibrate the model.
 FIT_ROWS = 8_000
 #: Confidence from which a pair is a match.
@@ -60,24 +60,23 @@ def signatures(forms: DataFrame) -> DataFrame:
 def candidates(people: DataFrame) -> DataFrame:
     """``s1_id, cand_id``: pairs of an S1 and another record that share a band, each once. A whole form is a band as well.
 
-    Keys that more records share than ``COMPARISONS`` or, for whole forms, ``NAMESAKES`` allows are joined with the address's number-and-street forms and
-    with its postcode instead. No record is dropped by that: a match there needs the same location, which shares one of them; only a
-    record without an address is then left alone, as nothing tells which of so many namesakes it is.
+    Every band is joined whole, whatever its size and whether its records have an address. A large one is a grid of parts: a record's own
+    part by a hash of its id, repeated for each part of the other side.
     """
-    named = people.select("entity_id", "s1", F.explode(F.array_distinct(F.col("names.key"))).alias("form"), F.array_distinct(F.concat(F.col("keys"), F.when(F.col("place.postcode") != "", F.array("place.postcode")).otherwise(F.array().cast("array<string>")))).alias("where"), "keys")
-    named = materialise(named)
+    named = materialise(people.select("entity_id", "s1", F.explode(F.array_distinct(F.col("names.key"))).alias("form"), "keys"))
     signed = materialise(named.join(signatures(named), "form"))
     bands = F.array(F.xxhash64(F.lit(-1), F.col("form")), *(F.xxhash64(F.lit(b), *(F.col("m")[b * ROWS + i] for i in range(ROWS))) for b in range(BANDS)))
-    own = materialise(signed.select("entity_id", "s1", "where", F.posexplode(bands).alias("i", "band")).distinct())
-    sizes = own.groupBy("band").agg(F.min("i").alias("first"), F.sum(F.col("s1").cast("long")).alias("left"), F.sum((~F.col("s1")).cast("long")).alias("right")).where("left > 0 and right > 0")
-    sized = own.join(sizes.select("band", (F.col("left") * F.col("right") > F.when(F.col("first") == 0, NAMESAKES).otherwise(COMPARISONS)).alias("hot")), "band")
-    plain = sized.where("not hot").select("entity_id", "s1", "band")
-    split = sized.where("hot").select("entity_id", "s1", "band", F.explode("where").alias("at")).select("entity_id", "s1", F.xxhash64("band", "at").alias("band"))
+    own = signed.select("entity_id", "s1", F.explode(bands).alias("band"))
     placed = signed.select("entity_id", "s1", F.explode("keys").alias("at"), F.array(*(F.col("m")[i] for i in range(WITH_ADDRESS))).alias("m")).select("entity_id", "s1", "at", F.posexplode("m").alias("i", "v")).select("entity_id", "s1", F.xxhash64("at", "i", "v").alias("band"))
-    keyed = materialise(plain.unionByName(split).unionByName(placed).distinct())
-    left = keyed.where("s1").select(F.col("entity_id").alias("s1_id"), "band")
-    right = keyed.where("not s1").select(F.col("entity_id").alias("cand_id"), "band")
-    return left.join(right, "band").select("s1_id", "cand_id").distinct()
+    keyed = materialise(own.unionByName(placed).distinct())
+    parts = lambda side: F.ceil(F.sum(side.cast("long")) / RECORDS_A_PART).cast("int")
+    sizes = keyed.groupBy("band").agg(parts(F.col("s1")).alias("left"), parts(~F.col("s1")).alias("right")).where("left > 0 and right > 0")
+    sized = keyed.join(sizes, "band")
+    own_part = lambda side: F.pmod(F.xxhash64("entity_id"), F.col(side)).cast("int")
+    each = lambda side: F.explode(F.sequence(F.lit(0), F.col(side) - 1))
+    left = sized.where("s1").select(F.col("entity_id").alias("s1_id"), "band", own_part("left").alias("i"), each("right").alias("j"))
+    right = sized.where("not s1").select(F.col("entity_id").alias("cand_id"), "band", each("left").alias("i"), own_part("right").alias("j"))
+    return left.join(right, ["band", "i", "j"]).select("s1_id", "cand_id").distinct()
 
 
 def features(pairs: DataFrame, people: DataFrame) -> DataFrame:

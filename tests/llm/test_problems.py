@@ -215,6 +215,18 @@ def test_matching(spark):
     assert {(r.s1_id, r.cand_id) for r in matching.matches(records, labels.limit(0)).collect()} >= {t for i, t in enumerate(true) if i % 5}
 
 
+def test_bands_are_joined_whole(spark, monkeypatch):
+    """Many records in one band, by names alike but not the same: those without a number and a postcode stay, and so do those with only one of them."""
+    a = "f zuvomarelikotunapesidovagurike belotanimurasolipedukagovetin"
+    places = [([], ""), (["12 marg"], ""), ([], "560001")]
+    rows = [(f"{'S1' if s1 else 'S2'}-{i}", s1, [{"key": a if s1 else a[:-1] + "m"}], {"postcode": places[i % 3][1]}, places[(i + s1) % 3][0]) for s1 in (True, False) for i in range(50)]
+    people = spark.createDataFrame(rows, "entity_id string, s1 boolean, names array<struct<key:string>>, place struct<postcode:string>, keys array<string>")
+    for most in (matching.RECORDS_A_PART, 7):
+        monkeypatch.setattr(matching, "RECORDS_A_PART", most)
+        got = [tuple(r) for r in matching.candidates(people).collect()]
+        assert len(got) == len(set(got)) == 2500 and all(s.startswith("S1-") and c.startswith("S2-") for s, c in got)
+
+
 def words(n):
     rng = random.Random(9)
     w = lambda: "".join(rng.choice("bdfgklmnprstvz") + rng.choice("aeiou") for _ in range(4)).title()
