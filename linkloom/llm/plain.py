@@ -6,7 +6,7 @@ import re
 import unicodedata
 from functools import lru_cache
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from linkloom.llm.lookalike import by_table
 from linkloom.runtime import materialise
@@ -160,8 +160,6 @@ def _deletions(word) -> list:
 CORRECT_FROM, WORD_UP_TO = 5, 48
 #: A word is a misspelling of a neighbour that is at least so many times as frequent, or if it is itself seen at most so often.
 RATIO, RARE = 3, 2
-#: Rewritings kept of a word beside itself, the most frequent first. Further ones are rewritings of rewritings that the data doesn't bear out.
-REWRITINGS = 3
 
 
 def rewritings(words: DataFrame) -> DataFrame:
@@ -169,7 +167,7 @@ def rewritings(words: DataFrame) -> DataFrame:
 
     Two words are neighbours if leaving out at most one letter of each gives the same string; the join is on these strings.
     A neighbour is a form if it is counted at all and clearly more frequent, or if the word is rare and the neighbour not rarer (equal counts: the
-    smaller string). ``rarity`` is the share of the word's own count in the sum of both: small for a probable misspelling.
+    smaller string); every such neighbour is one. ``rarity`` is the share of the word's own count in the sum of both: small for a probable misspelling.
     """
     words = materialise(words.groupBy("word").agg(F.sum("n").alias("n")))
     keyed = words.where(F.length("word").between(CORRECT_FROM, WORD_UP_TO)).select("word", "n", F.explode(_deletions(F.col("word"))).alias("key"))
@@ -179,7 +177,5 @@ def rewritings(words: DataFrame) -> DataFrame:
         .where((F.col("word") != F.col("form")) & ((F.col("m") >= RATIO * F.col("n")) | ((F.col("n") <= RARE) & ((F.col("m") > F.col("n")) | ((F.col("m") == F.col("n")) & (F.col("form") < F.col("word")))))))
         .select("word", "form", "n", "m")
         .distinct()
-        .withColumn("place", F.row_number().over(Window.partitionBy("word").orderBy(F.desc("m"), "form")))
-        .where(F.col("place") <= REWRITINGS)
     )
     return close.select("word", "form", (F.col("n") / (F.col("n") + F.col("m"))).alias("rarity")).unionByName(words.select("word", F.col("word").alias("form"), F.lit(1.0).alias("rarity")))

@@ -161,6 +161,12 @@ def test_plain():
     assert plain.heard("viphujephe") == "vifujefe" and plain.near("abcd", "abdc") and not plain.near("abcd", "badc")
 
 
+def test_every_neighbour_is_a_rewriting(spark):
+    frequent = ["kamoset", "kemoset", "kimoset", "komoset", "kumoset", "kmoset"]
+    got = plain.rewritings(spark.createDataFrame([("kymoset", 1), *((w, 10 + i) for i, w in enumerate(frequent))], "word string, n long"))
+    assert {r.form for r in got.where("word = 'kymoset'").collect()} == {"kymoset", *frequent}
+
+
 # vectors -----------------------------------------------------------------------------------------------------------------
 
 
