@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from linkloom.functions import similarity as sim, text
-from linkloom.operators import sampling, windows
+from linkloom.operators import windows
 from linkloom.plans import views
 from linkloom.plans.q_decide import unseen
 from linkloom.plans.q_relational import COMP, SIBV, anchors, view_ranks
@@ -199,11 +199,10 @@ def feat_cluster_words(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("feat_stage2")
 def feat_stage2(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Second design matrix for the S1s of fold 0: competition over the thinned whole population, computed before S1s are chosen; then siblings, second normalisation, rarity."""
+    """Second design matrix of every S1: competition over all pairs, siblings, second normalisation, rarity."""
     p, frames = views.pairs(spark, sf_dir), views.frames(spark, sf_dir)
-    chosen = views.folds(spark, sf_dir).where("fold = 0").select("s1_id")
-    crowd = competition(sampling.thinned(p, "s1_id", chosen, 0.8, 11)).select("s1_id", "cand_id", "s2_other_s1_best", "s2_margin_vs_other_s1")
-    own = views.framed_pairs(spark, sf_dir).join(chosen, "s1_id", "left_semi")
+    crowd = competition(p).select("s1_id", "cand_id", "s2_other_s1_best", "s2_margin_vs_other_s1")
+    own = views.framed_pairs(spark, sf_dir)
     made = norm2_features(own).join(crowd, ["s1_id", "cand_id"], "left")
     made = made.join(sibling_features(own.select("s1_id", "cand_id", "prob"), frames, views.vectors(spark, sf_dir)), ["s1_id", "cand_id"], "left")
     rare = rarity(frames)

@@ -6,7 +6,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from linkloom.plans import catalog
+from linkloom.plans import catalog, q_features, views
 from run_oracle import rows
 
 SF = "/root/testdata/sf0.001"
@@ -31,3 +31,11 @@ def test_against_sql(spark, duck, name):
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_stage2_is_whole(spark):
+    """Every framed pair comes out, whatever its S1's fold, with the best other S1 among all pairs."""
+    made = {(r[0], r[1]): r[2] for r in catalog.QUERIES["feat_stage2"](spark, SF).select("s1_id", "cand_id", "s2_other_s1_best").collect()}
+    best = {(r.s1_id, r.cand_id): r.s2_other_s1_best for r in q_features.competition(views.pairs(spark, SF)).collect()}
+    assert set(made) == {tuple(r) for r in views.framed_pairs(spark, SF).select("s1_id", "cand_id").collect()}
+    assert all(abs(v - best[k]) < 1e-6 for k, v in made.items())
