@@ -1,4 +1,8 @@
-"""Problem 10: pages of repeated keywords, links or product tags, by their rank-frequency curves."""
+"""Problem 10: pages of repeated keywords, links or product tags, by their rank-frequency curves.
+
+Every page's curve of ln frequency over ln rank is fitted by least squares in SQL. Slope, residual and divergence of its classes of words are held
+against those of prose of the same language at comparable lengths, which the corpus itself gives; extremes are flagged.
+"""
 
 from __future__ import annotations
 
@@ -21,118 +25,153 @@ FUNCTION_WORDS = {
 #: Commands whose argument is not text of the body.
 _COMMANDS = "title|author|date|documentclass|documentstyle|usepackage|begin|end|cite|citep|citet|ref|eqref|label|input|include|bibitem|bibliography|bibliographystyle|pagestyle|includegraphics|color|textcolor|fontsize"
 
+#: Markup, keys, fields and identifiers of bibliographies and long runs of encoded data are no words.
 _UNITS = re.compile(
-    r"https?://[^\s{}]+|(?<!\\)%[^\n]*|\\(?:" + _COMMANDS + r")\*?(?:\[[^\]\n]*\])?(?:\{[^{}]*\})*|\\[a-z]+\*?|#[^\W\d_]+|\d+|[^\W\d_]{2,}"
+    r"https?://[^\s{}]+|(?<!\\)%[^\n]*|\\(?:" + _COMMANDS + r")\*?(?:\[[^\]\n]*\])?(?:\{[^{}]*\})*|[a-z0-9+/]{64,}={0,2}|@[a-z]+\{[^\s,{}]*|[a-z]+\s*=\s*(?=[{\"\d])|10\.\d{4,}/[^\s{}]+|\\[a-z]+\*?|#[^\W\d_]+|[^\W\d_]{2,}"
 )
 _INVISIBLE = re.compile("[­​-‏⁠-⁤﻿]")
 
-#: Language of a page's function words: a word may belong to several languages, each counts it.
 _LANGS = tuple(FUNCTION_WORDS)
 _IN = {w: tuple(k for k, lang in enumerate(_LANGS) if w in FUNCTION_WORDS[lang].split()) for w in " ".join(FUNCTION_WORDS.values()).split()}
 
-#: Least words for a curve, links for a list of links.
-LEAST_WORDS, LEAST_LINKS = 20, 5
-#: Divergence from prose, in nats, from which a page isn't prose, and from which it is far from it.
-LESS_PROSE, NO_PROSE = 0.05, 0.08
-#: Share of links to words in text far from prose and in any text, of numbers to words, of hash tags to words.
-LINK_SHARE, LINKS_ONLY, NUMBER_SHARE, TAG_SHARE = 0.08, 0.15, 0.5, 0.25
+#: Nats by which a page's classes must diverge from prose to be flagged whatever its curve, and with an extreme curve.
+DIVERGENCE, WITH_CURVE = 0.16, 0.08
+#: Standard deviations from prose at which a slope (steeper) and a residual (greater) are extreme.
+STEEP, UNEVEN = 3.0, 5.0
+#: Nats that all units of a page together must give: a few words diverge by chance.
+EVIDENCE = 5.0
+#: Units from which a page counts as prose of its language, pages of one length from which they are a reference of their own.
+PROSE_UNITS, REFERENCE_PAGES = 16, 10
+#: Share of links and tags that any text may have.
+FEW_POINTERS = 0.01
+#: Share of function words that is enough for prose, whatever is usual.
+ENOUGH_FUNCTION = 0.5
+#: Least standard deviation of slopes and residuals.
+LEAST_DEVIATION = 0.03
+
+#: Pages that Python takes up at a time.
+PAGES_A_SLICE = 512
 
 _SPECTRUM = pa.list_(pa.struct([("f", pa.int64()), ("v", pa.int64())]))
-_PAGE = "doc_id bigint, lang string, n bigint, v bigint, function bigint, numbers bigint, links bigint, tags bigint, spectrum array<struct<f:bigint,v:bigint>>"
+_PAGE = "lang string, units bigint, function bigint, pointers bigint, spectrum array<struct<f:bigint,v:bigint>>"
 
 
 def page_counts(text: str | None, lang: str | None) -> tuple:
-    """What a page's curve is made of: its language, counts by class and the number of words of each frequency."""
+    """What a page's curve is made of: its language, its units, how many are function words and how many links or hash tags, and the number of kinds of each frequency.
+
+    A kind is a word; all links are one kind, and so are all hash tags. The language is that of most function words, the stated one in doubt.
+    A function word of any of the languages counts as one.
+    """
     text = (text or "").lower()
     if not text.isascii():
         text = _INVISIBLE.sub("", text)
     start = text.find("\\begin{document}")
     units = Counter(_UNITS.findall(text, start + 16 if start >= 0 else 0))
-    n = numbers = links = tags = v = 0
+    links = tags = words = function = 0
     spectrum: Counter[int] = Counter()
     hits = [0] * len(_LANGS)
     for unit, f in units.items():
         head = unit[0]
-        if head in "\\%":
+        if head in "\\%@1":
             continue
-        if head.isdigit():
-            numbers += f
+        if head == "#":
+            tags += f
         elif head == "h" and unit.startswith(("http://", "https://")):
             links += f
-        else:
-            tags += f * (head == "#")
-            n, v = n + f, v + 1
+        elif unit.isalpha() and len(unit) < 64:
+            words += f
+            spectrum[f] += 1
+            if known := _IN.get(unit):
+                function += f
+                for k in known:
+                    hits[k] += f
+    for f in (links, tags):
+        if f:
             spectrum[f] += 1
-            for k in _IN.get(unit, ()):
-                hits[k] += f
     best = max(range(len(_LANGS)), key=lambda k: (hits[k], _LANGS[k] == lang))
-    return _LANGS[best], n, v, hits[best], numbers, links, tags, [{"f": f, "v": k} for f, k in sorted(spectrum.items(), reverse=True)]
+    return _LANGS[best], words + links + tags, function, links + tags, [{"f": f, "v": k} for f, k in sorted(spectrum.items(), reverse=True)]
 
 
 def _pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    kinds = [pa.string(), *[pa.int64()] * 6, _SPECTRUM]
-    names = ["lang", "n", "v", "function", "numbers", "links", "tags", "spectrum"]
+    kinds = [pa.string(), *[pa.int64()] * 3, _SPECTRUM]
+    names = ["lang", "units", "function", "pointers", "spectrum"]
     for batch in batches:
-        rows = [page_counts(t, g) for t, g in zip(batch.column("text").to_pylist(), batch.column("lang").to_pylist())]
-        columns = list(zip(*rows)) or [()] * len(names)
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, k) for c, k in zip(columns, kinds))], names=["doc_id", *names])
+        for at in range(0, batch.num_rows, PAGES_A_SLICE):
+            part = batch.slice(at, PAGES_A_SLICE)
+            rows = [page_counts(t, g) for t, g in zip(part.column("text").to_pylist(), part.column("lang").to_pylist())]
+            columns = list(zip(*rows)) or [()] * len(names)
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), *(pa.array(c, k) for c, k in zip(columns, kinds))], names=["doc_id", *names])
 
 
 def rank_curves(documents: DataFrame) -> DataFrame:
-    """Per page its counts, its fitted curve, and its divergence from prose of its language at comparable lengths.
-
-    The curve's points are the ranks at which the frequency falls: ``rank`` is the running count of words down to
-    a frequency, a window over the page's frequencies. ``slope`` and ``residual`` are those of the least-squares line of
-    ln f over ln rank; ``level`` is where the curve ends, ln of its last rank, relative to ln of the words under it. The divergence is that of the shares of function words and
-    other words from the pooled shares of all pages of the same language and power of two of words, or of the whole language
-    where pages of that length are poorer in function words (short pages are seldom prose). Whole texts of all pages count.
+    """One row per row of ``documents``: ``doc_id, lang, units, function, pointers, size``, its curve's ``slope`` and ``residual``, and its ``divergence``.
+
+    The curve is a staircase: at every frequency f it runs from the first to the last rank of the words seen f times, and behind the last rank it falls to once.
+    The corners' ranks are running counts, a window over the page's frequencies; ``slope`` and ``residual`` (root mean square) are those of the
+    least-squares line of ln f over ln rank through them. ``divergence`` is the relative entropy of the shares of function words, links and tags, and
+    other words from the usual ones of the language at that length (``size``, power of two of units): pooled over its pages
+    with at least half the median share of function words, so that copies of one stuffed page don't shift it; function words not below and
+    pointers not above those of the whole language. Pages without units have no curve and diverge by 0. Whole texts of all pages count.
     """
-    documents.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "512")
-    pages = materialise(documents.select("doc_id", "text", "lang").mapInArrow(_pages, _PAGE))
     spark = documents.sparkSession
+    texts = documents.select("doc_id", "text", "lang").mapInArrow(_pages, f"doc_id {documents.schema['doc_id'].dataType.simpleString()}, {_PAGE}")
+    pages = materialise(texts.withColumn("page", F.monotonically_increasing_id()).withColumn("size", F.floor(F.log2(F.greatest(F.col("units"), F.lit(1))))))
     curves = spark.sql(
         """
-        with points as (
-          select doc_id, f * v as words, ln(f) as y, sum(v) over (partition by doc_id order by f desc) as place
-          from (select doc_id, inline(spectrum) from {pages} where v > 0)
+        with steps as (
+          select page, f, v, sum(v) over (partition by page order by f desc) as last, row_number() over (partition by page order by f) as up
+          from (select page, inline(spectrum) from {pages} where units > 0)
+        ),
+        corners as (
+          select page, inline(if(up = 1, array(named_struct('x', ln(last - v + 1), 'y', ln(f)), named_struct('x', ln(last), 'y', ln(f)), named_struct('x', ln(last + 1), 'y', 0d)),
+                                         array(named_struct('x', ln(last - v + 1), 'y', ln(f)), named_struct('x', ln(last), 'y', ln(f))))) from steps
         )
-        select doc_id, regr_slope(y, ln(place)) as slope, max(ln(place)) / ln(greatest(2, sum(words))) as level,
-          sqrt(greatest(0, regr_syy(y, ln(place)) - coalesce(try_divide(regr_sxy(y, ln(place)) * regr_sxy(y, ln(place)), regr_sxx(y, ln(place))), 0)) / count(*)) as residual
-        from points group by doc_id
+        select page, coalesce(regr_slope(y, x), 0d) as slope,
+          sqrt(greatest(0d, regr_syy(y, x) - coalesce(try_divide(regr_sxy(y, x) * regr_sxy(y, x), regr_sxx(y, x)), 0d)) / count(*)) as residual
+        from corners group by page
         """,
         pages=pages,
     )
-    sized = pages.drop("spectrum").withColumn("size", F.floor(F.log2(F.greatest(F.col("n"), F.lit(1)))))
-    cells = sized.groupBy("lang", "size").agg(F.sum("function").alias("function"), F.sum("n").alias("n"))
-    whole = cells.groupBy("lang").agg(((F.sum("function") + 1) / (F.sum("n") + 3)).alias("overall"))
-    prose = small(cells.join(small(whole), "lang").select("lang", "size", F.greatest((F.col("function") + 1) / (F.col("n") + 3), F.col("overall")).alias("usual")))
-    share = (F.col("function") + 0.01) / (F.col("n") + 0.02)
-    return (
-        sized.join(prose, ["lang", "size"])
-        .join(curves, "doc_id", "left")
-        .withColumn("share", share)
-        .withColumn("divergence", F.when(F.col("share") < F.col("usual"), F.col("share") * F.log(F.col("share") / F.col("usual")) + (1 - F.col("share")) * F.log((1 - F.col("share")) / (1 - F.col("usual")))).otherwise(0.0))
-    )
+    return _divergence(pages).join(curves, "page", "left").drop("page", "spectrum")
+
+
+def _divergence(pages: DataFrame) -> DataFrame:
+    """``pages`` with the divergence of their classes from the usual shares. What is joined is one row per language and length."""
+    share = F.col("function") / F.col("units")
+    read = pages.where(F.col("units") >= PROSE_UNITS)
+    middle = small(read.groupBy("lang").agg(F.percentile_approx(share, 0.5).alias("middle")))
+    cells = read.join(middle, "lang").where(share >= F.col("middle") / 2).groupBy("lang", "size").agg(F.sum("function").alias("function"), F.sum("pointers").alias("pointers"), F.sum("units").alias("units"))
+    whole = cells.groupBy("lang").agg(((F.sum("function") + 1) / (F.sum("units") + 3)).alias("f"), ((F.sum("pointers") + 0.01) / (F.sum("units") + 3)).alias("p"))
+    own = cells.select("lang", "size", ((F.col("function") + 1) / (F.col("units") + 3)).alias("own_f"), ((F.col("pointers") + 0.01) / (F.col("units") + 3)).alias("own_p"))
+    usual_f, usual_p = F.least(F.greatest("own_f", "f"), F.lit(ENOUGH_FUNCTION)), F.least("own_p", "p") + FEW_POINTERS
+    has_f, has_p = (F.col("function") + 0.01) / (F.col("units") + 0.02), (F.col("pointers") + 1e-4) / (F.col("units") + 0.02)
+    entropy = lambda has, usual: has * F.log(has / usual)
+    other = F.greatest(F.lit(1e-6), 1 - has_f - has_p)
+    total = entropy(has_f, usual_f) + entropy(has_p, usual_p) + entropy(other, F.greatest(F.lit(1e-6), 1 - usual_f - usual_p))
+    joined = pages.join(small(own), ["lang", "size"], "left").join(small(whole), "lang", "left")
+    # more function words than usual is no sign
+    level = has_f.isNotNull() & (has_f >= usual_f) & (has_p <= usual_p)
+    return joined.withColumn("divergence", F.when((F.col("units") == 0) | level, 0.0).otherwise(F.coalesce(total, F.lit(0.0)))).drop("own_f", "own_p", "f", "p")
 
 
 def stuffed_pages(documents: DataFrame) -> DataFrame:
     """``doc_id`` of pages that are for the most part keywords, links or tags.
 
-    A page far from its language's prose is one if it has as many links as no explained list has, or if its curve is
-    too low for its length (few words, each often), or if numbers or hash tags stand between repeated words. A page less far from prose
-    is one if its curve is extremely low: sentences made of one phrase. Null, empty and blank texts, stubs, and tables of
-    numbers have too few words for a curve and no links, and are none. Each row is judged by itself, so copies come out alike.
+    A page is one if its classes of words diverge extremely from prose of its language at comparable lengths, or if they
+    diverge clearly and its curve is extreme: its slope lies ``STEEP`` deviations below, or its residual ``UNEVEN`` above, the
+    means over prose pages of that language and length (of the language, where there are fewer than ``REFERENCE_PAGES``; without any the
+    divergence alone counts). All units of the page together must give ``EVIDENCE``, so null, empty and blank texts, stubs, style files and tables of
+    numbers, which have few words, are none. Each row is judged by itself, so copies come out alike. No rows give no rows.
     """
-    # a curve that ends early: at 30 words below 0.80 of their logarithm, less with every power of ten
-    low = F.lit(0.80) - 0.06 * F.log10(F.col("n") / 30)
-    words = F.col("n") >= LEAST_WORDS
-    far = F.col("divergence") >= NO_PROSE
-    linked = (F.col("links") >= LEAST_LINKS) & ((F.col("links") >= LINKS_ONLY * F.col("n")) | (far & (F.col("links") >= LINK_SHARE * F.col("n"))))
-    repeated = words & far & (F.col("level") < low)
-    tagged = words & far & (F.col("level") < 0.88) & (F.col("numbers").between(NUMBER_SHARE * F.col("n"), 2 * F.col("n")))
-    hashed = far & (F.col("tags") >= 8) & (F.col("tags") >= TAG_SHARE * F.col("n"))
-    phrased = (F.col("n") >= 100) & (F.col("divergence") >= LESS_PROSE) & (F.col("level") < low - 0.02)
-    return rank_curves(documents).where(linked | repeated | tagged | hashed | phrased).select("doc_id")
+    curves = materialise(rank_curves(documents))
+    prose = curves.where((F.col("units") >= PROSE_UNITS) & (F.col("divergence") < 0.05))
+    figures = lambda name: [x for c in ("slope", "residual") for x in (F.avg(c).alias(f"{name}_{c}"), F.stddev(c).alias(f"{name}_{c}_by"))]
+    own = small(prose.groupBy("lang", "size").agg(*figures("own"), F.count(F.lit(1)).alias("n")).where(F.col("n") >= REFERENCE_PAGES).drop("n"))
+    whole = small(prose.groupBy("lang").agg(*figures("all"), F.count(F.lit(1)).alias("n")).where(F.col("n") >= REFERENCE_PAGES).drop("n"))
+    far = lambda c: (F.col(c) - F.coalesce(f"own_{c}", f"all_{c}")) / F.greatest(F.coalesce(f"own_{c}_by", f"all_{c}_by"), F.lit(LEAST_DEVIATION))
+    extreme = (far("slope") <= -STEEP) | (far("residual") >= UNEVEN)
+    held = curves.join(own, ["lang", "size"], "left").join(whole, "lang", "left").where(F.col("units") * F.col("divergence") >= EVIDENCE)
+    return held.where((F.col("divergence") >= DIVERGENCE) | ((F.col("divergence") >= WITH_CURVE) & F.coalesce(extreme, F.lit(False)))).select("doc_id")
 
 
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:

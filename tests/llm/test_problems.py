@@ -361,3 +361,19 @@ def test_pages(spark):
     assert sorted(set(got)) == sorted(spam)
     assert stuffing.stuffed_pages(df.limit(0)).count() == 0
     assert stuffing.rank_curves(df).count() == len(rows) or stuffing.rank_curves(df).select("doc_id").distinct().count() == len({r[0] for r in rows})
+
+
+def test_extreme_curves_decide(spark, monkeypatch):
+    """A page of one phrase has a fair share of function words: its curve flags it, and nothing else does. A page as short of function words but varied stays."""
+    rng = random.Random(7)
+    terms = [f"{a}{b}" for a in ("smooth", "linear", "finite", "local", "sparse", "global", "noisy", "weak") for b in ("mesh", "flow", "graph", "layer", "tensor", "index")]
+    prose = lambda k: " ".join(f"The {rng.choice(terms)} of {rng.choice(terms)} is {rng.choice(terms)} for the {rng.choice(terms)}, and it is not {rng.choice(terms)}." for _ in range(k))
+    rows = [(i, prose(14 + i % 5), "en") for i in range(60)]
+    rows += [(100, "Looking for used laptop? Our used laptop is the used laptop you want now. " * 14, "en"), (101, " ".join(f"On the w{'abcdefghij'[i % 10]}{'klmnopq'[i // 10]}ra of z{'abcdefghij'[i // 7]}{'rstuvwx'[i % 7]}lo u{'abcdefg'[i % 7]}{'hijklmnopq'[i // 7]}ta" for i in range(70)), "en")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    curves = {r.doc_id: r for r in stuffing.rank_curves(df).where("doc_id >= 100").collect()}
+    assert all(curves[i].divergence < stuffing.DIVERGENCE for i in (100, 101)) and curves[100].divergence >= stuffing.WITH_CURVE
+    assert [r.doc_id for r in stuffing.stuffed_pages(df).collect()] == [100]
+    monkeypatch.setattr(stuffing, "STEEP", 1e9)
+    monkeypatch.setattr(stuffing, "UNEVEN", 1e9)
+    assert stuffing.stuffed_pages(df).count() == 0
