@@ -15,7 +15,8 @@ from functools import lru_cache
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from linkloom.llm.names import expand, once, side
+from linkloom.llm.names import once, side
+from linkloom.llm.pairs import expand
 from linkloom.llm.plain import heard, near, plain, rewritings, spellings
 from linkloom.runtime import materialise, table
 
@@ -205,7 +206,7 @@ def location_pairs(records: DataFrame) -> DataFrame:
     Null, blank and placeholder addresses, and those without a house or plot number, pair with nothing. Linking is between distinct addresses.
     """
     entities = materialise(once(records, "business_address"))
-    return expand(address_links(entities), entities).distinct()
+    return expand(address_links(entities), entities)
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,19 +1,20 @@
 """Problem 2: names of one firm or person in different spellings.
 
 A name is rewritten canonically: look-alikes, case, accents and scripts are levelled, legal forms, greetings and trade words are
-recognised in any abbreviation and set aside, nicknames and initials become formal names, parts are put in order, split
-or joined words are read every way, and misspelt words become the corpus' frequent neighbours. Each rewriting is a form; forms are equi-joined.
+recognised in any abbreviation and set aside, words that the corpus has before or behind many names and also leaves out (affixes) as well,
+nicknames and initials become formal names, parts are put in order, split or joined words are read every way, long names also become their
+initials, and misspelt words become the corpus' frequent neighbours. Each rewriting is a form; forms are equi-joined.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
-from functools import lru_cache
+from collections.abc import Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from linkloom.llm.pairs import expand
 from linkloom.llm.plain import WORD_UP_TO, Lexicon, heard, plain, rewritings, spellings
 from linkloom.runtime import materialise, table
 
@@ -21,8 +22,6 @@ from linkloom.runtime import materialise, table
 LEGAL = "limited ltd private pvt pte llc llp lp plc inc incorporated corp corporation co company partnership liability cie sarl sas sasu sa eurl gmbh ag kg ohg ug societe par actions simplifiee responsabilite limitee a p l srl spa bv nv".split()
 #: Words that say nothing about a name.
 EMPTY = "and the et m s ms messrs mr mrs miss mme dr prof sri shri smt of de".split()
-#: First words of firms that may be left out or shortened.
-LEADS = "global royal sunrise metro united national green premier star modern crown new".split()
 #: Trades, each with the words that name it.
 TRADES = {
     "furniture": "furniture", "logistics": "logistics", "foods": "foods", "electronics": "electronics", "services": "services", "motors": "motors", "construction": "construction", "bakery": "bakery",
@@ -49,34 +48,20 @@ _FORMAL: dict[str, tuple[str, ...]] = {}
 for _formal, _short in NICKNAMES.items():
     for _name in [_formal, *_short.split()]:
         _FORMAL[_name] = (*_FORMAL.get(_name, ()), _formal)
-_TRADE_WORDS = [(trade, w) for trade, words in TRADES.items() for w in words.split()]
-_LEXICONS = {
-    "trade": Lexicon({w: trade for trade, w in _TRADE_WORDS}, 5, 9),
-    "legal": Lexicon({w: w for w in LEGAL}, 6, 8),
-    "lead": Lexicon({w: w for w in LEADS}, 5, 8),
-    "beside": Lexicon({w: w for w in BESIDE}, 6),
-    "shop": Lexicon({w: w for w in SHOPS}, 6),
-    "first": Lexicon({w: w for w in NICKNAMES if len(w) >= 6}, 6),
-}
 _OTHER_NAME = re.compile(r"\b(?:d[/. ]?b[/. ]?a|f[/. ]?k[/. ]?a|a[/. ]?k[/. ]?a|t/a|trading as|doing business as|formerly(?: known as)?|also known as)\b\.?")
 _TOKENS = re.compile(r"[a-z]+|\d+")
 _CUT = re.compile(r"\b([a-z]+)\.")
-_SYLLABLES = re.compile(r"(?:[b-df-hj-np-tv-z]{1,2}[aeiou]){3,}")
+#: A word in brackets behind a name belongs before it.
+_BEHIND = re.compile(r"^(.*\S)\s*\(([a-z]+\.?)\)\s*$")
 _FIRM_FROM = 4
 
-
-@lru_cache(maxsize=200_000)
-def trades_of(token: str) -> tuple[str, ...]:
-    """Trades that a token may name: in full, misspelt, cut short, or with letters left out."""
-    syllables = bool(_SYLLABLES.fullmatch(token))
-    if named := _LEXICONS["trade"].find(token, syllables):
-        return tuple(sorted(set(named)))
-    if len(token) < 3 or len(token) > 9 or syllables:
-        return ()
-    cut = {t for t, w in _TRADE_WORDS if w.startswith(token)}
-    if cut:
-        return tuple(sorted(cut))
-    return tuple(sorted({t for t, w in _TRADE_WORDS if w[0] == token[0] and _left_out(token, w)}))
+#: A word counts as common from so many of the corpus' distinct names, and from one in so many of them; this bounds the common words that are broadcast to
+#: ``COMMON_ONE_IN`` times the mean number of words of a name.
+COMMON_FROM, COMMON_ONE_IN = 20, 20_000
+#: A common word is an affix if so many different rests stand with it and without it, and so large a share of its rests.
+AFFIX_RESTS, AFFIX_SHARE = 3, 0.005
+#: Tokens that a process remembers before it starts afresh; bounds its memory, not its results.
+TOKENS_KEPT = 200_000
 
 
 def _left_out(token: str, word: str) -> bool:
@@ -92,22 +77,6 @@ def _left_out(token: str, word: str) -> bool:
     return not set(token[i : len(token) - j]) & set("aeiou") and len(token) * 5 >= len(word)
 
 
-@lru_cache(maxsize=100_000)
-def _known(token: str, which: str) -> str | None:
-    """The word of a list that ``token`` is, or of which it is a slight misspelling."""
-    return next(iter(_LEXICONS[which].find(token, bool(_SYLLABLES.fullmatch(token)))), None)
-
-
-@lru_cache(maxsize=100_000)
-def formal_names(token: str) -> tuple[str, ...]:
-    """Formal first names of a name, nickname or slight misspelling of a long name."""
-    if token in _FORMAL:
-        return _FORMAL[token]
-    if len(token) >= 6 and not _SYLLABLES.fullmatch(token):
-        return tuple(_LEXICONS["first"].find(token))
-    return ()
-
-
 def _joined_letters(tokens: list[str]) -> list[str]:
     """Runs of three or more single letters that spell a legal form are joined: l l c. Two may be a person's initials."""
     out, i = [], 0
@@ -127,7 +96,10 @@ def _joined_letters(tokens: list[str]) -> list[str]:
 
 
 def _readings(words: list[str]) -> tuple[list[list[str]], bool]:
-    """Every way to read tokens as two words: as they stand, neighbours joined, or one split; and whether that is a guess."""
+    """Every way to read tokens as two words: as they stand, neighbours joined, or one split; and whether that is a guess.
+
+    Five and more words are read as a bag and as one run of letters, so that words split or joined anywhere are no difference.
+    """
     if len(words) == 2:
         cuts = [words]
     elif len(words) == 1:
@@ -136,63 +108,10 @@ def _readings(words: list[str]) -> tuple[list[list[str]], bool]:
     elif len(words) in (3, 4):
         cuts = [["".join(words[:i]), "".join(words[i:])] for i in range(1, len(words))]
     else:
-        cuts = [[" ".join(sorted(words)), ""]]
+        return [[a, ""] for x in (" ".join(sorted(words)), "".join(words)) for a in spellings(x)], False
     return [[a, b] for x, y in cuts for a in spellings(x) for b in spellings(y)], len(cuts) > 1
 
 
-def _part(text: str) -> list[dict]:
-    text = re.sub(r"(?<=\b[a-z])\.(?=[a-z]\b)", "", text)  # l.l.c. -> llc.
-    text = re.sub(r"\(p\)|\bp\.? (?=ltd|limited)|m/s|\ba (?=respon)", " ", text)
-    tokens = _joined_letters(_TOKENS.findall(text.replace("'", "")))
-    short = set(_CUT.findall(text))
-    lead, hits, words = "", [], []
-    for t in tokens:
-        if t in EMPTY and len(t) > 1 and t not in _FORMAL:
-            continue
-        if lead_word := next((w for w in LEADS if t == w[:3] and (t in short or t == "new")), None) or _known(t, "lead"):
-            lead = lead_word
-        elif (len(t) > 1 and _known(t, "legal")) or _known(t, "beside") or t in ("schl", "clnc", "std", "stud", "clin", "sch"):
-            continue
-        elif len(t) > 2 and not (t in _FORMAL and t not in short) and (named := trades_of(t)):
-            hits.append((len(words), t, named))
-            words.append(t)
-        else:
-            words.append(t)
-    trades = _settle(hits, words)
-    # a person: a first name or an initial beside one surname
-    long = [w for w in words if len(w) > 1]
-    formal = [w for w in long if formal_names(w)]
-    others = [w for w in long if w not in formal]
-    initials = [w for w in words if len(w) == 1 and w.isalpha()]
-    if others and len("".join(others)) >= 4 and (formal or (initials and len(others) == 1)) and len(others) <= 2 and not lead:
-        firsts = sorted({f for w in formal for f in formal_names(w)} if len(formal) == 1 else set.intersection(*(set(formal_names(w)) for w in formal)) or set(formal_names(formal[0]))) if formal else []
-        if not firsts and initials:
-            firsts, initials = [initials[0]], initials[1:]
-        middle = initials[0] if initials else ""
-        person = {"kind": "p", "readings": [[a, ""] for a in spellings("".join(others))], "guess": False, "lead": "", "trades": _one(trades), "firsts": firsts, "middle": middle}
-        if len(others) == 1 or initials:
-            return [person]
-        readings, guess = _readings(long)
-        return [person, {"kind": "f", "readings": readings, "guess": guess, "lead": "", "trades": _one(trades), "firsts": [], "middle": ""}]
-    if any(w in _LEGAL_LETTERS for w in initials):
-        words = [w for w in words if w not in _LEGAL_LETTERS]
-    words = [w for w in words if len(w) > 1 or w.isdigit()] or words
-    if not words:
-        return []
-    readings, guess = _readings(words)
-    return [{"kind": "f", "readings": readings, "guess": guess, "lead": lead, "trades": _one(trades), "firsts": [], "middle": ""}]
-
-
-def _settle(hits: list[tuple[int, str, tuple[str, ...]]], words: list[str]) -> list[tuple[str, ...]]:
-    """Takes the trade words out of ``words``. Where tokens name different trades, those written in full count, and the others are plain words."""
-    sure = [h for h in hits if any(heard(h[1]) == heard(w) for _, w in _TRADE_WORDS)]
-    if sure and len(sure) < len(hits) and not set.intersection(*(set(h[2]) for h in hits)):
-        hits = sure
-    for at, _, _ in reversed(hits):
-        del words[at]
-    return [h[2] for h in hits]
-
-
 _LEGAL_LETTERS = frozenset("plcsarmbhegu")
 
 
@@ -203,26 +122,193 @@ def _one(trades: list[tuple[str, ...]]) -> list[str]:
     return sorted(set.intersection(*map(set, trades)) or set(trades[0]))
 
 
-@lru_cache(maxsize=50_000)
-def parse_name(name: str | None) -> tuple[dict, ...]:
-    """Readings of a name: one per name it holds. None of null, blank and placeholder names."""
-    text = plain(name)
-    if not text:
-        return ()
-    parts = [p for p in (_part(x) for x in _OTHER_NAME.split(text) if x.strip()) if p]
-    if len(parts) > 1:
-        full = [p for x, p in zip(_OTHER_NAME.split(text), parts) if not any(_known(t, "shop") for t in _TOKENS.findall(x))]
-        parts = full or parts[-1:]
-    return tuple(x for p in parts for x in p)
+class Reader:
+    """Parses names with what the corpus knows: its common words, and its affixes before (``leads``) and behind (``trades``) names.
+
+    A common word is never taken for a misspelling of another one, and a misspelling keeps its first letter.
+    """
+
+    def __init__(self, common: frozenset[str] = frozenset(), leads: Iterable[str] = (), trades: Iterable[str] = ()):
+        self._common = common
+        self._leads = tuple(leads)
+        self._trade_words = [(trade, w) for trade, words in TRADES.items() for w in words.split()] + [(w, w) for w in trades]
+        self._heard_trades = {heard(w) for _, w in self._trade_words}
+        self._lexicons = {
+            "trade": Lexicon({w: trade for trade, w in self._trade_words}, 5, 9),
+            "legal": Lexicon({w: w for w in LEGAL}, 6, 8),
+            "lead": Lexicon({w: w for w in self._leads}, 5, 8),
+            "beside": Lexicon({w: w for w in BESIDE}, 6),
+            "shop": Lexicon({w: w for w in SHOPS}, 6),
+            "first": Lexicon({w: w for w in NICKNAMES if len(w) >= 6}, 6),
+        }
+        self._found: dict[tuple[str, str], tuple] = {}
+
+    def _find(self, token: str, which: str) -> tuple:
+        """Values of the words of a list that ``token`` may be."""
+        key = (token, which)
+        known = self._found.get(key)
+        if known is None:
+            if len(self._found) > TOKENS_KEPT:
+                self._found.clear()
+            known = self._found[key] = tuple(sorted(set(self._lexicons[which].find(token, exact=token in self._common))))
+        return known
+
+    def trades_of(self, token: str) -> tuple[str, ...]:
+        """Trades that a token may name: in full, misspelt, cut short, or with letters left out."""
+        key = (token, "trades")
+        known = self._found.get(key)
+        if known is None:
+            known = self._found[key] = self._trades(token)
+        return known
+
+    def _trades(self, token: str) -> tuple[str, ...]:
+        if named := self._find(token, "trade"):
+            return named
+        if len(token) < 3:
+            return ()
+        if cut := {t for t, w in self._trade_words if w.startswith(token)}:
+            return tuple(sorted(cut))
+        return tuple(sorted({t for t, w in self._trade_words if w[0] == token[0] and len(token) < len(w) and _left_out(token, w)}))
+
+    def formal_names(self, token: str) -> tuple[str, ...]:
+        """Formal first names of a name, nickname or slight misspelling of a long name."""
+        if token in _FORMAL:
+            return _FORMAL[token]
+        return self._find(token, "first") if len(token) >= 6 else ()
+
+    def _settle(self, hits: list[tuple[int, str, tuple[str, ...]]], words: list[str], short: set[str]) -> list[tuple[str, ...]]:
+        """Takes the trade words out of ``words``. Where tokens name different trades, those written in full count, and the others are plain words.
+
+        An abbreviation without a dot is a plain word beside a single short word, as in a name of two words one of which looks like an abbreviation.
+        """
+        sure = [h for h in hits if heard(h[1]) in self._heard_trades]
+        if sure and len(sure) < len(hits) and not set.intersection(*(set(h[2]) for h in hits)):
+            hits = sure
+        rest = [w for k, w in enumerate(words) if k not in {h[0] for h in hits}]
+        if len(rest) == 1 and 1 < len(rest[0]) < 10:
+            hits = [h for h in hits if h in sure or h[1] in short]
+        for at, _, _ in reversed(hits):
+            del words[at]
+        return [h[2] for h in hits]
+
+    def _part(self, text: str) -> list[dict]:
+        text = re.sub(r"(?<=\b[a-z])\.(?=[a-z]\b)", "", text)  # l.l.c. -> llc.
+        text = re.sub(r"\(p\)|\bp\.? (?=ltd|limited)|m/s|\ba (?=respon)", " ", text)
+        text = _BEHIND.sub(r"\2 \1", text)
+        tokens = _joined_letters(_TOKENS.findall(text.replace("'", "")))
+        short = set(_CUT.findall(text))
+        lead, hits, words = "", [], []
+        for t in tokens:
+            if t in EMPTY and len(t) > 1 and t not in _FORMAL:
+                continue
+            if lead_word := self._lead(t, short):
+                lead = lead_word
+            elif (len(t) > 1 and self._find(t, "legal")) or self._find(t, "beside") or t in ("schl", "clnc", "std", "stud", "clin", "sch"):
+                continue
+            elif len(t) > 2 and not (t in _FORMAL and t not in short) and (named := self.trades_of(t)):
+                hits.append((len(words), t, named))
+                words.append(t)
+            else:
+                words.append(t)
+        spelt = "".join(w[0] for w in words if w.isalpha())
+        trades = self._settle(hits, words, short)
+        if lead and not any(len(w) > 1 for w in words):
+            lead, words = "", [lead, *words]
+        # a person: a first name or an initial beside one surname
+        long = [w for w in words if len(w) > 1]
+        formal = [w for w in long if self.formal_names(w)]
+        others = [w for w in long if w not in formal]
+        initials = [w for w in words if len(w) == 1 and w.isalpha()]
+        firm = lambda readings, guess, lead: {"kind": "f", "readings": readings, "guess": guess, "lead": lead, "trades": _one(trades), "firsts": [], "middle": ""}
+        if others and len("".join(others)) >= 4 and (formal or (initials and len(others) == 1)) and len(others) <= 2 and not lead:
+            names = [set(self.formal_names(w)) for w in formal]
+            firsts = sorted(set.intersection(*names) or names[0]) if formal else []
+            if not firsts and initials:
+                firsts, initials = [initials[0]], initials[1:]
+            middle = initials[0] if initials else ""
+            person = {"kind": "p", "readings": [[a, ""] for a in spellings("".join(others))], "guess": False, "lead": "", "trades": _one(trades), "firsts": firsts, "middle": middle}
+            if len(others) == 1 or initials:
+                return [person]
+            return [person, firm(*_readings(long), "")]
+        if any(w in _LEGAL_LETTERS for w in initials):
+            words = [w for w in words if w not in _LEGAL_LETTERS]
+        words = [w for w in words if len(w) > 1 or w.isdigit()] or words
+        if not words:
+            return []
+        out = [firm(*_readings(words), lead)]
+        if not lead and len(words) in (3, 4):
+            # the first word may be one that the corpus leaves out, rarely
+            out.append(firm(_readings(words[1:])[0], True, words[0]))
+        if len(words) >= 2 and 3 <= len(spelt) <= 6:
+            out.append(firm([[spelt, ""]], True, lead) | {"trades": []})
+        return out
+
+    def _lead(self, token: str, short: set[str]) -> str:
+        if token in short and len(token) >= 3 and (cut := [w for w in self._leads if w.startswith(token)]):
+            return cut[0]
+        return next(iter(self._find(token, "lead")), "")
+
+    def parse(self, name: str | None) -> list[dict]:
+        """Readings of a name: one or more per name it holds. None of null, blank and placeholder names."""
+        text = plain(name)
+        if not text:
+            return []
+        said = [x for x in _OTHER_NAME.split(text) if x.strip()]
+        parts = [(x, p) for x in said if (p := self._part(x))]
+        if len(parts) > 1:
+            parts = [(x, p) for x, p in parts if not any(self._find(t, "shop") for t in _TOKENS.findall(x))] or parts[-1:]
+        return [x for _, p in parts for x in p]
+
+
+def parse_name(name: str | None) -> list[dict]:
+    """:meth:`Reader.parse` without a corpus."""
+    return Reader().parse(name)
+
+
+def vocabulary(names: DataFrame) -> tuple[frozenset[str], list[str], list[str]]:
+    """Common words, leads and trades of the corpus of ``names`` (``value``, ``text``, distinct).
+
+    Counts are over all names. A word is an affix where names stand with it and without it: the rest of a name without its first (last) word is
+    another whole name, legal forms left out. What comes to the driver is bounded by ``COMMON_ONE_IN``.
+    """
+    tokens = F.regexp_extract_all("text", F.lit("([a-z]+)"), F.lit(1))
+    ignored = F.array(*(F.lit(w) for w in sorted({*LEGAL, *EMPTY})))
+    words = materialise(names.select(F.filter(tokens, lambda w: (F.length(w) > 1) & ~F.array_contains(ignored, w)).alias("words")))
+    least = max(COMMON_FROM, -(-words.count() // COMMON_ONE_IN))
+    common = frozenset(r.word for r in words.select(F.explode(F.array_distinct("words")).alias("word")).groupBy("word").count().where(F.col("count") >= least).select("word").collect())
+    size = F.size("words")
+    whole = words.where(size >= 2).select(F.xxhash64("words").alias("rest")).distinct()
+    ends = words.where(size >= 3).select(
+        F.explode(F.array(
+            F.struct(F.lit("lead").alias("role"), F.col("words")[0].alias("word"), F.xxhash64(F.slice("words", 2, size)).alias("rest")),
+            F.struct(F.lit("trade").alias("role"), F.element_at("words", -1).alias("word"), F.xxhash64(F.slice("words", 1, size - 1)).alias("rest")),
+        )).alias("e")
+    ).select("e.*").distinct()
+    kept = ends.join(whole.withColumn("stands", F.lit(1)), "rest", "left").groupBy("role", "word").agg(F.count("stands").alias("both"), F.count(F.lit(1)).alias("n"))
+    kept = kept.where((F.col("both") >= AFFIX_RESTS) & (F.col("both") >= AFFIX_SHARE * F.col("n"))).orderBy(F.desc("both"), "word").select("role", "word", "both").collect()
+    plainly = Reader()
+    known = set(_FORMAL) | {*BESIDE, *SHOPS}
+    best = {w: max((r.both, r.role) for r in kept if r.word == w)[1] for w in {r.word for r in kept} & common - known if len(w) >= 3 and not plainly.trades_of(w)}
+    return common, sorted(w for w, role in best.items() if role == "lead"), sorted(w for w, role in best.items() if role == "trade")
 
 
 _FORM = "kind string, readings array<array<string>>, guess boolean, lead string, trades array<string>, firsts array<string>, middle string"
 
 
-def _parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _plain(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        rows = [(value, p["kind"], p["readings"], p["guess"], p["lead"], p["trades"], p["firsts"], p["middle"]) for value in batch["value"] for p in parse_name(value)]
-        yield pd.DataFrame(rows, columns=["value", "kind", "readings", "guess", "lead", "trades", "firsts", "middle"])
+        batch = batch.assign(text=[plain(v) for v in batch["value"]])
+        yield batch[batch["text"] != ""]
+
+
+def _parser(known):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        reader = Reader(*known.value)
+        for batch in batches:
+            rows = [(value, p["kind"], p["readings"], p["guess"], p["lead"], p["trades"], p["firsts"], p["middle"]) for value, text in zip(batch["value"], batch["text"]) for p in reader.parse(text)]
+            yield pd.DataFrame(rows, columns=["value", "kind", "readings", "guess", "lead", "trades", "firsts", "middle"])
+
+    return run
 
 
 def name_forms(names: DataFrame) -> DataFrame:
@@ -231,7 +317,9 @@ def name_forms(names: DataFrame) -> DataFrame:
     ``key`` joins the two distinguishing words of a firm in alphabetical order, or a person's surname and first initial.
     Words count over all names; readings of a token split or joined are kept only where both words are known otherwise.
     """
-    parsed = materialise(names.select("value").where("value is not null").distinct().mapInPandas(_parse, "value string, " + _FORM))
+    texts = materialise(names.select("value").where("value is not null").distinct().mapInPandas(_plain, "value string, text string"))
+    known = names.sparkSession.sparkContext.broadcast(vocabulary(texts))
+    parsed = materialise(texts.mapInPandas(_parser(known), "value string, " + _FORM))
     read = parsed.select("*", F.posexplode("readings").alias("reading", "words")).drop("readings")
     read = read.withColumn("w1", F.col("words")[0]).withColumn("w2", F.col("words")[1]).drop("words")
     natural = read.where("not guess")
@@ -262,7 +350,10 @@ def agreeing(a, b):
     full = lambda side: F.exists(side("firsts"), lambda x: F.length(x) > 1)
     firsts = ~(full(a) & full(b)) | F.arrays_overlap(a("firsts"), b("firsts"))
     person = (a("kind") == "f") | ((F.size(a("firsts")) > 0) & (F.size(b("firsts")) > 0))
-    return either("lead") & either("middle") & trades & firsts & person
+    # a word before the name may be cut short or misspelt
+    la, lb = a("lead"), b("lead")
+    lead = either("lead") | ((F.length(la) >= 3) & lb.startswith(la)) | ((F.length(lb) >= 3) & la.startswith(lb)) | ((F.length(la) >= 5) & (F.levenshtein(la, lb) <= 1))
+    return lead & either("middle") & trades & firsts & person
 
 
 def side(alias: str):
@@ -293,13 +384,6 @@ def once(records: DataFrame, column: str) -> DataFrame:
     return records.where("entity_id is not null").groupBy("entity_id").agg(F.max(column).alias("value")).where("value is not null")
 
 
-def expand(links: DataFrame, entities: DataFrame) -> DataFrame:
-    """Pairs of values to pairs of the entities that have them: ``id_a < id_b``."""
-    left = entities.select(F.col("entity_id").alias("x"), F.col("value").alias("value_a"))
-    right = entities.select(F.col("entity_id").alias("y"), F.col("value").alias("value_b"))
-    return links.join(left, "value_a").join(right, "value_b").select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"))
-
-
 def spelling_pairs(records: DataFrame) -> DataFrame:
     """``id_a, id_b`` of entities whose names are spellings of one name but not the same string.
 
@@ -307,7 +391,7 @@ def spelling_pairs(records: DataFrame) -> DataFrame:
     names, so copies of a name cost nothing until they are expanded.
     """
     entities = materialise(once(records, "business_name"))
-    return expand(name_links(entities), entities).distinct()
+    return expand(name_links(entities), entities)
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -73,7 +73,7 @@ def plain(text: str | None) -> str:
 
 #: Letters that different scripts and hands write for one sound; letters and pairs that are heard alike.
 _WRITTEN = ((re.compile("ck|q|c"), "k"), (re.compile("w"), "v"))
-_HEARD = ((re.compile("au"), "o"), (re.compile("oo"), "u"), (re.compile("ee"), "i"), (re.compile("ph"), "f"), (re.compile("zh"), "j"), (re.compile(r"(.)\1+"), r"\1"))
+_HEARD = ((re.compile("(?<=[aou])e"), ""), (re.compile("au"), "o"), (re.compile("oo"), "u"), (re.compile("ee"), "i"), (re.compile("ph"), "f"), (re.compile("zh"), "j"), (re.compile(r"(.)\1+"), r"\1"))
 
 
 @lru_cache(maxsize=512)
@@ -109,6 +109,11 @@ def near(a: str, b: str) -> bool:
     return a[i + 1 :] == b[i + 1 :] or a[i + 1 :] == b[i:] or a[i:] == b[i + 1 :] or (a[i + 2 :] == b[i + 2 :] and a[i : i + 2] == b[i : i + 2][::-1])
 
 
+def _begins(word: str, form: str) -> bool:
+    """Whether ``form`` begins with the word's first letter or with its first two swapped."""
+    return word[0] == form[0] or word[:2] == form[1::-1]
+
+
 @lru_cache(maxsize=512)
 def _shorter(word: str, letters: int) -> frozenset[str]:
     """The word and what is left of it without up to so many letters. A few are kept, as one token is looked up in several lists."""
@@ -134,20 +139,21 @@ class Lexicon:
                 if len(w) >= long:
                     for key in _shorter(form, 2):
                         self._twice.setdefault(key, {})[form] = v
+        self._once_keys, self._twice_keys = frozenset(self._once), frozenset(self._twice)
 
-    def find(self, token: str, syllables: bool = False) -> list:
-        """Values of the words that ``token`` may be. A token of plain ``syllables`` is only matched at one edit that its own rest shows."""
+    def find(self, token: str, exact: bool = False) -> list:
+        """Values of the words that ``token`` may be. A misspelling has the word's first letter, if only at the second place; an ``exact`` token is none."""
         if token in self._exact:
             return [self._exact[token]]
         folded = heard(token)
         if folded in self._exact:
             return [self._exact[folded]]
-        if not self._least - 1 <= len(token) <= WORD_UP_TO:  # a letter may be missing
+        if exact or not self._least - 1 <= len(token) <= WORD_UP_TO:  # a letter may be missing
             return []
         forms = spellings(token)
-        close = {w: v for form in forms for key in _shorter(form, 1) for w, v in self._once.get(key, {}).items() if near(w, form)}
-        if not close and not syllables and len(folded) >= self._long - 2:
-            close = {w: v for form in forms for key in _shorter(form, 2) for w, v in self._twice.get(key, {}).items()}
+        close = {w: v for form in forms for key in _shorter(form, 1) & self._once_keys for w, v in self._once[key].items() if _begins(w, form) and near(w, form)}
+        if not close and self._twice_keys and len(folded) >= self._long - 2:
+            close = {w: v for form in forms for key in _shorter(form, 2) & self._twice_keys for w, v in self._twice[key].items() if _begins(w, form)}
         return list(close.values())
 
 
@@ -158,6 +164,8 @@ def _deletions(word) -> list:
 
 #: Letters below which a word isn't corrected, and above which a run of letters is no word to correct.
 CORRECT_FROM, WORD_UP_TO = 5, 48
+#: Mean length of two words from which they may differ in their first letter.
+FIRST_FROM = 6
 #: A word is a misspelling of a neighbour that is at least so many times as frequent, or if it is itself seen at most so often.
 RATIO, RARE = 3, 2
 
@@ -174,6 +182,7 @@ def rewritings(words: DataFrame) -> DataFrame:
     other = keyed.where("n > 0").select(F.col("word").alias("form"), F.col("n").alias("m"), "key")
     close = (
         keyed.join(other, "key")
+        .where((F.substring("word", 1, 1) == F.substring("form", 1, 1)) | (F.substring("word", 1, 2) == F.reverse(F.substring("form", 1, 2))) | (F.length("word") + F.length("form") >= 2 * FIRST_FROM))
         .where((F.col("word") != F.col("form")) & ((F.col("m") >= RATIO * F.col("n")) | ((F.col("n") <= RARE) & ((F.col("m") > F.col("n")) | ((F.col("m") == F.col("n")) & (F.col("form") < F.col("word")))))))
         .select("word", "form", "n", "m")
         .distinct()

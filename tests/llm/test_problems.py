@@ -111,6 +111,31 @@ def test_names(spark):
     assert linked(names.spelling_pairs(long)) == set()
 
 
+def test_exact_words_win(spark):
+    """A plain word isn't a misspelt dictionary word, an abbreviation needs a name beside it, umlauts and initials are read."""
+    pairs_ = [("Alex Brown", "Alex Crown"), ("James Woods", "James Foods"), ("Car Rental Co", "Car Dental Co"), ("Tex Williams", "Williams Textiles")]
+    rows = [(f"S{s}-{i}", n, "x", "US") for i, pair in enumerate(pairs_) for s, n in enumerate(pair, 2)]
+    assert linked(names.spelling_pairs(records_of(spark, rows))) == set()
+    rows = [("S2-1", "Müller GmbH", "x", "Germany"), ("S3-1", "Mueller", "x", "Germany"), ("S2-2", "IBM Corp", "x", "US"), ("S3-2", "International Business Machines", "x", "US"), ("S2-3", "One Two Three Four Five Six", "x", "US"), ("S3-3", "One TwoThree Four Five Six", "x", "US")]
+    assert linked(names.spelling_pairs(records_of(spark, rows))) == {("S2-1", "S3-1"), ("S2-2", "S3-2"), ("S2-3", "S3-3")}
+
+
+def test_affixes_are_learned(spark):
+    w = [a.lower() for x in words(40) for a in x[:2]]
+    firms = [f"{a} {b}" for a, b in zip(w[::2], w[1::2])]
+    rows = [(n, n) for f in firms for n in (f, f"zentral {f}", f"{f} zapfhahn")]
+    common, leads, trades = names.vocabulary(spark.createDataFrame(rows, "value string, text string"))
+    assert leads == ["zentral"] and trades == ["zapfhahn"] and common == {"zentral", "zapfhahn"}
+
+
+def test_hot_values_are_split(spark, monkeypatch):
+    monkeypatch.setattr(pairs, "ENTITIES_A_PART", 7)
+    entities = spark.createDataFrame([(f"e{i:03d}", "ab"[i % 2] if i < 60 else f"v{i}") for i in range(90)], "entity_id string, value string")
+    got = [tuple(r) for r in pairs.expand(spark.createDataFrame([("a", "b"), ("a", "v61")], "value_a string, value_b string"), entities).collect()]
+    want = {(min(x, y), max(x, y)) for i in range(0, 60, 2) for x in [f"e{i:03d}"] for y in [f"e{j:03d}" for j in (*range(1, 60, 2), 61)]}
+    assert len(got) == len(set(got)) and set(got) == want
+
+
 ADDRESSES = [
     ("S1-1", "n", "902 South Lastovo Street, Gravofield, OS 22259", "US"), ("S2-1", "n", "902 S. Lastovo St, Suite 4, Gravofield, Ostrea 22259", "US"), ("S2-2", "n", "22259, Gravofield, 902 Lastovo Str", "US"), ("S2-3", "n", "Fl. 3; 0902 S Lastvo St; 22259", "US"),
     ("S3-1", "n", "902 North Lastovo Street, Gravofield, OS 22259", "US"), ("S3-2", "n", "903 South Lastovo Street, Gravofield, OS 22259", "US"), ("S3-3", "n", "902 South Lastovo Street, Prabuville, OS 11111", "US"), ("S3-4", "n", "P.O. Box 902, Gravofield", "US"), ("S3-5", "n", "null", "US"), ("S3-6", "n", None, "US"),
