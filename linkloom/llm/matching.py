@@ -39,8 +39,8 @@ def profiles(records: DataFrame) -> DataFrame:
     forms = names.name_forms(once.select(F.col("business_name").alias("value")))
     forms = forms.groupBy(F.col("value").alias("business_name")).agg(F.collect_list(F.struct("kind", "key", "lead", "trades", "firsts", "middle", "rarity")).alias("names"))
     parsed = addresses.parsed_addresses(once.select(F.col("business_address").alias("value")), partial=True)
-    keys = addresses.address_forms(parsed).groupBy(F.col("value").alias("business_address")).agg(F.collect_set("key").alias("keys"))
-    place = parsed.select(F.col("value").alias("business_address"), F.struct("number", "direction", "kind", "postcode", "state", "locality").alias("place"))
+    keys = addresses.address_forms(parsed).where("not startswith(key, 'at ')").groupBy(F.col("value").alias("business_address")).agg(F.collect_set("key").alias("keys"))
+    place = parsed.select(F.col("value").alias("business_address"), F.struct("number", "direction", "kind", "postcode", "region", "locality").alias("place"))
     return materialise(
         once.join(forms, "business_name")
         .join(place, "business_address", "left")

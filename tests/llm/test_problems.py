@@ -155,6 +155,28 @@ def test_addresses(spark):
     assert linked(addresses.location_pairs(records_of(spark, ADDRESSES).limit(0))) == set()
 
 
+@pytest.mark.parametrize(
+    ("address", "number", "street", "postcode"),
+    [
+        ("123 Martin Luther King Blvd, Dallas, TX 75201", "123", "martinlutherking", "75201"), ("350 5th Ave, New York, NY 10118", "350", "5th", "10118"), ("12 Old Mill Creek Rd, Austin TX", "12", "oldmillkreek", ""), ("Plot 14, MG Road, Bengaluru 560001", "14", "mg", "560001"),
+        ("12 Broadway, New York", "12", "broadvay", ""), ("Hauptstrasse 5, 10115 Berlin", "5", "haupt", "10115"), ("221B Baker Street, London", "221", "baker", ""), ("12 avenue des Champs Élysées, 75008 Paris", "12", "khampselysees", "75008"), ("600 Lexington Raod, New York", "600", "lexington", ""),
+        ("0150 Oslo", "", None, ""), ("38873 Slivago", "", None, "38873"), ("P.O. Box 12, Austin", "", None, ""), ("12-14 Main Street, Foo", "12", "main", ""), ("Calle Mayor 5, 28013 Madrid", "5", "mayor", "28013"),
+    ],
+)
+def test_real_addresses(address, number, street, postcode):
+    found = addresses.parse_place(address)
+    assert (found["number"], found["postcode"]) == (number, postcode) and (street in found["words"] if street else not found["words"])
+
+
+def test_hierarchical_keys(spark):
+    """A street misspelt twice joins by postcode and number; another street there doesn't, nor the same one in another town; regions alone are compared too."""
+    rows = [("S1-1", "n", "12 Baker Street, London 10001", "x"), ("S2-1", "n", "12 Kingsbridge Road, Gravofield 22259", "x"), ("S3-1", "n", "12 Kngsbrdge Road, 22259", "x"), ("S3-2", "n", "12 Queensway Road, Gravofield 22259", "x"), ("S3-3", "n", "221B Baker Street, York", "x"), ("S3-4", "n", "221 Baker St, York", "x"), ("S3-5", "n", "221 Baker St, Leeds", "x")]
+    assert linked(addresses.location_pairs(records_of(spark, rows))) == {("S2-1", "S3-1"), ("S3-3", "S3-4")}
+    wide = [("S2-%03d" % i, "n", f"{i} Some{'abcdefghij'[i % 10]}lane Road, {'Northland' if i % 2 else 'Southland'}", "x") for i in range(100, 160)]
+    rows = [("S1-1", "n", "12 Main Street, Northland", "x"), ("S1-2", "n", "12 Main St, Southland", "x"), ("S1-3", "n", "12 Main St., Northland", "x"), *wide]
+    assert linked(addresses.location_pairs(records_of(spark, rows))) == {("S1-1", "S1-3")}
+
+
 LOOKS = [
     ("S1-1", "Hair Studio", "12 Main St", "US"), ("S2-1", "Ηаіr Ѕtudіо", "１２　Ｍａｉｎ　Ｓｔ", "US"), ("S2-2", "Hair​ Studio", "12 Main St.", "US"), ("S2-3", "Hair\u00a0Studio", None, "US"), ("S2-4", "hair Studio", "", "US"), ("S2-5", "Hair  Studio", " ", "US"),
     ("S3-1", "Café", "a", "US"), ("S3-2", "Cafe\u0301", "a", "US"), ("S3-3", "Cafe", "​", "US"), ("S3-4", "A\u04cfan", "a", "US"), ("S3-5", "Alan", "a", "US"), ("S3-5", "Alan", "a", "US"),
