@@ -6,8 +6,11 @@ logistic model fitted on rule-made (weak) labels and reviewed pairs, then calibr
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from linkloom.llm import addresses, names
 from linkloom.runtime import materialise, table
@@ -18,6 +21,9 @@ BANDS, ROWS = 4, 6
 WITH_ADDRESS = 3
 #: Records of one side of a band that one task joins; larger bands are salted on both sides.
 RECORDS_A_PART = 1_000
+_SEED = 20_240_131
+#: Odd multipliers of the mixing of letters.
+_MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 #: Rows of each weak class, and reviewed pairs, that are brought to the driver to fit and calibrate the model.
 FIT_ROWS = 8_000
 #: Confidence from which a pair is a match.
@@ -49,12 +55,35 @@ def profiles(records: DataFrame) -> DataFrame:
     )
 
 
+def minhash(forms: list[str], values: int = BANDS * ROWS) -> np.ndarray:
+    """MinHash values of the letter triples of each form, one row a form; a form of fewer than three letters is one triple."""
+    letters = np.frombuffer("".join(f if len(f) >= 3 else f.ljust(3) for f in forms).encode("utf-32-le"), np.uint32).astype(np.uint64)
+    sizes = np.array([max(3, len(f)) for f in forms])
+    starts = np.concatenate([[0], np.cumsum(sizes)])[:-1]
+    with np.errstate(over="ignore"):
+        h = (letters[:-2] * _MIX[0] ^ letters[1:-1]) * _MIX[1] ^ letters[2:]
+        h = _mixed(h)
+        inside = np.ones(len(letters), bool)
+        inside[(starts + sizes)[:, None] - [1, 2]] = False  # triples that would reach into the next form
+        h = h[inside[: len(h)]]
+        first = np.concatenate([[0], np.cumsum(sizes - 2)])[:-1]
+        return np.stack([np.minimum.reduceat(_mixed(h ^ np.uint64(seed)), first) for seed in np.random.default_rng(_SEED).integers(0, 2**63, values)], axis=1).view(np.int64)
+
+
+def _mixed(h: np.ndarray) -> np.ndarray:
+    """Multiplications and shifts that spread every bit over all."""
+    h = (h ^ (h >> np.uint64(33))) * _MIX[2]
+    return (h ^ (h >> np.uint64(29))) * _MIX[1]
+
+
+def _signed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        yield batch.assign(m=list(minhash(batch["form"].tolist()))) if len(batch) else batch.assign(m=[])
+
+
 def signatures(forms: DataFrame) -> DataFrame:
-    """``form, m``: the MinHash values of each distinct form's letter triples. Triples are hashed once, then only their hashes."""
-    triples = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("form") - 2)), lambda i: F.xxhash64(F.substring("form", i, F.lit(3))))
-    seeded = lambda i: lambda g: F.xxhash64(F.lit(i), g)
-    hashed = materialise(forms.select("form").distinct().withColumn("h", F.array_distinct(triples)))
-    return hashed.select("form", F.array(*(F.array_min(F.transform("h", seeded(i))) for i in range(BANDS * ROWS))).alias("m"))
+    """``form, m``: the MinHash values of each distinct form's letter triples."""
+    return forms.select("form").distinct().mapInPandas(_signed, "form string, m array<long>")
 
 
 def candidates(people: DataFrame) -> DataFrame:
@@ -105,7 +134,7 @@ def features(pairs: DataFrame, people: DataFrame) -> DataFrame:
         "name_exact": F.col("a.business_name") == F.col("b.business_name"),
         "trade_same": some(lambda x, y: same_key(x, y) & stated(x, y) & trade(x, y)),
         "trade_off": ~some(lambda x, y: ~stated(x, y) | trade(x, y)),
-        "lead_off": ~some(lambda x, y: (x("lead") == "") | (y("lead") == "") | (x("lead") == y("lead"))),
+        "lead_off": ~some(lambda x, y: names.same_lead(x("lead"), y("lead"))),
         "first_off": ~some(lambda x, y: (F.size(x("firsts")) == 0) | (F.size(y("firsts")) == 0) | F.arrays_overlap(F.concat(x("firsts"), F.transform(x("firsts"), lambda w: F.substring(w, 1, 1))), F.concat(y("firsts"), F.transform(y("firsts"), lambda w: F.substring(w, 1, 1))))),
         "place_same": F.coalesce(place, F.lit(False)),
         "place_exact": F.coalesce(F.col("a.business_address") == F.col("b.business_address"), F.lit(False)),
@@ -117,10 +146,11 @@ def features(pairs: DataFrame, people: DataFrame) -> DataFrame:
         "country_off": F.coalesce(F.col("a.country") != F.col("b.country"), F.lit(False)),
     }
     made = both.select("s1_id", "cand_id", nearest.alias("name_near"), *(f.cast("double").alias(c) for c, f in flags.items()))
-    made = made.withColumn("agrees", F.col("name_same") * F.col("place_same")).withColumn("conflicts", F.greatest(*(c for c in flags if c.endswith("_off"))))
+    made = materialise(made.withColumn("agrees", F.col("name_same") * F.col("place_same")).withColumn("conflicts", F.greatest(*(c for c in flags if c.endswith("_off")))))
     # S1 records that could own the candidate as well, by name and area
     open_ = (F.col("name_same") == 1) & (F.col("place_off") == 0) & (F.col("area_off") == 0) & (F.col("country_off") == 0)
-    return made.withColumn("rivals", F.log1p(F.greatest(F.lit(0), F.sum(open_.cast("double")).over(Window.partitionBy("cand_id")) - 1)))
+    rivals = made.where(open_).groupBy("cand_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    return made.join(rivals, "cand_id", "left").withColumn("rivals", F.log1p(F.coalesce(F.col("n") - 1, F.lit(0)).cast("double"))).drop("n")
 
 
 def weak_label():

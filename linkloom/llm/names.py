@@ -342,6 +342,12 @@ def name_forms(names: DataFrame) -> DataFrame:
     )
 
 
+def same_lead(a, b):
+    """Whether the words before two names may be one: either is missing, cut short or slightly misspelt."""
+    begins = lambda x, y: (F.length(x) >= 3) & y.startswith(x)
+    return (a == "") | (b == "") | (a == b) | begins(a, b) | begins(b, a) | ((F.length(a) >= 5) & (F.levenshtein(a, b) <= 1))
+
+
 def agreeing(a, b):
     """Whether two forms of one key are one name: what both state must agree. ``a`` and ``b`` give a form's column by name."""
     either = lambda c: (a(c) == "") | (b(c) == "") | (a(c) == b(c))
@@ -350,10 +356,7 @@ def agreeing(a, b):
     full = lambda side: F.exists(side("firsts"), lambda x: F.length(x) > 1)
     firsts = ~(full(a) & full(b)) | F.arrays_overlap(a("firsts"), b("firsts"))
     person = (a("kind") == "f") | ((F.size(a("firsts")) > 0) & (F.size(b("firsts")) > 0))
-    # a word before the name may be cut short or misspelt
-    la, lb = a("lead"), b("lead")
-    lead = either("lead") | ((F.length(la) >= 3) & lb.startswith(la)) | ((F.length(lb) >= 3) & la.startswith(lb)) | ((F.length(la) >= 5) & (F.levenshtein(la, lb) <= 1))
-    return lead & either("middle") & trades & firsts & person
+    return same_lead(a("lead"), b("lead")) & either("middle") & trades & firsts & person
 
 
 def side(alias: str):

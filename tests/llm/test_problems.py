@@ -280,6 +280,15 @@ def test_bands_are_joined_whole(spark, monkeypatch):
         assert len(got) == len(set(got)) == 2500 and all(s.startswith("S1-") and c.startswith("S2-") for s, c in got)
 
 
+def test_minhash_estimates_overlap():
+    forms = ["f zuvomarelikotunapesi", "f zuvomarelikotunapesi x", "f kemosudo crarisi", "f kemosdo crarisi", "ab", "", "字母表"]
+    m = matching.minhash(forms, 600)
+    triples = [{f.ljust(3)[i : i + 3] for i in range(max(1, len(f) - 2))} for f in forms]
+    for i in range(len(forms)):
+        for j in range(len(forms)):
+            assert abs((m[i] == m[j]).mean() - len(triples[i] & triples[j]) / len(triples[i] | triples[j])) < 0.08
+
+
 def words(n):
     rng = random.Random(9)
     w = lambda: "".join(rng.choice("bdfgklmnprstvz") + rng.choice("aeiou") for _ in range(4)).title()
