@@ -58,6 +58,8 @@ _FIRM_FROM = 4
 #: A word counts as common from so many of the corpus' distinct names, and from one in so many of them; this bounds the common words that are broadcast to
 #: ``COMMON_ONE_IN`` times the mean number of words of a name.
 COMMON_FROM, COMMON_ONE_IN = 20, 20_000
+#: A common word is a misspelling only of a word that is so many times as frequent.
+MISSPELT_ONE_IN = 50
 #: A common word is an affix if so many different rests stand with it and without it, and so large a share of its rests.
 AFFIX_RESTS, AFFIX_SHARE = 3, 0.005
 #: Tokens that a process remembers before it starts afresh; bounds its memory, not its results.
@@ -125,11 +127,11 @@ def _one(trades: list[tuple[str, ...]]) -> list[str]:
 class Reader:
     """Parses names with what the corpus knows: its common words, and its affixes before (``leads``) and behind (``trades``) names.
 
-    A common word is never taken for a misspelling of another one, and a misspelling keeps its first letter.
+    A misspelling keeps its first letter; a common word is one only of a word that is ``MISSPELT_ONE_IN`` times as common.
     """
 
-    def __init__(self, common: frozenset[str] = frozenset(), leads: Iterable[str] = (), trades: Iterable[str] = ()):
-        self._common = common
+    def __init__(self, common: dict[str, int] | None = None, leads: Iterable[str] = (), trades: Iterable[str] = ()):
+        self._common = common or {}
         self._leads = tuple(leads)
         self._trade_words = [(trade, w) for trade, words in TRADES.items() for w in words.split()] + [(w, w) for w in trades]
         self._heard_trades = {heard(w) for _, w in self._trade_words}
@@ -150,7 +152,12 @@ class Reader:
         if known is None:
             if len(self._found) > TOKENS_KEPT:
                 self._found.clear()
-            known = self._found[key] = tuple(sorted(set(self._lexicons[which].find(token, exact=token in self._common))))
+            lexicon = self._lexicons[which]
+            values = set(lexicon.find(token))
+            if values and (n := self._common.get(token)) and not lexicon.has(token):
+                spelt = (lambda v: [w for t, w in self._trade_words if t == v]) if which == "trade" else (lambda v: [v])
+                values = {v for v in values if n * MISSPELT_ONE_IN < max(self._common.get(w, 0) for w in spelt(v))}
+            known = self._found[key] = tuple(sorted(values))
         return known
 
     def trades_of(self, token: str) -> tuple[str, ...]:
@@ -265,8 +272,8 @@ def parse_name(name: str | None) -> list[dict]:
     return Reader().parse(name)
 
 
-def vocabulary(names: DataFrame) -> tuple[frozenset[str], list[str], list[str]]:
-    """Common words, leads and trades of the corpus of ``names`` (``value``, ``text``, distinct).
+def vocabulary(names: DataFrame) -> tuple[dict[str, int], list[str], list[str]]:
+    """Common words with their counts, leads and trades of the corpus of ``names`` (``value``, ``text``, distinct).
 
     Counts are over all names. A word is an affix where names stand with it and without it: the rest of a name without its first (last) word is
     another whole name, legal forms left out. What comes to the driver is bounded by ``COMMON_ONE_IN``.
@@ -275,7 +282,7 @@ def vocabulary(names: DataFrame) -> tuple[frozenset[str], list[str], list[str]]:
     ignored = F.array(*(F.lit(w) for w in sorted({*LEGAL, *EMPTY})))
     words = materialise(names.select(F.filter(tokens, lambda w: (F.length(w) > 1) & ~F.array_contains(ignored, w)).alias("words")))
     least = max(COMMON_FROM, -(-words.count() // COMMON_ONE_IN))
-    common = frozenset(r.word for r in words.select(F.explode(F.array_distinct("words")).alias("word")).groupBy("word").count().where(F.col("count") >= least).select("word").collect())
+    common = {r.word: r.n for r in words.select(F.explode(F.array_distinct("words")).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least).collect()}
     size = F.size("words")
     whole = words.where(size >= 2).select(F.xxhash64("words").alias("rest")).distinct()
     ends = words.where(size >= 3).select(
@@ -288,7 +295,7 @@ def vocabulary(names: DataFrame) -> tuple[frozenset[str], list[str], list[str]]:
     kept = kept.where((F.col("both") >= AFFIX_RESTS) & (F.col("both") >= AFFIX_SHARE * F.col("n"))).orderBy(F.desc("both"), "word").select("role", "word", "both").collect()
     plainly = Reader()
     known = set(_FORMAL) | {*BESIDE, *SHOPS}
-    best = {w: max((r.both, r.role) for r in kept if r.word == w)[1] for w in {r.word for r in kept} & common - known if len(w) >= 3 and not plainly.trades_of(w)}
+    best = {w: max((r.both, r.role) for r in kept if r.word == w)[1] for w in {r.word for r in kept} & common.keys() - known if len(w) >= 3 and not plainly.trades_of(w)}
     return common, sorted(w for w, role in best.items() if role == "lead"), sorted(w for w, role in best.items() if role == "trade")
 
 

@@ -71,30 +71,34 @@ def plain(text: str | None) -> str:
     return "" if text in PLACEHOLDERS else text
 
 
-#: Letters that different scripts and hands write for one sound; letters and pairs that are heard alike.
-_WRITTEN = ((re.compile("ck|q|c"), "k"), (re.compile("w"), "v"))
-_HEARD = ((re.compile("(?<=[aou])e"), ""), (re.compile("au"), "o"), (re.compile("oo"), "u"), (re.compile("ee"), "i"), (re.compile("ph"), "f"), (re.compile("zh"), "j"), (re.compile(r"(.)\1+"), r"\1"))
+#: Letters that different scripts and hands write for one sound; pairs that are heard alike.
+_WRITTEN = (("ck", "k"), ("q", "k"), ("c", "k"), ("w", "v"))
+_HEARD = (("ae", "a"), ("oe", "o"), ("ue", "u"), ("au", "o"), ("oo", "u"), ("ee", "i"), ("ph", "f"), ("zh", "j"))
+_DOUBLED = re.compile(r"(.)\1+")
 
 
-@lru_cache(maxsize=512)
 def written(word: str) -> str:
-    for pattern, letter in _WRITTEN:
-        word = pattern.sub(letter, word)
+    for letters, letter in _WRITTEN:
+        word = word.replace(letters, letter)
     return word
 
 
-@lru_cache(maxsize=512)
 def heard(word: str) -> str:
     """``word`` with spellings that sound alike made one, and doubled letters single."""
-    word = written(word)
-    for pattern, letter in _HEARD:
-        word = pattern.sub(letter, word)
-    return word
+    return _sounded(written(word))
+
+
+def _sounded(word: str) -> str:
+    for letters, letter in _HEARD:
+        word = word.replace(letters, letter)
+    return _DOUBLED.sub(r"\1", word)
 
 
 def spellings(word: str) -> list[str]:
     """The word as written and, if that differs, as heard."""
-    return list(dict.fromkeys((written(word), heard(word))))
+    first = written(word)
+    second = _sounded(first)
+    return [first] if first == second else [first, second]
 
 
 def near(a: str, b: str) -> bool:
@@ -140,20 +144,29 @@ class Lexicon:
                     for key in _shorter(form, 2):
                         self._twice.setdefault(key, {})[form] = v
         self._once_keys, self._twice_keys = frozenset(self._once), frozenset(self._twice)
+        #: first letter and length of what may be a misspelling by one edit, by two
+        self._once_heads = {(form[0], len(form) + k) for w in words if len(w) >= least for form in spellings(w) for k in (-1, 0, 1)}
+        self._twice_heads = {(form[0], len(form) + k) for w in words if len(w) >= long for form in spellings(w) for k in (-2, -1, 0, 1, 2)}
+
+    def has(self, token: str) -> bool:
+        """Whether ``token`` is one of the words or heard as one."""
+        return token in self._exact or heard(token) in self._exact
 
-    def find(self, token: str, exact: bool = False) -> list:
-        """Values of the words that ``token`` may be. A misspelling has the word's first letter, if only at the second place; an ``exact`` token is none."""
+    def find(self, token: str) -> list:
+        """Values of the words that ``token`` may be. A misspelling has the word's first letter, if only at the second place."""
         if token in self._exact:
             return [self._exact[token]]
         folded = heard(token)
         if folded in self._exact:
             return [self._exact[folded]]
-        if exact or not self._least - 1 <= len(token) <= WORD_UP_TO:  # a letter may be missing
+        if not self._least - 1 <= len(token) <= WORD_UP_TO:  # a letter may be missing
             return []
-        forms = spellings(token)
-        close = {w: v for form in forms for key in _shorter(form, 1) & self._once_keys for w, v in self._once[key].items() if _begins(w, form) and near(w, form)}
-        if not close and self._twice_keys and len(folded) >= self._long - 2:
-            close = {w: v for form in forms for key in _shorter(form, 2) & self._twice_keys for w, v in self._twice[key].items() if _begins(w, form)}
+        forms, close = spellings(token), {}
+        if near_ones := [f for f in forms if (f[0], len(f)) in self._once_heads or (f[1:2], len(f)) in self._once_heads]:
+            close = {w: v for form in near_ones for key in _shorter(form, 1) & self._once_keys for w, v in self._once[key].items() if _begins(w, form) and near(w, form)}
+        if not close and len(folded) >= self._long - 2:
+            far_ones = [f for f in forms if (f[0], len(f)) in self._twice_heads or (f[1:2], len(f)) in self._twice_heads]
+            close = {w: v for form in far_ones for key in _shorter(form, 2) & self._twice_keys for w, v in self._twice[key].items() if _begins(w, form)}
         return list(close.values())
 
 
