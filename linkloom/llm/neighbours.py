@@ -1,7 +1,8 @@
 """Problem 6: the most similar vectors of every vector, by randomly rotated one-bit codes.
 
-Equal vectors are one class. Classes are assigned to cells round centroids of a bounded sample; every vector is stored in its
-``PROBES`` nearest cells and asks in its nearest one. In a cell a vector is its 64 sign bits after one random rotation, packed, with the
+Equal vectors are one class. Classes are assigned to cells round centroids of a bounded sample; where the sample gives fewer centroids than
+the classes need cells, a second set of centroids, of the sample's differences from the first, splits every cell, so that cells follow the number of classes.
+Every vector is stored in its ``PROBES`` nearest cells and asks in its nearest one. In a cell a vector is its 64 sign bits after one random rotation, packed, with the
 correction scalar of its code. The estimated inner product and its error bound tell which vectors can still be among the nearest; only these are compared exactly.
 """
 
@@ -13,18 +14,18 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from linkloom.runtime import materialise, table
+from linkloom.runtime import materialise, small, table
 
 #: Length of the vectors that take part, and neighbours of each.
 DIMENSION, NEIGHBOURS = 64, 5
 #: Classes that a cell should own, cells in which each class is stored.
 CELL_ROWS, PROBES = 512, 8
-#: Vectors of a view on which the centroids are fitted.
-FIT_ROWS = 20_000
+#: Vectors of a view on which the centroids are fitted, and vectors for one centroid.
+FIT_ROWS, FIT_EACH = 20_000, 8
 #: Deviations of the estimate's error that the bound allows.
 DEVIATIONS = 2.5
-#: Classes that ask in one task; a larger cell is asked by several tasks.
-ASKING_ROWS = 8_192
+#: Classes that ask in one task, and that are stored in one; a larger cell is a grid of tasks.
+ASKING_ROWS, STORED_ROWS = 8_192, 32_768
 #: Stored rows compared at a time.
 BLOCK_ROWS = 8_192
 
@@ -128,6 +129,48 @@ def _centroids(sample: np.ndarray, cells: int) -> np.ndarray:
     return centres.astype(np.float32)
 
 
+def codebooks(sample: np.ndarray, classes: int) -> tuple[np.ndarray, np.ndarray]:
+    """Centroids of a sample of unit vectors and of its differences from them, so many that a pair of both, a cell, owns about ``CELL_ROWS`` of ``classes``.
+
+    Each set has at most one centroid for ``FIT_EACH`` vectors of the sample; one difference of zeros where the first set is enough.
+    """
+    most, need = len(sample) // FIT_EACH + 1, -(-classes // CELL_ROWS)
+    first = _centroids(sample, max(1, min(most, need)))
+    more = min(most, -(-need // len(first)))
+    if more <= 1:
+        return first, np.zeros((1, sample.shape[1]), np.float32)
+    rest = sample - first[np.argmax(sample @ first.T, axis=1)]
+    second = rest[np.random.default_rng(_SEED + 1).choice(len(rest), more, replace=False)]
+    for _ in range(8):
+        of = np.argmin((second**2).sum(axis=1) - 2 * rest @ second.T, axis=1)
+        sums, n = np.zeros_like(second), np.bincount(of, minlength=more)
+        np.add.at(sums, of, rest)
+        second = np.where(n[:, None] > 0, sums / np.maximum(n, 1)[:, None], second)
+    return first, second.astype(np.float32)
+
+
+def nearest_cells(unit: np.ndarray, first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """The ``PROBES`` nearest cells of each vector, nearest first; cell ``i * len(second) + j`` lies round the sum of both centroids."""
+    near = unit @ first.T
+    many = min(PROBES, near.shape[1])
+    tops = np.argpartition(-near, many - 1, axis=1)[:, :many]
+    at = np.take_along_axis(near, tops, axis=1)
+    if len(second) == 1:
+        order = np.argsort(-at, axis=1, kind="stable")
+        return np.take_along_axis(tops, order, axis=1)
+    # |x - c - d|^2 without |x|^2, in each of the nearest first cells
+    size, cross = (first**2).sum(axis=1), first @ second.T
+    far = (size[tops] - 2 * at)[:, :, None] + ((second**2).sum(axis=1) - 2 * (unit @ second.T))[:, None, :] + 2 * cross[tops]
+    far = far.reshape(len(unit), -1)
+    best = np.argpartition(far, PROBES - 1, axis=1)[:, :PROBES] if far.shape[1] > PROBES else np.tile(np.arange(far.shape[1]), (len(unit), 1))
+    best = np.take_along_axis(best, np.argsort(np.take_along_axis(far, best, axis=1), axis=1, kind="stable"), axis=1)
+    return np.take_along_axis(tops, best // len(second), axis=1) * len(second) + best % len(second)
+
+
+#: Vectors assigned at a time; bounds the distances held.
+ASSIGN_ROWS = 256
+
+
 def _assign(centres):
     """Adds code, correction scalar and nearest cells to packed classes."""
 
@@ -140,13 +183,12 @@ def _assign(centres):
             code, scalar = encode(unit)
             cells = [None] * len(pdf)
             for view, rows in pdf.groupby("view_name").groups.items():
-                rows = np.asarray(rows)
-                near = unit[rows].astype(np.float32) @ by_view[view].T
-                many = min(PROBES, near.shape[1])
-                first = np.argpartition(-near, many - 1, axis=1)[:, :many]
-                order = np.argsort(-np.take_along_axis(near, first, axis=1), axis=1, kind="stable")
-                for r, c in zip(rows, np.take_along_axis(first, order, axis=1)):
-                    cells[r] = c.tolist()
+                rows, (first, second) = np.asarray(rows), by_view[view]
+                step = len(rows) if len(second) == 1 else ASSIGN_ROWS
+                for at in range(0, len(rows), step):
+                    part = rows[at : at + step]
+                    for r, c in zip(part, nearest_cells(unit[part].astype(np.float32), first, second)):
+                        cells[r] = c.tolist()
             raw = np.array(pdf["vec"].tolist(), np.float32)
             yield pd.DataFrame({"view_name": pdf["view_name"], "class_id": pdf["class_id"], "packed": [v.tobytes() for v in raw], "code": [c.tobytes() for c in code], "scalar": scalar.astype(np.float64), "cells": cells})
 
@@ -177,16 +219,21 @@ def nearest_entities(vectors: DataFrame, k: int = NEIGHBOURS) -> DataFrame:
     for row in classes.groupBy("view_name").count().collect():
         sample = np.array([r.vec for r in classes.where(F.col("view_name") == row.view_name).orderBy(F.xxhash64("class_id")).limit(FIT_ROWS).select("vec").collect()], np.float64)
         sample /= np.linalg.norm(sample, axis=1)[:, None]
-        centres[row.view_name] = _centroids(sample, max(1, min(len(sample) // 8 + 1, -(-row["count"] // CELL_ROWS))))
+        centres[row.view_name] = codebooks(sample, row["count"])
     shared = spark.sparkContext.broadcast(centres)
     coded = materialise(classes.mapInPandas(_assign(shared), "view_name string, class_id long, packed binary, code binary, scalar double, cells array<int>"))
     home = coded.withColumn("cell", F.col("cells")[0])
-    parts = home.groupBy("view_name", "cell").agg(F.ceil(F.count(F.lit(1)) / ASKING_ROWS).cast("int").alias("parts"))
     row = ["view_name", "cell", "class_id", "packed", "code", "scalar"]
-    placed = coded.select("*", F.posexplode("cells").alias("rank", "cell")).join(F.broadcast(parts), ["view_name", "cell"])
-    # every part of a cell holds all its stored rows; a row asks in one part of its nearest cell
-    spread = placed.select(*row, "rank", "parts", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")).select(*row, "part", F.lit(True).alias("stored"), ((F.col("rank") == 0) & (F.pmod(F.xxhash64("class_id"), F.col("parts")) == F.col("part"))).alias("asks"))
-    near = spread.groupBy("view_name", "cell", "part").applyInPandas(_cell(k), "class_id long, near_id long, cosine double")
+    asked = home.groupBy("view_name", "cell").agg(F.ceil(F.count(F.lit(1)) / ASKING_ROWS).cast("int").alias("asking"))
+    placed = coded.select("*", F.posexplode("cells").alias("rank", "cell"))
+    kept = placed.groupBy("view_name", "cell").agg(F.ceil(F.count(F.lit(1)) / STORED_ROWS).cast("int").alias("storing"))
+    # a cell is a grid of parts: a row is stored in one column of them, and asks in one row of its nearest cell's
+    placed = placed.join(small(asked.join(kept, ["view_name", "cell"])), ["view_name", "cell"])
+    i, j = F.pmod(F.xxhash64("class_id"), F.col("asking")).cast("int"), F.pmod(F.xxhash64("class_id", F.lit(1)), F.col("storing")).cast("int")
+    stored = F.transform(F.sequence(F.lit(0), F.col("asking") - 1), lambda x: F.struct(x.alias("i"), j.alias("j"), F.lit(True).alias("stored"), ((F.col("rank") == 0) & (x == i)).alias("asks")))
+    asks = F.when(F.col("rank") == 0, F.transform(F.filter(F.sequence(F.lit(0), F.col("storing") - 1), lambda y: y != j), lambda y: F.struct(i.alias("i"), y.alias("j"), F.lit(False).alias("stored"), F.lit(True).alias("asks"))))
+    spread = placed.select(*row, F.explode(F.concat(stored, F.coalesce(asks, F.array()))).alias("at")).select(*row, "at.*")
+    near = spread.groupBy("view_name", "cell", "i", "j").applyInPandas(_cell(k), "class_id long, near_id long, cosine double")
     near = materialise(near)
     small_ids = members.select("class_id", "entity_id", "view_name", F.row_number().over(Window.partitionBy("class_id").orderBy("entity_id")).alias("no")).where(F.col("no") <= k + 1)
     small_ids = materialise(small_ids)

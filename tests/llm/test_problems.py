@@ -241,6 +241,30 @@ def test_neighbours(spark, monkeypatch):
     assert neighbours.nearest_entities(df.limit(0)).count() == 0
 
 
+def test_cells_follow_the_classes(spark, monkeypatch):
+    """With a small sample cells still hold about CELL_ROWS classes each, dense cells are split, and neighbours are found."""
+    for name, value in (("CELL_ROWS", 20), ("FIT_ROWS", 120), ("ASKING_ROWS", 16), ("STORED_ROWS", 48)):
+        monkeypatch.setattr(neighbours, name, value)
+    rng = np.random.default_rng(11)
+    base = rng.standard_normal((60, 64))
+    x = np.array([base[i % 60] + 0.4 * rng.standard_normal(64) for i in range(1500)])
+    x[:500] = base[0] + 0.4 * rng.standard_normal((500, 64))  # a dense cell
+    x = (x / np.linalg.norm(x, axis=1)[:, None]).astype(np.float32)
+    first, second = neighbours.codebooks(x[:120].astype(np.float64), 1500)
+    assert len(first) == 16 and len(second) == 5
+    cells = neighbours.nearest_cells(x, first, second)
+    assert cells.shape == (1500, 8) and all(len(set(c)) == 8 for c in cells)
+    centres = (first[:, None] + second[None]).reshape(-1, 64)
+    for i in range(0, 1500, 100):
+        assert cells[i, 0] == np.argmin(((x[i] - centres) ** 2).sum(axis=1))
+    df = spark.createDataFrame([(f"S2-{i:04d}", "name", v.tolist()) for i, v in enumerate(x)], "entity_id string, view_name string, vec array<float>")
+    got = {(r.entity_id, r.near_id) for r in neighbours.nearest_entities(df).collect()}
+    s = x.astype(np.float64) @ x.T
+    np.fill_diagonal(s, -9)
+    want = {(f"S2-{i:04d}", f"S2-{j:04d}") for i in range(1500) for j in np.argsort(-s[i], kind="stable")[:5]}
+    assert len(got) == len(want) and len(got & want) / len(want) >= 0.9
+
+
 def test_error_bound():
     rng = np.random.default_rng(6)
     x = rng.standard_normal((500, 64))
