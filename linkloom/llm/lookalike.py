@@ -1,8 +1,9 @@
 """Problem 5: text that looks the same brought to one form.
 
-Words are matched against a trie of the corpus' frequent plain words by an automaton in which look-alike characters and
-ignorable ones cost nothing; a word of the vocabulary reached at no cost is the canonical spelling. Other words are normalised by
-the table alone. Where a character resembles several letters, the vocabulary decides, and the table's first letter otherwise.
+Words are matched against tries of the corpus' plain words by a weighted edit automaton: look-alike characters and ignorable ones cost nothing, the
+less likely readings of a character a little, other edits a whole; the cheapest word under the bound is the canonical spelling. The vocabulary is not held
+in one place: plain words and odd tokens meet by their outline, in which letters that one character may stand for are one, and
+each outline has its trie. Tokens that match no word are normalised by the table alone.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from linkloom.llm.pairs import pairs_within
-from linkloom.runtime import materialise, table
+from linkloom.runtime import materialise, small, table
 
 #: Characters and the Latin letters, digits or marks that they look like, the likeliest first.
 LOOKALIKES = {
@@ -28,19 +29,18 @@ LOOKALIKES = {
     # Armenian
     "Օ": "O", "Տ": "S", "Ս": "U", "օ": "o", "ս": "u", "հ": "h", "ո": "n", "ց": "g", "զ": "q",
     # Cherokee
-    "Ꭺ": "A", "Ᏼ": "B", "Ꮯ": "C", "Ꭰ": "D", "Ꭼ": "E", "Ꮐ": "G", "Ꮋ": "H", "Ꭻ": "J", "Ꮶ": "K", "Ꮮ": "L", "Ꮇ": "M", "Ꮲ": "P", "Ꭱ": "R", "Ꮪ": "S", "Ꭲ": "T", "Ꮩ": "V", "Ꮃ": "W", "Ꮓ": "Z",
-    # Latin letters of phonetic use, letter-like signs, Roman numerals
-    "ɑ": "a", "ɡ": "g", "ℓ": "l", "K": "K", "Å": "Å", "Ⅰ": "I", "Ⅴ": "V", "Ⅹ": "X", "Ⅼ": "L", "Ⅽ": "C", "Ⅾ": "D", "Ⅿ": "M", "ⅰ": "i", "ⅴ": "v", "ⅹ": "x", "ⅼ": "l", "ⅽ": "c", "ⅾ": "d", "ⅿ": "m", "ǀ": "lI|",
+    "Ꭺ": "A", "Ᏼ": "B", "Ꮯ": "C", "Ꭰ": "D", "Ꭼ": "E", "Ꮐ": "G", "Ꮋ": "H", "Ꭻ": "J", "Ꮶ": "K", "Ꮮ": "L", "Ꮇ": "M", "Ꮲ": "P", "Ꭱ": "R", "Ꮪ": "S", "Ꭲ": "T", "Ꮩ": "V", "Ꮃ": "W", "Ꮤ": "W", "Ꮓ": "Z",
+    # Lisu
+    "ꓐ": "B", "ꓑ": "P", "ꓓ": "D", "ꓔ": "T", "ꓖ": "G", "ꓗ": "K", "ꓙ": "J", "ꓚ": "C", "ꓜ": "Z", "ꓝ": "F", "ꓟ": "M", "ꓠ": "N", "ꓡ": "L", "ꓢ": "S", "ꓣ": "R", "ꓦ": "V", "ꓧ": "H", "ꓪ": "W", "ꓫ": "X", "ꓬ": "Y", "ꓮ": "A", "ꓰ": "E", "ꓲ": "I", "ꓳ": "O", "ꓴ": "U",
+    # Latin letters of phonetic use, letter-like signs
+    "ɑ": "a", "ɡ": "g", "ℓ": "l", "K": "K", "Å": "Å", "ǀ": "lI|",
     # marks
     "‐": "-", "‑": "-", "՚": "’", "ʼ": "’", "＇": "'", "∕": "/", "⁄": "/", "։": ":", "∶": ":", "‚": ",", "․": ".",
 }
 
-#: Words that the trie may hold, the most frequent first; it bounds what is broadcast, not what is normalised.
-VOCABULARY_WORDS = 20_000
-#: Occurrences from which a plain word counts as known.
-KNOWN_FROM = 3
+#: Cost of a character's second and further readings, of any other edit, and the greatest cost of a match: no edit that changes the looks is within it.
+LESS_LIKELY, EDIT, BOUND = 0.1, 1.0, 0.9
 
-_PLAIN = re.compile(r"[!-~]+")
 _SPACES = re.compile(r"(\s+)")
 
 
@@ -48,6 +48,10 @@ def _ignorable(ch: str) -> bool:
     return unicodedata.category(ch) == "Cf" or ch in "͏ᅟᅠㅤﾠ᠎" or 0xFE00 <= ord(ch) <= 0xFE0F or 0xE0100 <= ord(ch) <= 0xE01EF
 
 
+#: Ranges of full-width forms, ligatures, Roman numerals and mathematical letters, which are their compatibility forms.
+_DRAWN = ((0xFF00, 0xFFEF), (0xFB00, 0xFB06), (0x2160, 0x217F), (0x1D400, 0x1D7FF))
+
+
 class _Forms(dict):
     """Per character the strings it may stand for: none of ignorables; worked out when first met."""
 
@@ -60,7 +64,7 @@ class _Forms(dict):
             forms = (" ",)
         elif ch in LOOKALIKES:
             forms = tuple(LOOKALIKES[ch])
-        elif 0xFF00 <= ord(ch) <= 0xFFEF or 0xFB00 <= ord(ch) <= 0xFB06:
+        elif any(low <= ord(ch) <= high for low, high in _DRAWN):
             forms = (unicodedata.normalize("NFKC", ch),)
         else:
             forms = (ch,)
@@ -78,69 +82,134 @@ def by_table(text: str) -> str:
     return unicodedata.normalize("NFC", "".join([_forms[ch][0] for ch in text]))
 
 
+#: Letters that one character may stand for, each with the one that stands for all of them in an outline.
+_SAME = {letter: forms[0] for forms in LOOKALIKES.values() if len(forms) > 1 for letter in sorted(forms)}
+
+
+def outline(word: str) -> str:
+    """``word`` by the table, with letters that one character may stand for made one."""
+    return "".join([_SAME.get(ch, ch) for ch in by_table(word)])
+
+
 class Trie:
-    """Vocabulary as nested maps; ``None`` ends a word."""
+    """Vocabulary as nested maps; ``None`` ends a word. Given words come in the order of preference at equal cost."""
 
     def __init__(self, words: Iterable[str]):
         self.root: dict = {}
-        for word in words:
+        for place, word in enumerate(words):
             node = self.root
             for ch in word:
                 node = node.setdefault(ch, {})
-            node[None] = word
+            node.setdefault(None, (place, word))
+
+    def match(self, token: str, bound: float = BOUND) -> tuple[float, str] | None:
+        """(cost, word) of the cheapest word within ``bound``, the preferred one of several.
 
-    def match(self, token: str) -> str | None:
-        """The word reached at no cost, the smallest if there are several. Only look-alikes and ignorables are free here, so the automaton's states are trie nodes."""
-        nodes = [self.root]
+        The automaton's states are trie nodes with the least cost that reaches them. A character moves along each of its readings, ignorables
+        stay for nothing; replacing, leaving out and adding a character costs ``EDIT``.
+        """
+        states = self._added({id(self.root): (0.0, self.root)}, bound)
         for ch in token:
             forms = _forms[ch]
             if forms == ("",):
                 continue
-            after = []
-            for node in nodes:
-                for form in forms:
+            after: dict[int, tuple[float, dict]] = {}
+
+            def reach(cost: float, node: dict) -> None:
+                if cost <= bound and (id(node) not in after or cost < after[id(node)][0]):
+                    after[id(node)] = (cost, node)
+
+            for cost, node in states.values():
+                for k, form in enumerate(forms):
                     to = node
                     for part in form:
                         to = to.get(part)
                         if to is None:
                             break
                     if to is not None:
-                        after.append(to)
-            nodes = after
-            if not nodes:
+                        reach(cost + LESS_LIKELY * (k > 0), to)
+                if cost + EDIT <= bound:
+                    reach(cost + EDIT, node)
+                    for part, to in node.items():
+                        if part is not None:
+                            reach(cost + EDIT, to)
+            states = self._added(after, bound)
+            if not states:
                 return None
-        return min((n[None] for n in nodes if None in n), default=None)
-
-    def canonical(self, text: str) -> str:
-        """``text`` word by word; spacing is kept, every kind of space is one."""
-        if text.isascii():
-            return text
-        spaced = "".join([" " if _forms[ch] == (" ",) else ch for ch in text])
-        spaced = unicodedata.normalize("NFC", spaced)
-        return "".join([p if p.isascii() else self.match(p) or by_table(p) for p in _SPACES.split(spaced)])
-
-
-def _canonical(vocabulary):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie = Trie(vocabulary.value)
-        for batch in batches:
-            forms = pa.array([None if t is None else trie.canonical(t) for t in batch.column("value").to_pylist()], pa.string())
-            yield pa.RecordBatch.from_arrays([*batch.columns, forms], names=[*batch.schema.names, "form"])
-
-    return run
-
-
-def one_form(texts: DataFrame, words: int = VOCABULARY_WORDS) -> DataFrame:
-    """``texts`` (``entity_id, field_name, value``) with ``form``, equal for values that look alike.
-
-    The vocabulary is counted over all values; at most ``words`` of its plain words, each seen ``KNOWN_FROM`` times, are broadcast.
-    Null stays null, empty stays empty.
+        ends = [(cost, *node[None]) for cost, node in states.values() if None in node]
+        if not ends:
+            return None
+        cost, _, word = min(ends)
+        return cost, word
+
+    def _added(self, states: dict, bound: float) -> dict:
+        """States with those that characters added to the token reach."""
+        todo = [x for x in states.values() if x[0] + EDIT <= bound]
+        while todo:
+            cost, node = todo.pop()
+            for part, to in node.items():
+                if part is not None and cost + EDIT <= bound and (id(to) not in states or cost + EDIT < states[id(to)][0]):
+                    states[id(to)] = (cost + EDIT, to)
+                    todo.append(states[id(to)])
+        return states
+
+
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts as words and the spacing between them; every kind of space is one, accents are composed."""
+    for batch in batches:
+        out = []
+        for text in batch.column("value").to_pylist():
+            spaced = "".join([" " if _forms[ch] == (" ",) else ch for ch in text])
+            out.append([p for p in _SPACES.split(unicodedata.normalize("NFC", spaced)) if p])
+        yield pa.RecordBatch.from_arrays([batch.column("value"), pa.array(out, pa.list_(pa.string()))], names=["value", "parts"])
+
+
+def _outlined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([batch.column("part"), pa.array([outline(t) for t in batch.column("part").to_pylist()], pa.string())], names=["part", "outline"])
+
+
+def _matched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        forms = []
+        for token, words in zip(batch.column("part").to_pylist(), batch.column("words").to_pylist()):
+            found = Trie(words).match(token) if words else None
+            forms.append(found[1] if found else by_table(token))
+        yield pa.RecordBatch.from_arrays([batch.column("part"), pa.array(forms, pa.string())], names=["part", "spelt"])
+
+
+def spellings_of(texts: DataFrame, tokens: DataFrame) -> DataFrame:
+    """``part, spelt``: the canonical spelling of each distinct ``part`` of ``tokens`` by the plain words of ``texts`` (``value``).
+
+    All plain words of all texts are counted; only those that share the outline of a token go on, the more frequent first.
+    A trie holds the words of one outline, which differ only in letters that one character may stand for.
+    """
+    outlined = materialise(tokens.select("part").distinct().mapInArrow(_outlined, "part string, outline string"))
+    folded = F.translate("word", "".join(_SAME), "".join(_SAME.values()))
+    plain_words = texts.select(F.explode(F.split("value", r"\s+")).alias("word")).where(F.col("word").rlike(r"^[!-~]+$")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    tries = (
+        plain_words.withColumn("outline", folded)
+        .join(outlined.select("outline").distinct(), "outline", "left_semi")
+        .groupBy("outline")
+        .agg(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("n"), "word"))), lambda x: x["word"]).alias("words"))
+    )
+    return outlined.join(tries, "outline", "left").select("part", "words").mapInArrow(_matched, "part string, spelt string")
+
+
+def one_form(texts: DataFrame) -> DataFrame:
+    """``texts`` (``value`` and other columns) with ``form``, equal for values that look alike.
+
+    Null stays null, empty stays empty, plain text is its own form. The others are read word by word, each distinct value once.
     """
-    tokens = texts.where("value is not null").select(F.explode(F.split("value", r"\s+")).alias("word")).where(F.col("word").rlike(r"^[!-~]{2,}$"))
-    known = tokens.groupBy("word").count().where(F.col("count") >= KNOWN_FROM).orderBy(F.desc("count"), "word").limit(words)
-    spark = texts.sparkSession
-    vocabulary = spark.sparkContext.broadcast([r.word for r in known.select("word").collect()])
-    return texts.mapInArrow(_canonical(vocabulary), texts.schema.simpleString()[len("struct<") : -1].replace(":", " ") + ", form string")
+    plain = F.col("value").rlike(r"^[\x00-\x7f]*$")
+    odd = materialise(texts.where(~plain).select("value").distinct().mapInArrow(_parts, "value string, parts array<string>"))
+    placed = odd.select("value", F.posexplode("parts").alias("place", "part"))
+    strange = ~F.col("part").rlike(r"^[\x00-\x7f]*$")
+    spelt = spellings_of(texts.where("value is not null"), placed.where(strange))
+    read = placed.where(strange).join(small(materialise(spelt)), "part").select("value", "place", F.col("spelt").alias("part")).unionByName(placed.where(~strange).select("value", "place", "part"))
+    forms = read.groupBy("value").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "part"))), lambda x: x["part"]), "").alias("form"))
+    changed = texts.where(~plain).join(forms, "value").select(*texts.columns, "form")
+    return texts.where(plain | F.col("value").isNull()).withColumn("form", F.col("value")).unionByName(changed)
 
 
 def fields(records: DataFrame) -> DataFrame:
@@ -158,7 +227,7 @@ def lookalike_pairs(records: DataFrame) -> DataFrame:
 
     Values that look like nothing at all make no pairs. Only forms with at least two different strings are paired.
     """
-    formed = materialise(one_form(fields(records)).where("trim(form) <> ''"))
+    formed = materialise(one_form(materialise(fields(records))).where("trim(form) <> ''"))
     return pairs_within(formed, ["field_name", "form"], "entity_id", "value").select("id_a", "id_b", "field_name")
 
 

@@ -192,8 +192,25 @@ def test_lookalikes(spark):
 
 
 def test_trie_chooses_the_vocabulary():
-    trie = lookalike.Trie(["Ivan", "lake"])
-    assert trie.canonical("\u04cfvan") == "Ivan" and trie.canonical("\u04cfake") == "lake" and trie.canonical("x\u200by") == "xy"
+    assert lookalike.Trie(["Ivan"]).match("\u04cfvan") == (lookalike.LESS_LIKELY, "Ivan") and lookalike.Trie(["lake"]).match("\u04cfake") == (0, "lake")
+    assert lookalike.Trie(["xy"]).match("x\u200by") == (0, "xy") and lookalike.Trie(["xy"]).match("xz") is None
+
+
+def test_costs_decide():
+    """Two readings are words: the likelier one wins, whatever the order. Edits that change the looks cost a whole and are found only within a greater bound."""
+    for words_ in (["lake", "Iake"], ["Iake", "lake"]):
+        assert lookalike.Trie(words_).match("\u04cfake") == (0, "lake")
+    trie = lookalike.Trie(["Bakery", "Baker", "Bread"])
+    assert trie.match("\u0412ak\u0435ry") == (0, "Bakery") and trie.match("Bakary") is None
+    assert trie.match("B\u0430kary", bound=1) == (1, "Bakery") and trie.match("Bakry", bound=1) == (1, "Bakery") and trie.match("Breaad", bound=1) == (1, "Bread")
+
+
+def test_vocabulary_has_no_bound(spark):
+    """A word that is seen once decides, however many words there are; accented words and mathematical letters are read by the table."""
+    many = [(f"e{i}", "business_name", f"Word{i} ready") for i in range(3000)]
+    odd = [("a1", "business_name", "\u04cfvanhoe 7"), ("a2", "business_name", "Ivanhoe 7"), ("b1", "business_name", "\U0001d400\ua4ef\u13d4 x"), ("c1", "business_name", None), ("c2", "business_name", "")]
+    got = {r.entity_id: r.form for r in lookalike.one_form(spark.createDataFrame(many + odd, "entity_id string, field_name string, value string")).collect()}
+    assert len(got) == 3005 and got["a1"] == got["a2"] == "Ivanhoe 7" and got["b1"] == "A\ua4efW x" and got["c1"] is None and got["c2"] == "" and got["e7"] == "Word7 ready"
 
 
 def test_pairs_within_splits_hot_keys(spark, monkeypatch):
