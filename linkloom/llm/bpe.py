@@ -28,6 +28,8 @@ ARCS_KEPT = 300_000
 CHUNKS_KEPT = 200_000
 #: Bytes after which a token is final: the longest entry of the vocabulary.
 LOOKAHEAD = 128
+#: Bytes from which a chunk is read by emitting final tokens instead of to its end.
+LONG_CHUNK = 1_024
 
 
 def default_vocabulary() -> str:
@@ -49,6 +51,7 @@ class Transducer:
         self._parts: dict[int, tuple[int, int]] = {}
         #: trie of the vocabulary: per node its arcs and, under -1, the token that ends there
         self._trie: list[dict[int, int]] = [{}]
+        self._depth = [0]
         for token, rank in ranks.items():
             node = 0
             for b in token:
@@ -56,6 +59,7 @@ class Transducer:
                 if to is None:
                     to = self._trie[node][b] = len(self._trie)
                     self._trie.append({})
+                    self._depth.append(self._depth[node] + 1)
                 node = to
             self._trie[node][-1] = rank
         self._clear()
@@ -151,9 +155,11 @@ class Transducer:
         return arc
 
     def encode_bytes(self, data: bytes) -> tuple[int, ...]:
-        """Tokens of one chunk: the last tokens of all prefixes, followed back from the end."""
+        """Tokens of one chunk: the last tokens of all prefixes, followed back from the end; long chunks are read as a stream."""
         if len(self._arcs) > ARCS_KEPT:
             self._clear()
+        if len(data) > LONG_CHUNK:
+            return tuple(self.stream(data))
         at, arcs, last = 0, self._arcs, []
         for byte in data:
             at, token = arcs.get(at << 8 | byte) or self._arc(at, byte)
@@ -166,16 +172,21 @@ class Transducer:
         return tuple(out[::-1])
 
     def stream(self, data: Iterable[int]) -> Iterator[int]:
-        """Tokens of one chunk of any length as they become final: once every position still under way follows from them."""
-        at, last, base = 0, [], 0
+        """Tokens of one chunk of any length as they become final, which is looked up every ``LOOKAHEAD`` bytes.
+
+        What follows continues from one of the positions that the state has under way, so the tokens that the paths to all of them share are final.
+        """
+        at, last, read = 0, [], 0
         for byte in data:
             at, token = self._arcs.get(at << 8 | byte) or self._arc(at, byte)
             last.append(token)
-            if len(last) > 2 * LOOKAHEAD:
-                paths = [self._path(last, n) for n in range(len(last) - LOOKAHEAD, len(last) + 1)]
+            read += 1
+            if read >= LOOKAHEAD:
+                read = 0
+                paths = [self._path(last, len(last) - self._depth[entry >> 20]) for entry in self._states[at]]
                 final = next((k for k, same in enumerate(zip(*paths)) if len(set(same)) > 1), min(map(len, paths)))
                 yield from paths[0][:final]
-                last = last[sum(self._size[t] for t in paths[0][:final]) :]
+                del last[: sum(self._size[t] for t in paths[0][:final])]
         yield from self._path(last, len(last))
 
     def _path(self, last: list[int], end: int) -> list[int]:
@@ -212,6 +223,11 @@ class Transducer:
     def count(self, text: str | None) -> int:
         return len(self.packed(text)) // 4
 
+    def counts(self, text: str | None) -> tuple[int, int]:
+        """Tokens of ``text``, and how many of them lie before its body, where it has a preamble."""
+        start = (text or "").find("\\begin{document}")
+        return self.count(text), self.count(text[:start]) if start > 0 else 0
+
     def decode(self, ids: Iterable[int]) -> Iterator[str]:
         """Text of a stream of ids, piece by piece, as soon as its characters are complete."""
         machine = Utf8Machine()
@@ -229,6 +245,8 @@ class Utf8Machine:
         self._value, self._due, self._low, self._high = 0, 0, 0x80, 0xBF
 
     def feed(self, data: bytes) -> str:
+        if not self._due and data.isascii():
+            return data.decode("ascii")
         out: list[str] = []
         for b in data:
             if self._due:

@@ -10,9 +10,9 @@ from linkloom.llm.encoding import count_tokens
 from linkloom.runtime import materialise, table
 
 #: Limits of a container: tokens, segments, loss-bearing tokens.
-CAPACITY, SEGMENTS, LOSS = 4_096, 256, 4_096
+CAPACITY, SEGMENTS, LOSS = 4_096, 256, 4_000
 #: Items that one task packs; the number of tasks follows the data.
-ITEMS_A_SHARD = 16_000
+ITEMS_A_SHARD = 4_000
 #: A container filled less than this is opened again and its items are packed anew with those of other shards.
 KEEP_FILL = 0.995
 #: Rounds; the last one keeps every container.
@@ -66,29 +66,32 @@ def _pack_shard(limits: tuple[int, int, int]):
     return run
 
 
-def pack(sizes: DataFrame, capacity: int = CAPACITY, segments: int = SEGMENTS, loss: int = LOSS, items_a_shard: int = ITEMS_A_SHARD) -> DataFrame:
-    """``doc_id, piece, start, n_tokens, container_id`` for every row of ``sizes`` (``doc_id, n_tokens``).
+def pack(sizes: DataFrame, capacity: int = CAPACITY, segments: int = SEGMENTS, loss: int | None = None, items_a_shard: int = ITEMS_A_SHARD) -> DataFrame:
+    """``doc_id, piece, start, n_tokens, container_id`` for every row of ``sizes`` (``doc_id, n_tokens`` and, if some tokens at the beginning bear no loss, ``n_masked``).
 
     Only an item above ``capacity`` is split, into full containers of its own and a last piece that is packed with the
-    rest. A text's first token bears no loss. Null and 0 sizes are items of no tokens and take a segment. Repeated rows are packed as often as
+    rest. ``loss`` is ``LOSS`` where masked tokens are known, else the capacity. A text's first token and its masked ones bear no loss. An item with more loss-bearing tokens than ``loss``, which may not be split for that, takes the
+    whole limit: beside it a container holds only items without loss. Null and 0 sizes are items of no tokens and take a segment. Repeated rows are packed as often as
     they stand (``copy`` tells them apart inside). Items go to shards by a hash, so that any source or size spreads; no task holds more than about
     ``items_a_shard`` of them. What stands in badly filled containers is packed again, over fewer shards.
     """
+    loss = loss or (LOSS if "n_masked" in sizes.columns else capacity)
     n = F.coalesce(F.col("n_tokens"), F.lit(0)).cast("long")
+    masked = F.greatest(F.lit(1).cast("long"), F.coalesce(F.col("n_masked"), F.lit(0)).cast("long")) if "n_masked" in sizes.columns else F.lit(1).cast("long")
     pieces = (
-        sizes.select("doc_id", n.alias("n"), F.monotonically_increasing_id().alias("copy"))
+        sizes.select("doc_id", n.alias("n"), masked.alias("masked"), F.monotonically_increasing_id().alias("copy"))
         .withColumn("piece", F.explode(F.sequence(F.lit(0).cast("long"), F.when(F.col("n") > 0, F.ceil(F.col("n") / capacity) - 1).otherwise(0).cast("long"))))
-        .select("doc_id", F.col("piece").cast("int").alias("piece"), (F.col("piece") * capacity).alias("start"), F.least(F.lit(capacity).cast("long"), F.col("n") - F.col("piece") * capacity).alias("n_tokens"), "copy")
+        .select("doc_id", F.col("piece").cast("int").alias("piece"), (F.col("piece") * capacity).alias("start"), F.least(F.lit(capacity).cast("long"), F.col("n") - F.col("piece") * capacity).alias("n_tokens"), "masked", "copy")
     )
     pieces = materialise(
         pieces.withColumn("n_segments", F.lit(1).cast("long"))
-        .withColumn("n_loss", F.greatest(F.lit(0).cast("long"), F.least(F.lit(loss).cast("long"), F.col("n_tokens") - (F.col("piece") == 0).cast("long"))))
+        .withColumn("n_loss", F.least(F.lit(loss).cast("long"), F.greatest(F.lit(0).cast("long"), F.col("n_tokens") - F.greatest(F.lit(0).cast("long"), F.col("masked") - F.col("start")))))
+        .drop("masked")
     )
     columns = ["doc_id", "piece", "start", "n_tokens"]
     at = F.xxhash64("doc_id", "piece", "copy")
-    done = pieces.where(F.col("n_tokens") == capacity).select(*columns, F.abs(F.xxhash64("doc_id", "piece", "copy", F.lit("full"))).alias("spread"))
-    # whole containers need no packing; their numbers come from the row's place, unique and without a sort
-    done = done.select(*columns, (F.monotonically_increasing_id() * 2 + 1).alias("container_id"))
+    # whole containers need no packing; they are numbered once and written, so that the numbers stay
+    done = materialise(pieces.where(F.col("n_tokens") == capacity).select(*columns, (F.monotonically_increasing_id() * 2 + 1).alias("container_id")))
     todo = pieces.where(F.col("n_tokens") < capacity)
     base = 0
     schema = todo.schema.simpleString()[len("struct<") : -1].replace(":", " ") + ", shard long, slot long, share double"

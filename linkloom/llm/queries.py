@@ -14,6 +14,7 @@ QUERIES = {
     "p6_found": neighbours.p6_found,
     "p7_found": matching.p7_found,
     "p8_ids": encoding.p8_ids,
+    "p8_round_trip": encoding.p8_round_trip,
     "p9_containers": packing.p9_containers,
     "p10_found": stuffing.p10_found,
 }
@@ -34,6 +35,7 @@ ORACLE = {
       select source_tag, country, max(micro) as cutoff_micro, cast(min(kept) as bigint) as n_kept
       from c where kept * 1000 >= keep_permille * total group by source_tag, country
     """,
+    "p8_round_trip": "select doc_id, md5(coalesce(text, '')) as digest from documents",
     "p3_found": f"""
       with pairs as ({COUNTING_SQL})
       select s1_id, cand_id from pairs

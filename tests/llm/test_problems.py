@@ -370,9 +370,19 @@ def test_encoding_is_merging(machine, plainly):
     assert machine.encode(None) == [] and machine.count(None) == 0
 
 
-def test_streams(machine):
-    for data in (b" " * 2000, b"abcabc" * 500, "ज़".encode() * 300):
-        assert list(machine.stream(data)) == list(machine.encode_bytes(data))
+def test_streams(machine, monkeypatch):
+    rng = random.Random(12)
+    for data in (b" " * 2000, b"abcabc" * 500, "ज़".encode() * 300, bytes(rng.choice(b"abelmnort") for _ in range(5000)), b"a" * 5000):
+        monkeypatch.setattr(bpe, "LONG_CHUNK", 10**9)
+        whole = list(machine.encode_bytes(data))
+        assert list(machine.stream(data)) == whole
+        monkeypatch.setattr(bpe, "LONG_CHUNK", 1_024)
+        assert list(machine.encode_bytes(data)) == whole
+        fed, out = [], 0
+        for _ in machine.stream(fed.append(b) or b for b in data):  # tokens come before the end is read
+            out += 1
+            if out == 1:
+                assert len(data) < 2000 or len(fed) <= 4 * bpe.LOOKAHEAD
     text = "é中😀a"
     u = bpe.Utf8Machine()
     assert "".join(u.feed(bytes([b])) for b in text.encode()) + u.close() == text
@@ -394,6 +404,8 @@ def test_corpus(spark, plainly):
     got = sorted((r.doc_id, list(r.ids)) for r in encoding.encode_corpus(spark.createDataFrame(rows, "doc_id long, text string, ids string")).collect())
     assert got == sorted((i, plainly.encode_ordinary(t) if t else []) for i, t, _ in rows)
     assert encoding.encode_corpus(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+    back = sorted((r.doc_id, r.text) for r in encoding.decode_corpus(encoding.encode_corpus(spark.createDataFrame(rows, "doc_id long, text string, ids string"))).collect())
+    assert back == sorted((i, t or "") for i, t, _ in rows)
 
 
 # packing -----------------------------------------------------------------------------------------------------------------
@@ -422,6 +434,20 @@ def test_packing(spark):
     assert packing.pack(spark.createDataFrame([], "doc_id long, n_tokens long")).count() == 0
 
 
+def test_loss_limit_binds(spark):
+    """Texts without masked tokens can't fill a container under the loss limit, those with a preamble can: the limit decides what is put together."""
+    sizes = spark.createDataFrame([(i, 1024, 0 if i % 2 else 900) for i in range(400)], "doc_id long, n_tokens long, n_masked long")
+    for loss in (packing.CAPACITY, 2_200):
+        got = packing.pack(sizes, loss=loss).collect()
+        by = {}
+        for r in got:
+            by.setdefault(r.container_id, []).append(1023 if r.doc_id % 2 else 124)
+        assert sum(map(len, by.values())) == 400 and max(map(sum, by.values())) <= loss and len(by) == 100
+    long = packing.pack(spark.createDataFrame([(1, 9000, 5000), (2, 4090, 0), (3, 90, 90), (4, 6, 0)], "doc_id long, n_tokens long, n_masked long")).collect()
+    assert sorted((r.doc_id, r.piece, r.n_tokens) for r in long) == [(1, 0, 4096), (1, 1, 4096), (1, 2, 808), (2, 0, 4090), (3, 0, 90), (4, 0, 6)]
+    assert len({r.container_id for r in long if r.doc_id in (2, 4)}) == 2
+
+
 def test_every_limit_holds():
     items = np.array([[10, 1, 90]] * 5 + [[90, 1, 5]] * 5)
     where = packing.fill(items, np.array([100, 2, 100]))
