@@ -13,6 +13,8 @@ from linkloom.runtime import materialise, table
 CAPACITY, SEGMENTS, LOSS = 4_096, 256, 4_000
 #: Items that one task packs; the number of tasks follows the data.
 ITEMS_A_SHARD = 4_000
+#: Partitions over which shards are spread; more shards share them.
+MOST_PARTITIONS = 8_192
 #: A container filled less than this is opened again and its items are packed anew with those of other shards.
 KEEP_FILL = 0.995
 #: Rounds; the last one keeps every container.
@@ -100,7 +102,9 @@ def pack(sizes: DataFrame, capacity: int = CAPACITY, segments: int = SEGMENTS, l
         if not count:
             break
         shards = max(1, -(-count // items_a_shard))
-        packed = materialise(todo.withColumn("shard", F.pmod(F.xxhash64(at, F.lit(k)), F.lit(shards))).groupBy("shard").applyInPandas(_pack_shard((capacity, segments, loss)), schema))
+        sharded = todo.withColumn("shard", F.pmod(F.xxhash64(at, F.lit(k)), F.lit(shards)))
+        # a stated number of partitions: packing takes long for its few bytes, by which adaptive execution would merge shards
+        packed = materialise(sharded.repartition(min(shards, MOST_PARTITIONS), "shard").groupBy("shard").applyInPandas(_pack_shard((capacity, segments, loss)), schema))
         last = k == ROUNDS - 1 or shards == 1
         kept = packed if last else packed.where(F.col("share") >= KEEP_FILL)
         # even numbers: round's base, shard and slot
