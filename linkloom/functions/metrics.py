@@ -9,6 +9,8 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from linkloom.operators import windows
+
 #: name -> (function, whether higher is better)
 METRICS: dict[str, tuple[Callable, bool]] = {}
 
@@ -99,10 +101,10 @@ def f1_micro(df: DataFrame, true: str, pred: str) -> DataFrame:
 
 @metric("auc", True)
 def auc(df: DataFrame, true: str, score: str) -> DataFrame:
-    """Exact area under the ROC curve from average ranks; null without both classes. Only distinct scores are ordered, with their counts."""
+    """Exact area under the ROC curve from average ranks; null without both classes. Only distinct scores are ordered, with their counts, over range partitions."""
     counts = df.groupBy(F.col(score).alias("s")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col(true).cast("bigint")).alias("pos"))
-    before = F.coalesce(F.sum("n").over(Window.orderBy("s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranked = counts.select("n", "pos", (before + (F.col("n") + 1) / 2).alias("rank"))
+    upto = windows.running(counts, [], [F.asc("s")], upto=(F.sum, F.col("n")))
+    ranked = upto.select("n", "pos", (F.col("upto") - F.col("n") + (F.col("n") + 1) / 2).alias("rank"))
     p, total = F.sum("pos"), F.sum("n")
     return _one(ranked, F.try_divide(F.sum(F.col("pos") * F.col("rank")) - p * (p + 1) / 2, p * (total - p)), "auc")
 

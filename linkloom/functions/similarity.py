@@ -109,10 +109,12 @@ def measure(kind: str):
 
 
 def scored(pairs: DataFrame, left: str, right: str, kinds: list[str], prefix: str) -> DataFrame:
-    """``pairs`` with ``<prefix>_<kind>`` for each measure, computed once per distinct pair of strings and joined back."""
+    """``pairs`` with ``<prefix>_<kind>`` for each measure, computed once per distinct pair of strings and joined back. A null string counts as an empty one."""
     distinct = pairs.select(left, right).distinct()
     made = distinct.select(left, right, *(measure(k)(F.col(left), F.col(right)).alias(f"{prefix}_{k}") for k in kinds))
-    return pairs.join(made, [left, right])
+    on = F.col(f"_l.{left}").eqNullSafe(F.col("_r._a")) & F.col(f"_l.{right}").eqNullSafe(F.col("_r._b"))
+    named = made.withColumnsRenamed({left: "_a", right: "_b"})
+    return pairs.alias("_l").join(named.alias("_r"), on).select("_l.*", *(f"_r.{prefix}_{k}" for k in kinds))
 
 
 def cosine(a: Column, b: Column) -> Column:

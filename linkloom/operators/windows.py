@@ -22,14 +22,24 @@ def with_group(df: DataFrame, keys: list[str], **figures: Column) -> DataFrame:
     return df.join(made, keys)
 
 
+#: Distinct values of a group that one task orders; groups with more are ranked over range partitions.
+GROUP_VALUES = 1_000_000
+
+
 def with_rank(df: DataFrame, keys: list[str], value: str, name: str) -> DataFrame:
     """Rank of ``value`` in its group from the greatest down, equal values with the least rank of theirs.
 
-    Null values rank last. Only a group's distinct values meet in one task, each with its count.
+    Null values rank last. Only distinct values are ordered, each with its count: in one task per group where every group has at most
+    ``GROUP_VALUES`` of them, which is counted first, else over range partitions.
     """
-    counted = df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
-    order = Window.partitionBy(*keys).orderBy(F.col(value).desc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
-    ranked = counted.select(*keys, F.col(value).alias("_v"), (F.coalesce(F.sum("_n").over(order), F.lit(0)) + 1).alias(name))
+    counted = materialise(df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n")))
+    falling = F.col(value).desc_nulls_last()
+    most = counted.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
+    if most <= GROUP_VALUES:
+        upto = counted.withColumn("_upto", F.sum("_n").over(Window.partitionBy(*keys).orderBy(falling).rowsBetween(Window.unboundedPreceding, 0)))
+    else:
+        upto = running(counted, keys, [falling], _upto=(F.sum, F.col("_n")))
+    ranked = upto.select(*keys, F.col(value).alias("_v"), (F.col("_upto") - F.col("_n") + 1).alias(name))
     on = [F.col(f"_l.{k}") == F.col(f"_r.{k}") for k in keys]
     joined = df.alias("_l").join(ranked.alias("_r"), [*on, F.col(f"_l.{value}").eqNullSafe(F.col("_r._v"))])
     return joined.select("_l.*", F.col(f"_r.{name}"))

@@ -216,10 +216,9 @@ def agg_quantile(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def average_ranks(df: DataFrame, value: str, name: str) -> DataFrame:
-    """``value`` and its rank, the mean of equal values' places, from counts per distinct value."""
-    counted = df.groupBy(value).agg(F.count(F.lit(1)).alias("_n"))
-    before = F.coalesce(F.sum("_n").over(Window.orderBy(value).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return counted.select(value, (before + (F.col("_n") + 1) / 2).alias(name))
+    """``value`` and its rank, the mean of equal values' places, from counts per distinct value over range partitions."""
+    counted = windows.running(df.groupBy(value).agg(F.count(F.lit(1)).alias("_n")), [], [F.asc(value)], _upto=(F.sum, F.col("_n")))
+    return counted.select(value, (F.col("_upto") - F.col("_n") + (F.col("_n") + 1) / 2).alias(name))
 
 
 @query("agg_spearman", f"with {PF}, r as (select rank() over (order by prob) + (count(*) over (partition by prob) - 1) / 2 as a, rank() over (order by n) + (count(*) over (partition by n) - 1) / 2 as b from (select prob, length(r_name_core) as n from pf)) select round(corr(a, b), 6) as spearman from r")

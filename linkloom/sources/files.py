@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
 from pathlib import PurePosixPath
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from linkloom.runtime import scratch_root
+from linkloom.runtime import fresh
 
 RECORD = T.StructType([T.StructField(c, T.StringType()) for c in ("entity_id", "business_name", "business_address", "country")])
 MATCH = T.StructType([T.StructField(c, T.StringType()) for c in ("source1_entity_id", "matched_entity_ids")])
@@ -16,7 +15,7 @@ CANDIDATE = T.StructType([T.StructField(c, T.StringType()) for c in ("source1_en
 
 def scratch(spark: SparkSession, name: str) -> str:
     """A fresh folder on the shared scratch storage."""
-    return f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
+    return fresh(spark, name)
 
 
 def scan_tsv(spark: SparkSession, path: str, schema: T.StructType, columns: list[str] | None = None) -> DataFrame:

@@ -12,10 +12,10 @@ def _rule(df: DataFrame, level: str, rule: str, bad: Column, example: Column) ->
 
 
 def raw_bytes(spark: SparkSession, path: str) -> DataFrame:
-    """Byte-order marks and carriage returns: what a text reader hides."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.csv").load(path).select("path", "content")
-    text = files.select("path", F.expr("hex(substring(content, 1, 3))").alias("head"), F.decode("content", "ISO-8859-1").alias("text"))
-    return _rule(text, "error", "byte order mark", F.col("head") == "EFBBBF", F.col("path")).unionByName(_rule(text, "warning", "carriage return", F.instr("text", "\r\n") > 0, F.col("path")))
+    """Files that begin with a byte-order mark or have carriage returns, which a text reader hides. Lines are read one by one, so a file may be of any size."""
+    lines = spark.read.option("lineSep", "\n").option("pathGlobFilter", "*.csv").text(path).select("value", F.input_file_name().alias("file"))
+    marks = lines.groupBy("file").agg(F.max(F.startswith("value", F.lit("\ufeff"))).alias("mark"), F.max(F.endswith("value", F.lit("\r"))).alias("cr"))
+    return _rule(marks, "error", "byte order mark", F.col("mark"), F.col("file")).unionByName(_rule(marks, "warning", "carriage return", F.col("cr"), F.col("file")))
 
 
 def list_file(lines: DataFrame, s1_ids: DataFrame, pool_ids: DataFrame) -> DataFrame:

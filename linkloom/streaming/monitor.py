@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -18,7 +19,14 @@ from linkloom.sources.files import scratch
 #: Minutes without a beat that are stale, minutes idle that alert, value under which a run idles, minutes an alert is held back, factor over the least value that diverges, beats before which nothing diverges.
 STALE_MIN, IDLE_MIN, IDLE_BELOW, HOLD_MIN, DIVERGE, DIVERGE_FROM = 10, 10, 5.0, 30, 3.0, 100
 #: Crash signatures in logs.
-SIGNATURES = {"oom": "out of memory", "traceback": "traceback", "killed": "\\bkilled\\b", "error": "\\berror\\b"}
+SIGNATURES = {
+    "oom": "(?i)CUDA out of memory|OutOfMemoryError|CUBLAS_STATUS_ALLOC_FAILED|MemoryError",
+    "traceback": "(?m)^Traceback \\(most recent call last\\)",
+    "cuda_error": "(?i)CUDA error|device-side assert|illegal memory access|NCCL error",
+    "killed": "(?m)^Killed$",
+}
+#: Steps and seconds between two written states of a run.
+EVERY_STEPS, EVERY_SECONDS = 50, 30.0
 
 _ORDER = ("ts", "event_id")
 
@@ -80,38 +88,93 @@ def counted_windows(events: DataFrame, size: str = "1 day") -> DataFrame:
     return events.groupBy(F.window("ts", size).alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))
 
 
-def held_back(events: DataFrame, key: str, minutes: float = HOLD_MIN) -> DataFrame:
-    """Alerts that are sent: of one key none within ``minutes`` of the last one sent. Stateful: per key the time last sent.
+def _in_order(batches: Iterator[pd.DataFrame], *columns: str) -> Iterator[tuple]:
+    """A key's rows of one micro-batch by time and id; held are only these columns, as arrays, for as many rows as the source puts into a micro-batch."""
+    parts = [[b[c].to_numpy() for c in ("ts", "event_id", *columns)] for b in batches]
+    whole = [np.concatenate(x) for x in zip(*parts)]
+    for k in np.lexsort((whole[1], whole[0])):
+        yield (pd.Timestamp(whole[0][k]), *(x[k] for x in whole[1:]))
 
-    Rows of one batch are taken in order of time; a row older than the last one sent is held back.
+
+def held_back(events: DataFrame, key: str, minutes: float = HOLD_MIN, once: bool = False) -> DataFrame:
+    """Alerts that are sent: of one key none within ``minutes`` of the last one sent, or none ever again with ``once``. Stateful: per key the time last sent.
+
+    Rows of one batch are taken in order of time; a row older than the last one sent is held back. On a stream with a watermark a key's
+    state is dropped when its hold is over, except with ``once``.
     """
     hold = pd.Timedelta(minutes=minutes)
+    timed = events.isStreaming and not once and any("spark.watermarkDelayMs" in f.metadata for f in events.schema.fields)
 
     def step(keys: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         last = pd.Timestamp(state.get[0], unit="us") if state.exists else None
-        rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])
         sent = []
-        for ts, event in zip(rows["ts"], rows["event_id"]):
+        for ts, event in _in_order(batches):
             ts = ts.tz_localize(None) if ts.tzinfo else ts
-            if last is None or ts - last >= hold:
+            if last is None or (not once and ts - last >= hold):
                 last = ts
                 sent.append((keys[0], event, ts))
         if last is not None:
             state.update((int(last.value // 1000),))
+            if timed:
+                state.setTimeoutTimestamp(max(int((last + hold).value // 1_000_000), state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame(sent, columns=[key, "event_id", "ts"])
 
-    return events.select(key, "event_id", "ts").groupBy(key).applyInPandasWithState(step, f"{key} string, event_id long, ts timestamp", "last long", "append", GroupStateTimeout.NoTimeout)
+    timeout = GroupStateTimeout.EventTimeTimeout if timed else GroupStateTimeout.NoTimeout
+    return events.select(key, "event_id", "ts").groupBy(key).applyInPandasWithState(step, f"{key} string, event_id long, ts timestamp", "last long", "append", timeout)
 
 
-def status(events: DataFrame, run: str) -> DataFrame:
-    """How each run stands after its latest event; the state decides, not the order in which rows arrive."""
+def written_states(events: DataFrame, key: str, total_steps: int | None = None, every_steps: int = EVERY_STEPS, every_seconds: float = EVERY_SECONDS) -> DataFrame:
+    """The states of a run that a throttled heartbeat writes: ``key, event_id, step, value_min, nan, per_second, eta_s``.
+
+    An event is a step. It is written if ``every_steps`` steps or ``every_seconds`` seconds have passed since the last written one, at once if its value is
+    null, NaN or infinite, which then never enters the least value. The rate is steps over seconds since the last
+    measured state, the remaining time follows from ``total_steps``. Stateful, a few numbers per run.
+    """
+
+    def step(keys: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        n, low, wrote, wrote_at, rate_n, rate_at = state.get if state.exists else (0, None, None, None, 0, None)
+        out = []
+        for ts, event, value in _in_order(batches, "value"):
+            n, now = n + 1, ts.timestamp()
+            rate_at = now if rate_at is None else rate_at
+            broken = value is None or not np.isfinite(value)
+            rate = eta = None
+            if not broken:
+                low = float(value) if low is None else min(low, float(value))
+                if wrote is not None and n - wrote < every_steps and now - wrote_at < every_seconds:
+                    continue
+                if now > rate_at and n > rate_n:
+                    rate = (n - rate_n) / (now - rate_at)
+                    eta = max(0, total_steps - n) / rate if total_steps else None
+                    rate_n, rate_at = n, now
+            wrote, wrote_at = n, now
+            out.append((keys[0], event, n, low, broken, rate, eta))
+        state.update((n, low, wrote, wrote_at, rate_n, rate_at))
+        yield pd.DataFrame(out, columns=[key, "event_id", "step", "value_min", "nan", "per_second", "eta_s"])
+
+    schema = f"{key} string, event_id long, step long, value_min double, nan boolean, per_second double, eta_s double"
+    return events.select(key, "event_id", "ts", "value").groupBy(key).applyInPandasWithState(step, schema, "n long, low double, wrote long, wrote_at double, rate_n long, rate_at double", "append", GroupStateTimeout.NoTimeout)
+
+
+def status(events: DataFrame, run: str, ends: dict[str, str], exits: DataFrame | None = None, alive: DataFrame | None = None) -> DataFrame:
+    """How each run stands: ``run, status``.
+
+    The kind of its latest event names an end by ``ends``; else a row in ``exits`` (``run, returncode``) makes it ``exited rc=N``; else it ``died`` if
+    ``alive`` (``run, alive``) says so, else it is running. The state decides, not the order in which rows arrive. Of several exits the greatest code holds.
+    """
     last = events.groupBy(run).agg(F.max(F.struct("ts", "event_id", "event_type")).alias("x"))
-    kind = F.col("x.event_type")
-    return last.select(run, F.when(kind == "purchase", "completed").when(kind == "error", "failed").otherwise("running").alias("status"))
+    ended = F.coalesce(*(F.when(F.col("x.event_type") == kind, F.lit(end)) for kind, end in ends.items()), F.lit(None).cast("string"))
+    none = last.sparkSession.createDataFrame([], f"{run} {dict(events.dtypes)[run]}, returncode int, alive boolean")
+    gone = (exits if exits is not None else none).groupBy(run).agg(F.max("returncode").alias("_rc"))
+    lives = (alive if alive is not None else none).groupBy(run).agg(F.max("alive").alias("_alive"))
+    made = last.join(gone, run, "left").join(lives, run, "left")
+    return made.select(run, F.coalesce(ended, F.when(F.col("_rc").isNotNull(), F.concat(F.lit("exited rc="), F.col("_rc").cast("string"))), F.when(~F.col("_alive"), F.lit("died")), F.lit("running")).alias("status"))
 
 
 def log_hits(lines: DataFrame, column: str) -> DataFrame:
-    """``signature, n``: lines with each crash signature, in one pass."""
-    low = F.lower(F.col(column))
-    hit = F.explode(F.filter(F.array(*(F.when(low.rlike(p), F.lit(n)) for n, p in SIGNATURES.items())), lambda x: x.isNotNull())).alias("signature")
+    """``signature, n``: lines with each crash signature, in one pass. On a stream only new lines are read, and counts go on."""
+    hit = F.explode(F.filter(F.array(*(F.when(F.col(column).rlike(p), F.lit(n)) for n, p in SIGNATURES.items())), lambda x: x.isNotNull())).alias("signature")
     return lines.select(hit).groupBy("signature").agg(F.count(F.lit(1)).alias("n"))

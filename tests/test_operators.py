@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import Window, functions as F
 
-from linkloom.functions import metrics
+from linkloom.functions import metrics, similarity
 from linkloom.operators import decide, retrieval, sampling, windows
 from linkloom.plans import q_features, q_files, q_learn
 from linkloom.runtime import materialise, small
@@ -225,3 +225,64 @@ def test_weights(spark):
     df = spark.createDataFrame([(i, 0.01 + 0.98 * i / 99) for i in range(100)], "id int, dom double")
     w = [r.weight for r in q_learn.importance_weights(df, "dom").collect()]
     assert np.mean(w) == pytest.approx(1) and min(w) > 0
+
+
+def test_states_and_ends(spark):
+    import datetime
+
+    at = lambda m: datetime.datetime(2026, 1, 1) + datetime.timedelta(seconds=m)
+    rows = [(i, at(i * 4), "r", float(100 - i)) for i in range(120)]
+    rows[37] = (37, at(37 * 4), "r", float("nan"))
+    df = spark.createDataFrame(rows, "event_id long, ts timestamp, event_type string, value double")
+    got = {r.event_id: r for r in monitor.drained(monitor.written_states(_streamed(spark, df), "event_type", 200, every_steps=50, every_seconds=30), "append", "w").collect()}
+    want, last, at_, low = [], None, None, None
+    for i, ts, _, v in rows:
+        n, bad = i + 1, v != v
+        low = low if bad else v if low is None else min(low, v)
+        if bad or last is None or n - last >= 50 or (ts - at_).total_seconds() >= 30:
+            want.append(i)
+            last, at_ = n, ts
+    assert sorted(got) == want and got[37].nan and got[37].value_min == 64.0 and not got[want[-1]].nan
+    assert abs(got[8].per_second - 9 / 32) < 1e-9 and abs(got[8].eta_s - (200 - 9) / (9 / 32)) < 1e-6
+    ends = spark.createDataFrame([("a", 1, at(1), "end"), ("b", 2, at(1), "bad"), ("b", 3, at(0), "end"), ("c", 4, at(1), "x"), ("d", 5, at(1), "x"), ("e", 6, at(1), "x")], "run string, event_id long, ts timestamp, event_type string")
+    exits = spark.createDataFrame([("c", 3), ("a", 1)], "run string, returncode int")
+    alive = spark.createDataFrame([("d", False), ("e", True), ("c", False)], "run string, alive boolean")
+    kinds = {"end": "completed", "bad": "failed"}
+    assert {r.run: r.status for r in monitor.status(ends, "run", kinds, exits, alive).collect()} == {"a": "completed", "b": "failed", "c": "exited rc=3", "d": "died", "e": "running"}
+    assert {r.status for r in monitor.status(ends, "run", kinds).collect()} == {"completed", "failed", "running"}
+
+
+def _streamed(spark, df):
+    from linkloom.sources.files import scratch
+
+    path = scratch(spark, "events")
+    df.write.parquet(path)
+    return spark.readStream.schema(df.schema).parquet(path)
+
+
+def test_hot_groups_are_ranked_over_ranges(spark, monkeypatch):
+    df = spark.createDataFrame([(k % 2, float((k * 7) % 40) if k % 9 else None) for k in range(300)], "k long, v double")
+    plain = sorted(map(tuple, windows.with_rank(df, ["k"], "v", "r").collect()), key=repr)
+    monkeypatch.setattr(windows, "GROUP_VALUES", 3)
+    assert sorted(map(tuple, windows.with_rank(df, ["k"], "v", "r").collect()), key=repr) == plain
+
+
+def test_null_strings_are_scored(spark):
+    df = spark.createDataFrame([("ab", "ab", 1), (None, "ab", 2), (None, None, 3)], "a string, b string, n long")
+    assert {r.n: r.x_ratio for r in similarity.scored(df, "a", "b", ["ratio"], "x").collect()} == {1: 1.0, 2: 0.0, 3: 1.0}
+
+
+def test_scratch_is_deleted_and_a_cluster_needs_a_folder(spark, monkeypatch):
+    import os
+
+    from linkloom import runtime
+
+    with runtime.scratch_scope():
+        runtime.materialise(spark.range(3))
+        path = runtime._written[-1]
+        assert os.path.isdir(path)
+    assert not os.path.exists(path)
+    monkeypatch.setattr(type(spark.sparkContext), "master", "spark://there:7077")
+    if not spark.conf.get("spark.checkpoint.dir", None):
+        with pytest.raises(ValueError, match="share"):
+            runtime.scratch_root(spark)
