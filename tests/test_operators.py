@@ -282,7 +282,7 @@ def test_scratch_is_deleted_and_a_cluster_needs_a_folder(spark, monkeypatch):
         path = runtime._written[-1]
         assert os.path.isdir(path)
     assert not os.path.exists(path)
-    monkeypatch.setattr(type(spark.sparkContext), "master", "spark://there:7077")
+    monkeypatch.setattr(spark.sparkContext, "master", "spark://there:7077")
     if not spark.conf.get("spark.checkpoint.dir", None):
         with pytest.raises(ValueError, match="share"):
             runtime.scratch_root(spark)
