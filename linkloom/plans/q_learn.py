@@ -2,19 +2,18 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
-from pyspark.ml.classification import GBTClassifier, LogisticRegression
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from linkloom.functions import metrics, similarity as sim, text
-from linkloom.operators import sampling, windows
+from linkloom.operators import boosting, sampling, windows
 from linkloom.plans import views
 from linkloom.plans.q_decide import unseen
-from linkloom.plans.q_features import side_scores
+from linkloom.plans.q_features import contested, owner_exclude, owners, side_scores, slot_of
 from linkloom.plans.registry import query
 from linkloom.plans.views import FOLD, P, REC
 from linkloom.runtime import materialise
@@ -37,68 +36,54 @@ def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
     return design(spark, sf_dir).join(views.labels(spark, sf_dir), ["s1_id", "cand_id"]).withColumn("label", F.col("y").cast("double")).where("fold is not null")
 
 
-def logistic(weight: str | None = None):
-    return LogisticRegression(maxIter=25, regParam=0.01, **({"weightCol": weight} if weight else {}))
+def sampled(rows: DataFrame, columns: list[str]) -> pd.DataFrame:
+    """At most ``FIT_ROWS`` rows by draw, on the driver, for a fit."""
+    return sampling.uniform(rows, FIT_ROWS, 1, "s1_id", "cand_id").select(*columns).toPandas()
 
 
-def boosted():
-    return GBTClassifier(maxIter=10, maxDepth=4, seed=7)
+def fold_models(rows: pd.DataFrame, **settings) -> dict[int, boosting.Booster]:
+    """One booster per fold, fitted on the rows of the other folds and stopped early on its own."""
+    x, y, fold = rows[X].to_numpy(float), rows["label"].to_numpy(), rows["fold"].to_numpy()
+    return {int(k): boosting.boost(x, y, held=fold == k, **settings) for k in sorted(set(fold)) if len(set(y[fold != k])) == 2}
 
 
-def assembled(df: DataFrame) -> DataFrame:
-    return VectorAssembler(inputCols=X, outputCol="features").transform(df)
+def models_of(spark: SparkSession, sf_dir: str) -> dict[int, boosting.Booster]:
+    return fold_models(sampled(labelled(spark, sf_dir), [*X, "label", "fold"]))
 
 
-def probability(model, df: DataFrame, name: str) -> DataFrame:
-    return model.transform(df).withColumn(name, vector_to_array("probability")[1]).drop("rawPrediction", "probability", "prediction")
-
-
-def fold_models(train: DataFrame, learner: Callable = logistic) -> dict[int, object]:
-    """One model per fold, fitted on the rows of the other folds, at most ``FIT_ROWS`` of them by draw."""
-    rows = materialise(sampling.uniform(train, FIT_ROWS, 1, "s1_id", "cand_id"))
-    present = sorted(r.fold for r in rows.select("fold").distinct().collect())
-    models = {}
-    for fold in present:
-        part = rows.where(F.col("fold") != fold)
-        if part.select("label").distinct().count() == 2:
-            models[fold] = learner().fit(assembled(part))
-    return models
-
-
-def routed(df: DataFrame, models: dict[int, object]) -> DataFrame:
-    """``pred``: the fold's own model where the row's S1 is in a fold, else the mean of all models. No row is scored by a model that saw it."""
-    made = assembled(df)
-    for fold, model in models.items():
-        made = probability(model, made, f"_p{fold}")
-    mean = sum((F.col(f"_p{k}") for k in models), F.lit(0.0)) / len(models)
+def routed(df: DataFrame, models: dict[int, boosting.Booster]) -> DataFrame:
+    """``pred``: the fold's own model where the row's S1 is in a fold, else the mean of all models, ``mean_pred``. No row is scored by a model that was fitted on it; without models both are null."""
+    made = boosting.scored(df, {f"_p{k}": m for k, m in models.items()}, X) if models else df
+    mean = sum((F.col(f"_p{k}") for k in models), F.lit(0.0)) / len(models) if models else F.lit(None).cast("double")
     own = F.coalesce(*(F.when(F.col("fold") == k, F.col(f"_p{k}")) for k in models), mean)
-    return made.withColumn("mean_pred", mean).withColumn("pred", own).drop("features", *(f"_p{k}" for k in models))
+    return made.withColumn("mean_pred", mean).withColumn("pred", own).drop(*(f"_p{k}" for k in models))
 
 
 @query("ml_oof")
 def ml_oof(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Out-of-fold scores of the labelled pairs; folds are whole S1s."""
-    rows = labelled(spark, sf_dir)
-    return routed(rows, fold_models(rows)).select("s1_id", "cand_id", "fold", "y", F.round("pred", 4).alias("pred"))
+    """Out-of-fold scores of the labelled pairs by boosted trees; folds are whole S1s."""
+    return routed(labelled(spark, sf_dir), models_of(spark, sf_dir)).select("s1_id", "cand_id", "fold", "y", F.round("pred", 4).alias("pred"))
 
 
 @query("ml_predict")
 def ml_predict(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pairs scored by the mean of the fold models."""
-    return routed(design(spark, sf_dir), fold_models(labelled(spark, sf_dir))).select("s1_id", "cand_id", F.round("mean_pred", 4).alias("pred"))
+    return routed(design(spark, sf_dir), models_of(spark, sf_dir)).select("s1_id", "cand_id", F.round("mean_pred", 4).alias("pred"))
 
 
 @query("ml_oof_route")
 def ml_oof_route(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pairs scored out of sample: by fold where the S1 has one, by the mean otherwise."""
-    return routed(design(spark, sf_dir), fold_models(labelled(spark, sf_dir))).select("s1_id", "cand_id", F.round("pred", 4).alias("pred"))
+    return routed(design(spark, sf_dir), models_of(spark, sf_dir)).select("s1_id", "cand_id", F.round("pred", 4).alias("pred"))
 
 
 @query("ml_importance")
 def ml_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Normalised gain of each feature in a boosted model."""
-    model = boosted().fit(assembled(sampling.uniform(labelled(spark, sf_dir), FIT_ROWS, 1, "s1_id", "cand_id")))
-    return spark.createDataFrame([(n, round(float(v), 4)) for n, v in zip(X, model.featureImportances.toArray())], "feature string, importance double").orderBy(F.desc("importance"), "feature")
+    """Normalised gain of each feature over the fold models."""
+    gains = [m.gains for m in models_of(spark, sf_dir).values()]
+    total = sum(gains) if gains else np.zeros(len(X))
+    share = total / total.sum() if total.sum() > 0 else total
+    return spark.createDataFrame([(n, round(float(v), 4)) for n, v in zip(X, share)], "feature string, importance double").orderBy(F.desc("importance"), "feature")
 
 
 def importance_weights(rows: DataFrame, domain: str, cap: float = 20.0) -> DataFrame:
@@ -121,29 +106,65 @@ query("ml_weights", f"with {_DOM} select s1_id, cand_id, round(weight, 6) as wei
 query("ml_effective_size", f"with {_DOM} select round(sum(weight) * sum(weight) / (count(*) * sum(weight * weight)), 6) as ess, count(*)::bigint as n from f")(lambda spark, d: _weighted_pairs(spark, d).agg(F.round(F.pow(F.sum("weight"), F.lit(2)) / (F.count(F.lit(1)) * F.sum(F.col("weight") * F.col("weight"))), 6).alias("ess"), F.count(F.lit(1)).alias("n")))
 
 
+def domain_scores(spark: SparkSession, rows: DataFrame, seen: DataFrame, unseen_: DataFrame) -> tuple[DataFrame, float]:
+    """``rows`` with ``dom``, the probability that a row is one of ``unseen_``'s kind, and the classifier's AUC on rows that it wasn't fitted on.
+
+    A booster learns to tell rows of unseen countries from the others on at most ``FIT_ROWS`` of each; a fifth stops it early.
+    """
+    parts = [sampled(df, ["s1_id", *X]).assign(y=float(k)) for k, df in enumerate((seen, unseen_))]
+    both = pd.concat(parts, ignore_index=True)
+    held = np.array([zlib.crc32(str(s).encode()) % 5 == 0 for s in both["s1_id"]], bool)
+    model = boosting.boost(both[X].to_numpy(float), both["y"].to_numpy(), held=held, leaves=31)
+    p, y = model.score(both[X].to_numpy(float))[held], both["y"].to_numpy()[held]
+    ranks = pd.Series(p).rank().to_numpy()
+    n1, n0 = y.sum(), (1 - y).sum()
+    auc = float((ranks[y == 1].sum() - n1 * (n1 + 1) / 2) / (n1 * n0)) if n1 and n0 else float("nan")
+    return boosting.scored(rows, {"dom": model}, X).withColumn("dom", F.greatest(F.lit(1e-4), F.least(F.lit(1 - 1e-4), F.col("dom")))), auc
+
+
 @query("ml_weighted")
 def ml_weighted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A model fitted with importance weights, against the unweighted one, by AUC on the labelled rows."""
-    rows = importance_weights(labelled(spark, sf_dir).withColumn("dom", 0.05 + 0.9 * F.col("prob")), "dom")
-    rows = materialise(sampling.uniform(rows, FIT_ROWS, 1, "s1_id", "cand_id"))
+    """A model fitted with importance weights of a domain classifier, against the unweighted one: AUC on the labelled rows out of fold, the classifier's AUC, the effective sample size."""
+    every = materialise(design(spark, sf_dir).join(unseen(spark, sf_dir).select("s1_id", "unseen"), "s1_id"))
+    rows = materialise(labelled(spark, sf_dir))
+    made, domain_auc = domain_scores(spark, rows, every.where("not unseen"), every.where("unseen"))
+    made = materialise(importance_weights(made, "dom"))
+    ess = made.agg((F.pow(F.sum("weight"), F.lit(2)) / (F.count(F.lit(1)) * F.sum(F.col("weight") * F.col("weight")))).alias("ess")).first().ess
+    fit = sampled(made, [*X, "label", "fold", "weight"])
+    x, y, fold = fit[X].to_numpy(float), fit["label"].to_numpy(), fit["fold"].to_numpy()
     out = None
-    for name, learner in (("plain", logistic()), ("weighted", logistic("weight"))):
-        scored = probability(learner.fit(assembled(rows)), assembled(rows), "p")
-        row = metrics.auc(scored, "y", "p").select(F.lit(name).alias("model"), F.round("auc", 4).alias("auc"))
+    for name, weight in (("plain", None), ("weighted", fit["weight"].to_numpy())):
+        models = {int(k): boosting.boost(x, y, weight, held=fold == k) for k in sorted(set(fold))}
+        row = metrics.auc(routed(made, models), "y", "pred").select(F.lit(name).alias("model"), F.round("auc", 4).alias("auc"), F.lit(round(domain_auc, 4)).alias("domain_auc"), F.lit(ess).cast("double").alias("ess"))
         out = row if out is None else out.unionByName(row)
-    return out
+    return out.withColumn("ess", F.round("ess", 4))
+
+
+#: Variants that are tried, each against the base settings.
+VARIANTS = {"base": {}, "slow": {"rate": 0.05, "rounds": 400}, "leaves31": {"leaves": 31}, "leaves7": {"leaves": 7}, "least60": {"least": 60}, "features60": {"features": 0.6}, "l2_10": {"l2": 10.0}, "slow_leaves31": {"rate": 0.05, "rounds": 400, "leaves": 31}}
+SEEDS = 3
 
 
 @query("ml_tune")
 def ml_tune(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A grid of regularisation, each judged by out-of-fold log loss."""
-    rows = materialise(labelled(spark, sf_dir))
-    out = None
-    for reg in (0.001, 0.01, 0.1):
-        scored = routed(rows, fold_models(rows, lambda reg=reg: LogisticRegression(maxIter=25, regParam=reg)))
-        row = metrics.logloss(scored, "y", "pred").select(F.lit(reg).alias("reg"), F.round("logloss", 4).alias("logloss"))
-        out = row if out is None else out.unionByName(row)
-    return out.orderBy("logloss", "reg")
+    """Each variant by out-of-fold log loss, and the best one again as the mean over several seeds. On at most ``FIT_ROWS`` labelled rows."""
+    rows = sampled(labelled(spark, sf_dir), [*X, "label", "fold"])
+    y, fold = rows["label"].to_numpy(), rows["fold"].to_numpy()
+
+    def out_of_fold(**settings) -> np.ndarray:
+        p = np.full(len(rows), np.nan)
+        for k, model in fold_models(rows, **settings).items():
+            p[fold == k] = model.score(rows[X].to_numpy(float)[fold == k])
+        return p
+
+    def loss(p: np.ndarray) -> float:
+        q, known = np.clip(p, 1e-15, 1 - 1e-15), ~np.isnan(p)
+        return float(-(y * np.log(q) + (1 - y) * np.log(1 - q))[known].mean()) if known.any() else float("nan")
+
+    tried = {name: loss(out_of_fold(**v)) for name, v in VARIANTS.items()}
+    best = min(tried, key=lambda n: (tried[n], n))
+    tried[f"{best}_x{SEEDS}"] = loss(np.mean([out_of_fold(**VARIANTS[best], seed=k) for k in range(SEEDS)], axis=0))
+    return spark.createDataFrame([(n, round(v, 4)) for n, v in tried.items()], "variant string, logloss double").orderBy("logloss", "variant")
 
 
 def patched(base: DataFrame, new: DataFrame, mask) -> DataFrame:
@@ -190,15 +211,20 @@ def ml_biencoder(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("s1_id", "cand_id", "country", F.floor((F.col("_n") - 1) / 64).alias("batch"))
 
 
-def scored_by(pairs: DataFrame, records: DataFrame, score: Callable[[list[str], list[str]], list[float]], low: float, high: float) -> DataFrame:
-    """``s1_id, cand_id, ce_score`` of any batch scorer of two texts: the place for a cross-encoder, a language model or an owner model.
+def scored_by(pairs: DataFrame, records: DataFrame, score: Callable[[list[str], list[str]], list[float]], low: float, high: float, done: DataFrame | None = None, folds: DataFrame | None = None) -> DataFrame:
+    """``s1_id, cand_id, ce_score`` of every pair by any batch scorer of two texts (the place for a cross-encoder or a language model); null outside the unsure band.
 
-    Only pairs in the unsure band are scored; texts are joined for those alone.
+    Texts are joined for the scored pairs alone. Pairs in ``done`` keep the score they have there, so that an interrupted run goes on;
+    with ``folds`` (``s1_id``) only pairs of those S1s are scored.
     """
     band = pairs.where((F.col("prob") > low) & (F.col("prob") < high)).select("s1_id", "cand_id")
+    band = band.join(folds.select("s1_id").distinct(), "s1_id", "left_semi") if folds is not None else band
+    todo = band.join(done, ["s1_id", "cand_id"], "left_anti") if done is not None else band
     side = lambda k, c: records.select(F.col("entity_id").alias(k), text.record_text(F.col("business_name"), F.col("business_address")).alias(c))
     run = F.pandas_udf(lambda a, b: pd.Series(score(a.tolist(), b.tolist()), dtype="float64"), "double")
-    return band.join(side("s1_id", "_a"), "s1_id").join(side("cand_id", "_b"), "cand_id").select("s1_id", "cand_id", run("_a", "_b").alias("ce_score"))
+    made = todo.join(side("s1_id", "_a"), "s1_id").join(side("cand_id", "_b"), "cand_id").select("s1_id", "cand_id", run("_a", "_b").alias("ce_score"))
+    made = made.unionByName(done.select("s1_id", "cand_id", "ce_score").join(band, ["s1_id", "cand_id"], "left_semi")) if done is not None else made
+    return pairs.select("s1_id", "cand_id").join(made, ["s1_id", "cand_id"], "left")
 
 
 def lexical(a: list[str], b: list[str]) -> list[float]:
@@ -206,5 +232,59 @@ def lexical(a: list[str], b: list[str]) -> list[float]:
     return [sim.token_set(x.lower(), y.lower()) for x, y in zip(a, b)]
 
 
-for _name, _low, _high in (("ml_crossenc", 0.05, 0.95), ("ml_llm", 0.2, 0.8), ("ml_owner", 0.3, 0.7)):
-    query(_name)(lambda spark, d, low=_low, high=_high: scored_by(views.pairs(spark, d), views.records(spark, d), lexical, low, high).withColumn("ce_score", F.round("ce_score", 6)))
+@query("ml_crossenc")
+def ml_crossenc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pair scores in the unsure band, in two runs: the second takes up what the first, of fold 0, has finished."""
+    p, rec = views.pairs(spark, sf_dir), views.records(spark, sf_dir)
+    zero = views.folds(spark, sf_dir).where("fold = 0").select("s1_id")
+    first = materialise(scored_by(p, rec, lexical, 0.05, 0.95, folds=zero).where("ce_score is not null"))
+    return scored_by(p, rec, lexical, 0.05, 0.95, done=first).withColumn("ce_score", F.round("ce_score", 6))
+
+
+def prompted(a: list[str], b: list[str]) -> list[float]:
+    """The default scorer of prompts: how surely both records' names (before the bar) and addresses are one, the less alike of both counting more."""
+    def halves(t: str) -> tuple[str, str]:
+        name, _, address = t.lower().partition("|")
+        return name.strip(), address.strip()
+
+    out = []
+    for x, y in zip(a, b):
+        (na, aa), (nb, ab) = halves(x), halves(y)
+        parts = [sim.token_sort(na, nb)] + ([sim.token_set(aa, ab)] if aa and ab else [])
+        out.append(float(np.prod(parts) ** (1 / len(parts))))
+    return out
+
+
+query("ml_llm")(lambda spark, d: scored_by(views.pairs(spark, d), views.records(spark, d), prompted, 0.2, 0.8).withColumn("ce_score", F.round("ce_score", 6)))
+
+
+def slot_features(groups: DataFrame, records: DataFrame) -> DataFrame:
+    """``groups`` (``cand_id, s1_ids, probs``) with ``slots``: per slot its score's log odds, its score less the best other one, and how alike name and address are."""
+    flat = groups.select("cand_id", F.posexplode("s1_ids").alias("slot", "s1_id"))
+    side = lambda k, n: records.select(F.col("entity_id").alias(k), F.lower(text.record_text(F.col("business_name"), F.col("business_address"))).alias(n))
+    texts = sim.scored(flat.join(side("s1_id", "_a"), "s1_id", "left").join(side("cand_id", "_b"), "cand_id", "left"), "_a", "_b", ["tset", "tsort"], "t")
+    lists = texts.groupBy("cand_id").agg(F.array_sort(F.collect_list(F.struct("slot", "t_tset", "t_tsort"))).alias("t"))
+    p = lambda x: F.greatest(F.lit(1e-4), F.least(F.lit(1 - 1e-4), x))
+    best = lambda i: F.aggregate(F.transform("probs", lambda x, j: F.when(i == j, 0.0).otherwise(x)), F.lit(0.0), lambda m, x: F.greatest(m, x))
+    slots = F.transform("probs", lambda x, i: F.array(F.log(p(x) / (1 - p(x))), x - best(i), F.col("t")[i]["t_tset"], F.col("t")[i]["t_tsort"]))
+    return groups.join(lists, "cand_id").withColumn("slots", slots).drop("t")
+
+
+@query("ml_owner")
+def ml_owner(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Listwise owner model: a softmax over a contested record's S1s and nobody, fitted on reviewed groups that touch no S1 of fold 0, at most ``FIT_ROWS``.
+
+    Out come the owner's probability per slot, nobody's, the margin over the best other slot and the list's length.
+    """
+    groups = materialise(slot_features(contested(views.pairs(spark, sf_dir)), views.records(spark, sf_dir)))
+    judged = views.labels(spark, sf_dir).select("cand_id").distinct()
+    fit = slot_of(groups.join(judged, "cand_id", "left_semi").join(owner_exclude(spark, sf_dir), "cand_id", "left_semi"), owners(spark, sf_dir))
+    rows = sampling.uniform(fit, FIT_ROWS, 1, "cand_id").select("slots", "label").collect()
+    model = boosting.listwise([np.array(r.slots, float) for r in rows], [r.label for r in rows])
+    if not len(model.weights):
+        model = boosting.Listwise(np.array([1.0, 0.0, 0.0, 0.0]), 0.0)
+    made = groups.withColumn("p", boosting.listwise_scores(model, F.col("slots"))).select("s1_ids", "cand_id", "p", F.posexplode("s1_ids").alias("slot", "s1_id"))
+    n = F.size("s1_ids")
+    own, slots = F.col("p")[F.col("slot")], F.slice("p", F.lit(1), n)
+    other = F.aggregate(F.transform(slots, lambda x, i: F.when(i == F.col("slot"), 0.0).otherwise(x)), F.lit(0.0), lambda m, x: F.greatest(m, x))
+    return made.select("s1_id", "cand_id", F.round(own, 6).alias("own_p"), F.round(F.col("p")[n], 6).alias("own_none"), F.round(F.when(n > 1, own - other).otherwise(own), 6).alias("own_margin"), n.cast("bigint").alias("own_n"))

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import Window, functions as F
 
 from linkloom.functions import metrics, similarity
-from linkloom.operators import decide, retrieval, sampling, windows
+from linkloom.operators import boosting, decide, retrieval, sampling, windows
 from linkloom.plans import q_features, q_files, q_learn
 from linkloom.runtime import materialise, small
 from linkloom.sources import files, validate
@@ -286,3 +286,48 @@ def test_scratch_is_deleted_and_a_cluster_needs_a_folder(spark, monkeypatch):
     if not spark.conf.get("spark.checkpoint.dir", None):
         with pytest.raises(ValueError, match="share"):
             runtime.scratch_root(spark)
+
+
+def test_booster(spark):
+    rng = np.random.default_rng(3)
+    x = rng.standard_normal((3000, 4))
+    y = (rng.random(3000) < 1 / (1 + np.exp(-3 * np.sign(x[:, 0] * x[:, 1])))).astype(float)
+    held = np.arange(3000) % 3 == 0
+    model = boosting.boost(x, y, held=held)
+    p = model.score(x)[held]
+    ranks = p.argsort().argsort() + 1
+    n1 = y[held].sum()
+    assert (ranks[y[held] == 1].sum() - n1 * (n1 + 1) / 2) / (n1 * (held.sum() - n1)) > 0.9
+    assert model.importance()[:2].sum() > 0.9 and abs(model.importance().sum() - 1) < 1e-9 and 0 < len(model.trees) < 200
+    assert boosting.boost(x, np.ones(3000)).score(x[:1])[0] > 0.999 and not boosting.boost(x, np.ones(3000)).trees
+    df = spark.createDataFrame([(i, *map(float, x[i])) for i in range(50)], "i int, a double, b double, c double, d double")
+    got = {r.i: r.m for r in boosting.scored(df, {"m": model}, ["a", "b", "c", "d"]).collect()}
+    assert all(abs(got[i] - v) < 1e-12 for i, v in enumerate(model.score(x[:50])))
+    weight = np.where(x[:, 2] > 0, 1.0, 0.0)
+    same = boosting.boost(x[x[:, 2] > 0], y[x[:, 2] > 0], least=1, rounds=5).score(x)
+    assert np.abs(boosting.boost(x, y, weight, least=1, rounds=5).score(x) - same).mean() < 0.1
+
+
+def test_listwise(spark):
+    rng = np.random.default_rng(4)
+    lists = [rng.standard_normal((rng.integers(2, 6), 2)) for _ in range(2000)]
+    labels = []
+    for s in lists:
+        z = np.append(2 * s[:, 0], 1.0)
+        p = np.exp(z) / np.exp(z).sum()
+        labels.append(int(rng.choice(len(z), p=p)))
+    model = boosting.listwise(lists, [k if k < len(s) else 6 for s, k in zip(lists, labels)])
+    assert abs(model.weights[0] - 2) < 0.3 and abs(model.weights[1]) < 0.3 and abs(model.none - 1) < 0.3
+    df = spark.createDataFrame([([[1.0, 0.0], [0.0, 0.0]],)], "s array<array<double>>")
+    p = df.select(boosting.listwise_scores(model, F.col("s")).alias("p")).first().p
+    assert len(p) == 3 and abs(sum(p) - 1) < 1e-9 and p[0] > p[1]
+
+
+def test_scores_are_taken_up(spark):
+    pairs = spark.createDataFrame([("S1-1", "S2-1", 0.5), ("S1-2", "S2-2", 0.5), ("S1-3", "S2-3", 0.99)], "s1_id string, cand_id string, prob double")
+    rec = spark.createDataFrame([(f"S{k}-{i}", f"name {i}", "") for k in (1, 2) for i in (1, 2, 3)], "entity_id string, business_name string, business_address string")
+    done = spark.createDataFrame([("S1-1", "S2-1", 0.125)], "s1_id string, cand_id string, ce_score double")
+    got = {r.s1_id: r.ce_score for r in q_learn.scored_by(pairs, rec, lambda a, b: [0.75] * len(a), 0.05, 0.95, done=done).collect()}
+    assert got == {"S1-1": 0.125, "S1-2": 0.75, "S1-3": None}
+    only = pairs.where("s1_id = 'S1-2'").select("s1_id")
+    assert {r.s1_id: r.ce_score for r in q_learn.scored_by(pairs, rec, lambda a, b: [0.75] * len(a), 0.05, 0.95, folds=only).collect()} == {"S1-1": None, "S1-2": 0.75, "S1-3": None}
