@@ -99,18 +99,44 @@ def per_entity(decided: DataFrame, truth: DataFrame, s1s: DataFrame, beta: float
     return made.withColumn("fbeta", fbeta(F.col("tp"), F.col("n_pred"), F.col("n_true"), beta))
 
 
-def tune(pairs: DataFrame, truth: DataFrame, s1s: DataFrame, grid: list[float], assigned: bool = True) -> DataFrame:
-    """``threshold, f05`` for each threshold over all S1s, in one pass: a pair counts for every threshold it reaches."""
+def tune(pairs: DataFrame, truth: DataFrame, s1s: DataFrame, grid: list[float], assigned: bool = True, fallback: float | None = None) -> DataFrame:
+    """``threshold, f05`` for each threshold over all S1s, in one pass: a pair counts for every threshold it reaches.
+
+    With ``fallback`` an S1 that a threshold leaves with none has its best candidate, if that reaches ``fallback``.
+    """
     owned = (assign(pairs) if assigned else pairs).join(s1s.select("s1_id").distinct(), "s1_id", "left_semi")
-    hits = owned.join(truth.withColumn("_y", F.lit(1)), ["s1_id", "cand_id"], "left")
-    reached = hits.select("s1_id", F.coalesce("_y", F.lit(0)).alias("y"), F.explode(F.filter(F.array(*map(F.lit, grid)), lambda t: t <= F.col("prob"))).alias("threshold"))
+    hits = owned.join(truth.withColumn("_y", F.lit(1)), ["s1_id", "cand_id"], "left").withColumn("y", F.coalesce("_y", F.lit(0)))
+    reached = hits.select("s1_id", "y", F.explode(F.filter(F.array(*map(F.lit, grid)), lambda t: t <= F.col("prob"))).alias("threshold"))
     sums = reached.groupBy("threshold", "s1_id").agg(F.count(F.lit(1)).alias("n_pred"), F.sum("y").alias("tp"))
     true = truth.groupBy("s1_id").agg(F.count(F.lit(1)).alias("n_true"))
     every = s1s.select("s1_id").distinct().join(true, "s1_id", "left").select("s1_id", F.coalesce("n_true", F.lit(0)).alias("n_true"), F.explode(F.array(*map(F.lit, grid))).alias("threshold"))
     full = every.join(sums, ["threshold", "s1_id"], "left").fillna(0, ["n_pred", "tp"])
+    if fallback is not None:
+        best = windows.first_rows(hits, ["s1_id"], [F.desc("prob"), F.asc("cand_id")], 1).where(F.col("prob") >= fallback).select("s1_id", F.col("y").alias("_best"))
+        full = full.join(best, "s1_id", "left")
+        alone = (F.col("n_pred") == 0) & F.col("_best").isNotNull()
+        full = full.withColumn("tp", F.when(alone, F.col("_best")).otherwise(F.col("tp"))).withColumn("n_pred", F.when(alone, 1).otherwise(F.col("n_pred")))
     return full.groupBy("threshold").agg(F.avg(fbeta(F.col("tp"), F.col("n_pred"), F.col("n_true"))).alias("f05"))
 
 
 def best_threshold(tuned: DataFrame) -> DataFrame:
     """The threshold of the greatest score, the smaller of equals."""
     return tuned.orderBy(F.desc("f05"), "threshold").limit(1)
+
+
+def score(decided: DataFrame, truth: DataFrame, s1s: DataFrame) -> float | None:
+    """Mean F0.5 over all ``s1s``, to nine decimals; null without any."""
+    value = per_entity(decided, truth, s1s).agg(F.avg("fbeta")).first()[0]
+    return None if value is None else round(value, 9)
+
+
+def choose(pairs: DataFrame, truth: DataFrame, s1s: DataFrame, grid: list[float]) -> tuple[str, float, float]:
+    """(rule, threshold, score): the best threshold, or expected F if that scores higher over the same S1s; the threshold wins ties."""
+    best = best_threshold(tune(pairs, truth, s1s, grid).withColumn("f05", F.round("f05", 9))).first()
+    expected = score(expected_f(pairs), truth, s1s)
+    return ("expected_f", best.threshold, expected) if expected is not None and expected > best.f05 else ("threshold", best.threshold, best.f05)
+
+
+def apply(pairs: DataFrame, rule: str, threshold: float) -> DataFrame:
+    """Decided pairs by the chosen rule."""
+    return expected_f(pairs) if rule == "expected_f" else keep(pairs, threshold)

@@ -10,7 +10,7 @@ from linkloom.plans import views
 from linkloom.plans.q_relational import H
 from linkloom.plans.registry import query
 from linkloom.plans.views import FOLD, LAB, P, REC, TRUTH
-from linkloom.runtime import table
+from linkloom.runtime import materialise, table
 
 GRID = [round(0.05 * k, 2) for k in range(1, 20)]
 OWNED = "owned as (select * from p qualify row_number() over (partition by cand_id order by prob desc, s1_id) = 1)"
@@ -38,7 +38,45 @@ query(
     "dec_fallback",
     f"with {P}, {OWNED}, k as (select s1_id, cand_id from owned where prob >= 0.85), b as (select * from owned qualify row_number() over (partition by s1_id order by prob desc, cand_id) = 1), u as (select * from k union all select s1_id, cand_id from b where prob >= 0.25 and s1_id not in (select s1_id from k)) {_LISTED.format('u')}",
 )(lambda spark, d: decide.listed(decide.keep(views.pairs(spark, d), 0.85, fallback=0.25)))
-query("dec_expected_f")(lambda spark, d: decide.listed(decide.expected_f(views.pairs(spark, d))))
+def _expected_sql(owned: str, tag: str) -> str:
+    """Expected F in SQL: the numbers of true candidates inside (``fw``) and outside (``bw``) each prefix are lists, built candidate by candidate."""
+    step = "list_transform(range(1, len(l) + 2), lambda i: coalesce(l[i], 0) * (1 - prob) + coalesce(case when i > 1 then l[i - 1] end, 0) * prob)"
+    return (
+        f"tp{tag} as (select s1_id, cand_id, prob, row_number() over (partition by s1_id order by prob desc, cand_id) as place from {owned} where prob >= 0.01 qualify place <= 20), "
+        f"nn{tag} as (select s1_id, count(*) as n from tp{tag} group by s1_id), "
+        f"fw{tag} as (select s1_id, 0::bigint as k, [1.0::double] as l from nn{tag} union all select f.s1_id, f.k + 1, {step} from fw{tag} f join tp{tag} t on t.s1_id = f.s1_id and t.place = f.k + 1), "
+        f"bw{tag} as (select s1_id, n as k, [1.0::double] as l from nn{tag} union all select f.s1_id, f.k - 1, {step} from bw{tag} f join tp{tag} t on t.s1_id = f.s1_id and t.place = f.k), "
+        f"ins{tag} as (select s1_id, k, unnest(l) as p, unnest(range(0, len(l))) as t from fw{tag} where k > 0), outs{tag} as (select s1_id, k, unnest(l) as p, unnest(range(0, len(l))) as u from bw{tag}), "
+        f"ev{tag} as (select i.s1_id, i.k, sum(i.p * o.p * 1.25 * t / (0.25 * (t + u) + i.k)) as v from ins{tag} i join outs{tag} o on o.s1_id = i.s1_id and o.k = i.k group by 1, 2 union all select s1_id, 0, l[1] from bw{tag} where k = 0), "
+        f"ek{tag} as (select s1_id, k from ev{tag} qualify row_number() over (partition by s1_id order by round(v, 11) desc, k) = 1), "
+        f"ef{tag} as (select tp{tag}.s1_id, cand_id from tp{tag} join ek{tag} using (s1_id) where place <= k)"
+    )
+
+
+def _own_sql(pairs: str, name: str) -> str:
+    return f"{name} as (select * from {pairs} qualify row_number() over (partition by cand_id order by prob desc, s1_id) = 1)"
+
+
+def _tuned_sql(owned: str, s1s: str, name: str, fallback: str = "null") -> str:
+    """``threshold, f05`` of a table of owned pairs over the S1s of another, with a best candidate from ``fallback`` up where a threshold leaves none."""
+    return (
+        f"{name}_g as (select unnest([{', '.join(map(str, GRID))}])::double as threshold), {name}_y as (select o.s1_id, o.cand_id, o.prob, (t.s1_id is not null)::int as y from {owned} o semi join {s1s} using (s1_id) left join truth t on t.s1_id = o.s1_id and t.cand_id = o.cand_id), "
+        f"{name}_b as (select s1_id, y from {name}_y qualify row_number() over (partition by s1_id order by prob desc, cand_id) = 1 and prob >= {fallback}), "
+        f"{name}_p as (select threshold, s1_id, count(*) as n, sum(y) as h from {name}_g join {name}_y on prob >= threshold group by 1, 2), {name}_n as (select s1_id, count(*) as nt from truth group by 1), "
+        f"{name}_e as (select g.threshold, s.s1_id, case when p.n is null and b.y is not null then 1 else coalesce(p.n, 0) end as n, case when p.n is null and b.y is not null then b.y else coalesce(p.h, 0) end as h, coalesce(nt, 0) as nt "
+        f"from {name}_g g cross join {s1s} s left join {name}_p p on p.threshold = g.threshold and p.s1_id = s.s1_id left join {name}_b b on b.s1_id = s.s1_id left join {name}_n q on q.s1_id = s.s1_id), "
+        f"{name} as (select threshold, round(avg(case when n = 0 and nt = 0 then 1 when h = 0 then 0 else 1.25::double * h / (0.25::double * nt + n) end), 9) as f05 from {name}_e group by 1)"
+    )
+
+
+def _score_sql(decided: str, s1s: str, name: str) -> str:
+    return (
+        f"{name}_e as (select s.s1_id, (select count(*) from {decided} d where d.s1_id = s.s1_id) as n, (select count(*) from truth t where t.s1_id = s.s1_id) as nt, (select count(*) from {decided} d join truth t on t.s1_id = d.s1_id and t.cand_id = d.cand_id where d.s1_id = s.s1_id) as h from {s1s} s), "
+        f"{name} as (select round(avg(case when n = 0 and nt = 0 then 1 when h = 0 then 0 else 1.25::double * h / (0.25::double * nt + n) end), 9) as f05 from {name}_e)"
+    )
+
+
+query("dec_expected_f", f"with recursive {P}, {OWNED}, {_expected_sql('owned', '')} {_LISTED.format('ef')}")(lambda spark, d: decide.listed(decide.expected_f(views.pairs(spark, d))))
 query("dec_expected_f_sampled")(lambda spark, d: decide.listed(decide.expected_f(views.pairs(spark, d), "sampled")))
 
 _TUNED = f"{P}, {TRUTH}, {_S1S}, {OWNED}, g as (select unnest([{', '.join(map(str, GRID))}])::double as threshold), tr as (select s1_id, count(*) as n_true from truth group by s1_id), pr as (select threshold, owned.s1_id, count(*) as n_pred, count(truth.s1_id) as tp from g join owned on owned.prob >= g.threshold left join truth on truth.s1_id = owned.s1_id and truth.cand_id = owned.cand_id group by 1, 2), tuned as (select g.threshold, avg(case when coalesce(n_pred, 0) = 0 and coalesce(n_true, 0) = 0 then 1 when coalesce(tp, 0) = 0 then 0 else 1.25::double * tp / (0.25::double * n_true + n_pred) end) as f05 from g cross join s1s left join tr using (s1_id) left join pr on pr.threshold = g.threshold and pr.s1_id = s1s.s1_id group by 1)"
@@ -51,29 +89,63 @@ def _tuned(spark: SparkSession, sf_dir: str, assigned: bool = True) -> DataFrame
 query("dec_tune", f"with {_TUNED} select threshold, round(f05, 6) as f05 from tuned")(lambda spark, d: _tuned(spark, d).select("threshold", F.round("f05", 6).alias("f05")))
 
 
-@query("dec_choose", f"with {_TUNED} select threshold, round(f05, 6) as f05 from tuned order by round(f05, 9) desc, threshold limit 1")
+_CHOSEN = f"{P}, {TRUTH}, {_S1S}, {OWNED}, {_tuned_sql('owned', 's1s', 'tu')}, {_expected_sql('owned', '')}, {_score_sql('ef', 's1s', 'se')}, bt as (select threshold, f05 from tu order by f05 desc, threshold limit 1), ch as (select case when se.f05 > bt.f05 then 'expected_f' else 'threshold' end as rule, bt.threshold, greatest(se.f05, bt.f05) as f05 from bt, se)"
+
+
+def _chosen(spark: SparkSession, sf_dir: str) -> tuple[str, float, float]:
+    return decide.choose(views.pairs(spark, sf_dir), views.truth(spark, sf_dir), reviewed(spark, sf_dir), GRID)
+
+
+@query("dec_choose", f"with recursive {_CHOSEN} select rule, threshold, round(f05, 6) as f05 from ch")
 def dec_choose(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decide.best_threshold(_tuned(spark, sf_dir).withColumn("f05", F.round("f05", 9))).select("threshold", F.round("f05", 6).alias("f05"))
+    """The best threshold against expected F over the reviewed S1s."""
+    rule, at, f05 = _chosen(spark, sf_dir)
+    return spark.createDataFrame([(rule, at, round(f05, 6))], "rule string, threshold double, f05 double")
+
+
+_SPLIT = f"dv as (select distinct s1_id from fold where dev), s_dev as (select s1_id from s1s semi join dv using (s1_id)), s_tr as (select s1_id from s1s anti join dv using (s1_id)), p_tr as (select p.* from p semi join s_tr using (s1_id)), p_dev as (select p.* from p semi join s_dev using (s1_id)), {_own_sql('p_tr', 'o_tr')}, {_own_sql('p_dev', 'o_dev')}"
+_STRATEGIES = ", ".join(
+    [
+        f"with recursive {P}, {TRUTH}, {FOLD}, {_S1S}, {_SPLIT}", _tuned_sql("o_tr", "s_tr", "ta"), _tuned_sql("p_tr", "s_tr", "tn"), *(_tuned_sql("o_tr", "s_tr", f"tf{k}", f"0.{k}") for k in (1, 2, 3)),
+        "ba as (select * from ta order by f05 desc, threshold limit 1), bn as (select * from tn order by f05 desc, threshold limit 1)",
+        "tfs as (select 0.1::double as fallback, * from tf1 union all select 0.2, * from tf2 union all select 0.3, * from tf3), bf as (select * from tfs order by f05 desc, fallback, threshold limit 1)",
+        _expected_sql("o_tr", "_tr"), _expected_sql("o_dev", "_dev"), _score_sql("ef_tr", "s_tr", "xt"), _score_sql("ef_dev", "s_dev", "xd"),
+        "da as (select s1_id, cand_id from o_dev where prob >= (select threshold from ba)), dn as (select s1_id, cand_id from p_dev where prob >= (select threshold from bn)), df0 as (select s1_id, cand_id from o_dev where prob >= (select threshold from bf))",
+        "df1 as (select * from df0 union all select s1_id, cand_id from (select * from o_dev qualify row_number() over (partition by s1_id order by prob desc, cand_id) = 1) b where prob >= (select fallback from bf) and s1_id not in (select s1_id from df0))",
+        _score_sql("da", "s_dev", "ca"), _score_sql("dn", "s_dev", "cn"), _score_sql("df1", "s_dev", "cf"),
+    ]
+)
 
 
-@query("dec_strategies")
+@query(
+    "dec_strategies",
+    _STRATEGIES + " select 'threshold+assign' as strategy, threshold, null::double as fallback, round(ba.f05, 6) as oof, round(ca.f05, 6) as dev from ba, ca union all select 'threshold_no_assign', threshold, null, round(bn.f05, 6), round(cn.f05, 6) from bn, cn "
+    "union all select 'threshold+assign+top1', threshold, fallback, round(bf.f05, 6), round(cf.f05, 6) from bf, cf union all select 'expected_f+assign', null, null, round(xt.f05, 6), round(xd.f05, 6) from xt, xd",
+)
 def dec_strategies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Four rules, each with its score over the reviewed S1s: tuned threshold with and without assignment, with the best fallback, expected F."""
-    p, t, s = views.pairs(spark, sf_dir), views.truth(spark, sf_dir), reviewed(spark, sf_dir)
-    score = lambda d, name, at=None, fb=None: decide.per_entity(d, t, s).agg(F.round(F.avg("fbeta"), 6).alias("f05")).select(F.lit(name).alias("strategy"), F.lit(at).cast("double").alias("threshold"), F.lit(fb).cast("double").alias("fallback"), "f05")
-    at = decide.best_threshold(_tuned(spark, sf_dir)).first().threshold
-    free = decide.best_threshold(_tuned(spark, sf_dir, False)).first().threshold
-    rows = [score(decide.keep(p, at), "threshold+assign", at), score(decide.keep(p, free, False), "threshold_no_assign", free), score(decide.expected_f(p), "expected_f+assign")]
-    backed = [score(decide.keep(p, at, fallback=fb), "threshold+assign+top1", at, fb) for fb in (0.1, 0.2, 0.3)]
-    best = backed[0].unionByName(backed[1]).unionByName(backed[2]).orderBy(F.desc("f05"), "fallback").limit(1)
-    return rows[0].unionByName(rows[1]).unionByName(rows[2]).unionByName(best)
-
-
-@query("dec_apply", f"with {_TUNED}, t as (select threshold from tuned order by round(f05, 9) desc, threshold limit 1), k as (select * from owned where prob >= (select threshold from t)) {_LISTED.format('k')}")
+    """Four rules tuned on the reviewed S1s outside the development set and scored once on those inside: threshold with and without assignment, with the best fallback, expected F."""
+    t, s = views.truth(spark, sf_dir), reviewed(spark, sf_dir)
+    dev = views.folds(spark, sf_dir).where("dev").select("s1_id").distinct()
+    s_tr, s_dev = materialise(s.join(dev, "s1_id", "left_anti")), materialise(s.join(dev, "s1_id", "left_semi"))
+    p = views.pairs(spark, sf_dir)
+    p_tr, p_dev = (materialise(p.join(x, "s1_id", "left_semi")) for x in (s_tr, s_dev))
+    best = lambda **kw: decide.best_threshold(decide.tune(p_tr, t, s_tr, GRID, **kw).withColumn("f05", F.round("f05", 9))).first()
+    owned, free = best(), best(assigned=False)
+    backed = max(((b := best(fallback=fb)).f05, -fb, b.threshold) for fb in (0.1, 0.2, 0.3))
+    rows = [
+        ("threshold+assign", owned.threshold, None, owned.f05, decide.score(decide.keep(p_dev, owned.threshold), t, s_dev)),
+        ("threshold_no_assign", free.threshold, None, free.f05, decide.score(decide.keep(p_dev, free.threshold, False), t, s_dev)),
+        ("threshold+assign+top1", backed[2], -backed[1], backed[0], decide.score(decide.keep(p_dev, backed[2], fallback=-backed[1]), t, s_dev)),
+        ("expected_f+assign", None, None, decide.score(decide.expected_f(p_tr), t, s_tr), decide.score(decide.expected_f(p_dev), t, s_dev)),
+    ]
+    return spark.createDataFrame(rows, "strategy string, threshold double, fallback double, oof double, dev double").withColumns({c: F.round(c, 6) for c in ("oof", "dev")})
+
+
+@query("dec_apply", f"with recursive {_CHOSEN}, k as (select s1_id, cand_id from owned where prob >= (select threshold from ch) and (select rule from ch) = 'threshold' union all select s1_id, cand_id from ef where (select rule from ch) = 'expected_f') {_LISTED.format('k')}")
 def dec_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
-    at = decide.best_threshold(_tuned(spark, sf_dir).withColumn("f05", F.round("f05", 9))).select("threshold")
-    owned = decide.assign(views.pairs(spark, sf_dir)).crossJoin(F.broadcast(at))
-    return decide.listed(owned.where(F.col("prob") >= F.col("threshold")))
+    """The chosen rule on all pairs."""
+    rule, at, _ = _chosen(spark, sf_dir)
+    return decide.listed(decide.apply(views.pairs(spark, sf_dir), rule, at))
 
 
 _UNSEEN = "seen as (select distinct country from fold where fold = 0 and not dev), un as (select entity_id as s1_id, country, country not in (select country from seen) as unseen from rec where source = 'S1')"
