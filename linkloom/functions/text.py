@@ -43,7 +43,12 @@ _ONE = {"ø": "o", "đ": "d", "ł": "l", "ı": "i", "ð": "d", "ħ": "h", "’":
 
 def _singles() -> dict[str, str]:
     """One-letter replacements, by rule: what a character decomposes to, and the tables above."""
-    out = dict(_BY_SOUND) | _ONE
+    out = dict(_BY_SOUND) | _ONE | {"ϲ": "s", "Ϲ": "s", "ү": "y"}
+    # letters that are named by words that begin with their sound
+    for code in [*range(0x561, 0x587), *range(0x5D0, 0x5EB), *range(0x621, 0x64B), *range(0x10D0, 0x10F1)]:
+        initial = unicodedata.name(chr(code), "-").split(" WITH ")[0].rsplit(" ", 1)[-1][0].lower()
+        if initial.isascii() and initial.isalpha():
+            out[chr(code)] = initial
     for code in [*range(0xA0, 0x250), *range(0x386, 0x3CF), *range(0x400, 0x460), *range(0x1E00, 0x1F00), *range(0x2000, 0x2010), 0x202F, 0x205F, 0x3000, *range(0xFF01, 0xFF5F)]:
         ch = chr(code)
         if unicodedata.category(ch) == "Zs":
@@ -68,7 +73,7 @@ def ascii_steps() -> tuple[list[tuple[str, str]], str, str]:
     The same steps state :func:`to_ascii` in any SQL dialect: letters of several sounds are replaced first, all others by one translation;
     what has no sound then is dropped, such as signs that silence a vowel.
     """
-    steps = [("ज़|ज़", "z"), ("फ़|फ़", "f"), ("ं|ँ", "n")]
+    steps = [("\u095b|\u091c\u093c", "j"), ("\u095e|\u092b\u093c?", "f"), ("\u0902|\u0901", "n")]
     several = {**{c: s for c, s in _DEVANAGARI.items() if len(s) > 1}, **_PAIRS}
     steps += list(several.items())
     single = _singles() | {c: s for c, s in _DEVANAGARI.items() if len(s) == 1}
@@ -79,14 +84,30 @@ def ascii_steps() -> tuple[list[tuple[str, str]], str, str]:
 _STEPS, _FROM, _TO = ascii_steps()
 
 
+def _indic() -> dict[str, str]:
+    """Letters and signs of the other Indic blocks to those of Devanagari at the same place, where both have the same name."""
+    out = {}
+    for block in (0x980, 0xA00, 0xA80, 0xB00, 0xB80, 0xC00, 0xC80, 0xD00):
+        for place in range(0x80):
+            there, here = unicodedata.name(chr(block + place), ""), unicodedata.name(chr(0x900 + place), "")
+            if there and here and there.partition(" ")[2] == here.partition(" ")[2]:
+                out[chr(block + place)] = chr(0x900 + place)
+    return out
+
+
+_INDIC = _indic()
+_INDIC_FROM, _INDIC_TO = "".join(_INDIC), "".join(_INDIC.values())
+
+
 def _spark(replacement: str) -> str:
     return replacement.replace("\\1", "$1")
 
 
 def to_ascii(s: Column) -> Column:
-    """Lower-case ASCII by sound: accents, full-width forms, Cyrillic, Greek and Devanagari; other characters drop."""
+    """Lower-case ASCII by sound: accents, full-width forms, Cyrillic, Greek, the Indic scripts, and by their letters' names Arabic, Hebrew, Armenian and Georgian; other characters drop."""
     out = F.lower(F.coalesce(s, F.lit("")))
     plain = out
+    out = F.translate(out, _INDIC_FROM, _INDIC_TO)
     for pattern, by in _STEPS:
         out = F.regexp_replace(out, pattern, _spark(by))
     out = F.regexp_replace(F.translate(out, _FROM, _TO), "[^\\x00-\\x7f]", "")
@@ -95,7 +116,7 @@ def to_ascii(s: Column) -> Column:
 
 def to_ascii_sql(s: str) -> str:
     """:func:`to_ascii` in DuckDB's dialect."""
-    out = f"lower(coalesce({s}, ''))"
+    out = f"translate(lower(coalesce({s}, '')), '{_INDIC_FROM}', '{_INDIC_TO}')"
     for pattern, by in _STEPS:
         out = f"regexp_replace({out}, '{pattern}', '{by}', 'g')"
     quote = "''"

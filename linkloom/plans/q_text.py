@@ -59,6 +59,19 @@ def _rec(make):
 
 
 query("norm_ascii", f"with {REC} select entity_id, {_ASCII_NAME} as name_ascii, {_ASCII_ADDRESS} as addr_ascii from rec")(_rec(lambda: (text.to_ascii(F.col("business_name")).alias("name_ascii"), text.to_ascii(F.col("business_address")).alias("addr_ascii"))))
+#: A vowel sign without its consonant before it, as where a word was split: the frames sound it otherwise.
+_LOOSE = "(^|[\\s\\p{P}])[\\x{093E}-\\x{094D}]"
+
+
+@query("norm_given", f"with {REC} select distinct n.entity_id, n.name_norm from normalised_frames n join rec using (entity_id) where n.name_norm is not null and not regexp_matches(coalesce(business_name, ''), '{_LOOSE}') and lower(trim(coalesce(business_name, ''))) <> 'n/a'")
+def norm_given(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Our normal form of the names that the given frames have; the frames themselves are the other side, so that no table of ours stands on both. Names with a loose vowel sign are left out."""
+    given = table(spark, sf_dir, "normalised_frames").where("name_norm is not null").select("entity_id").distinct()
+    rec = views.records(spark, sf_dir).join(given, "entity_id", "left_semi")
+    name = F.coalesce(F.col("business_name"), F.lit(""))
+    return rec.where(~name.rlike(_LOOSE) & (F.lower(F.trim(name)) != "n/a")).select("entity_id", text.name(F.col("business_name")).alias("name_norm"))
+
+
 query("norm_clean", f"{_NAMES} select entity_id, {_clean_sql('a')} as cleaned from a")(_rec(lambda: (text.clean(F.col("business_name")).alias("cleaned"),)))
 query("norm_name", f"{_NAMES} select entity_id, n as name_norm from n")(_rec(lambda: (text.name(F.col("business_name")).alias("name_norm"),)))
 query("norm_core", f"{_NAMES} select entity_id, {_core_sql(_NO_FKA, [*text.LEGAL, *text.JOINING])} as name_core from n")(_rec(lambda: (text.core(text.name(F.col("business_name"))).alias("name_core"),)))
