@@ -15,6 +15,8 @@ from linkloom.runtime import materialise, table
 EVERY = 50
 K = 10
 KS = (1, 2, 3, 5, 10)
+#: Ranks of the recall curve.
+CURVE = (1, 2, 3, 5, 10, 20, 30, 50)
 
 
 def unit(v: str):
@@ -36,7 +38,7 @@ def blk_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 _ASKING = f"substr(entity_id, 4)::bigint % {EVERY} = 0"
 
 
-def dense(spark: SparkSession, sf_dir: str) -> DataFrame:
+def dense(spark: SparkSession, sf_dir: str, k: int = K) -> DataFrame:
     """``s1_id, cand_id, view, source, rank, score``: per view and source the best records of the S1's own country."""
     vecs = views.vectors(spark, sf_dir).join(views.records(spark, sf_dir).where("country <> ''").select("entity_id", "country", "source"), "entity_id")
     vecs = materialise(vecs.select("entity_id", "view_name", "source", F.col("country"), unit("vec").alias("vec")))
@@ -45,7 +47,7 @@ def dense(spark: SparkSession, sf_dir: str) -> DataFrame:
         own = vecs.where(F.col("view_name") == view).select(F.col("entity_id").alias("id"), "vec", F.col("country").alias("part"), "source")
         asked = own.where("source = 'S1'").where(F.substring("id", 4, 20).cast("bigint") % EVERY == 0)
         for source in ("S2", "S3"):
-            found = retrieval.top_k(asked, own.where(F.col("source") == source), K)
+            found = retrieval.top_k(asked, own.where(F.col("source") == source), k)
             part = found.select(F.col("query_id").alias("s1_id"), F.col("item_id").alias("cand_id"), F.lit(view).alias("view"), F.lit(source).alias("source"), "rank", "score")
             out = part if out is None else out.unionByName(part)
     return out
@@ -83,13 +85,13 @@ def blk_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     return recall(dense(spark, sf_dir), *_asked(spark, sf_dir))
 
 
-@query("blk_recall_curve", f"with {DENSE}, {TRUTH}, {_TQ}, c as (select view, source, s1_id, cand_id, rank from dk union all select 'UNION', 'ALL', s1_id, cand_id, rank from best) select view, source, k, count(*) filter (where rank < k)::bigint as n_pairs, count(*) filter (where rank < k and (s1_id, cand_id) in (select (s1_id, cand_id) from tq))::bigint as n_true from c, ks group by 1, 2, 3")
+@query("blk_recall_curve", f"with {DENSE.replace(f'rank < {K}', f'rank < {CURVE[-1]}')}, {TRUTH}, {_TQ.replace(', '.join(map(str, KS)), ', '.join(map(str, CURVE)))}, c as (select view, source, s1_id, cand_id, rank from dk union all select 'UNION', 'ALL', s1_id, cand_id, rank from best) select view, source, k, count(*) filter (where rank < k)::bigint as n_pairs, count(*) filter (where rank < k and (s1_id, cand_id) in (select (s1_id, cand_id) from tq))::bigint as n_true from c, ks group by 1, 2, 3")
 def blk_recall_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs and true pairs within each rank, per view and source and for their union."""
-    found = materialise(dense(spark, sf_dir))
+    found = materialise(dense(spark, sf_dir, CURVE[-1]))
     union = found.groupBy("s1_id", "cand_id").agg(F.min("rank").alias("rank")).select(F.lit("UNION").alias("view"), F.lit("ALL").alias("source"), "s1_id", "cand_id", "rank")
     known = _asked(spark, sf_dir)[0].withColumn("_y", F.lit(1))
-    every = found.select("view", "source", "s1_id", "cand_id", "rank").unionByName(union).join(known, ["s1_id", "cand_id"], "left").select("*", F.explode(F.array(*map(F.lit, KS))).alias("k"))
+    every = found.select("view", "source", "s1_id", "cand_id", "rank").unionByName(union).join(known, ["s1_id", "cand_id"], "left").select("*", F.explode(F.array(*map(F.lit, CURVE))).alias("k"))
     return every.groupBy("view", "source", "k").agg(F.count(F.when(F.col("rank") < F.col("k"), 1)).alias("n_pairs"), F.count(F.when((F.col("rank") < F.col("k")) & F.col("_y").isNotNull(), 1)).alias("n_true"))
 
 

@@ -8,7 +8,7 @@ import random
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from linkloom.functions import similarity as sim, text
-from linkloom.operators import decide, windows
+from linkloom.operators import decide, sampling, windows
 from linkloom.plans import views
 from linkloom.plans.q_decide import reviewed
 from linkloom.plans.q_relational import average_ranks
@@ -216,12 +216,22 @@ def val_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.unionByName(validate.not_subset(kept, cand).withColumn("file", F.lit("both")))
 
 
-@query("val_generic", f"with {P}, {FOLD}, s as (select fold.s1_id, max(prob) as score from fold left join p using (s1_id) group by 1) select 'score: no finite value' as rule, count(*) filter (where score is null)::bigint as n from s union all select 'repeated id', 0 union all select 'empty id', 0 union all select 'missing id', 0 union all select 'unexpected id', 0 union all select 'score: negative', 0 union all select 'score: constant', 0")
+@query(
+    "val_generic",
+    f"with {P}, {FOLD}, s as (select fold.s1_id, round(max(prob), 6) as score from fold left join p using (s1_id) group by 1), r as (select 'score: no finite value' as rule, count(*) filter (where score is null)::bigint as n from s union all select 'score: summary', count(distinct score) from s) "
+    "select * from r union all select unnest(['repeated id', 'empty id', 'missing id', 'unexpected id', 'score: negative', 'score: constant', 'unnamed column', 'missing column', 'row count', 'row order']), 0",
+)
 def val_generic(spark: SparkSession, sf_dir: str) -> DataFrame:
-    best = views.pairs(spark, sf_dir).groupBy("s1_id").agg(F.max("prob").alias("score"))
+    """The report on a file of predictions, written and read as text, against a sample file of the same ids in the same order."""
+    best = views.pairs(spark, sf_dir).groupBy("s1_id").agg(F.round(F.max("prob"), 6).alias("score"))
     sample = views.folds(spark, sf_dir).select("s1_id")
     sub = sample.join(best, "s1_id", "left").select("s1_id", F.col("score").cast("string").alias("score"))
-    return validate.predictions(sub, sample, "s1_id", ["score"], nonnegative=True).select("rule", "n")
+    read = []
+    for df, name in ((sub, "predictions"), (sample.withColumn("score", F.lit("0")), "sample")):
+        path = files.scratch(spark, name)
+        df.orderBy("s1_id").write.csv(path, header=True)
+        read.append(validate.with_places(spark.read.csv(path, header=True)))
+    return validate.predictions(*read, "s1_id", ["score"], nonnegative=True, place="_place").select("rule", "n")
 
 
 @query("gate_promote", f"with {P}, {LAB}, a as (select avg((prob >= 0.5) = y) as x from p join lab using (s1_id, cand_id)), b as (select avg(((prob >= 0.7) = y)::int) as x from p join lab using (s1_id, cand_id)) select 'accuracy' as metric, round((select avg(((prob >= 0.5) = y)::int) from p join lab using (s1_id, cand_id)), 6) as old, round((select x from b), 6) as new, (select x from b) >= (select avg(((prob >= 0.5) = y)::int) from p join lab using (s1_id, cand_id)) - 0.01 as passed")
@@ -280,11 +290,29 @@ query("eda_gt_distribution", f"with {_PER_S1} select least(n, 10)::bigint as n_m
 )
 
 
-@query("eda_country", f"with {REC} select country, count(*) filter (where source = 'S1')::bigint as n_s1, count(*) filter (where source <> 'S1')::bigint as n_pool, round(count(*) filter (where source <> 'S1') / nullif(count(*) filter (where source = 'S1'), 0), 6) as ratio from rec group by 1")
+@query(
+    "eda_country",
+    f"with {REC}, {TRUTH}, n as (select country, count(*) filter (where source = 'S1')::bigint as n_s1, count(*) filter (where source <> 'S1')::bigint as n_pool from rec group by 1), "
+    "r as (select distinct s1_id from lab), t as (select s1_id, count(*) as n from truth group by 1), s as (select country, round(avg((t.n is null)::int), 6) as singleton from r join rec on entity_id = r.s1_id left join t on t.s1_id = r.s1_id group by 1), "
+    "x as (select a.country, round(avg((a.country <> b.country)::int), 6) as cross_share from truth join rec a on a.entity_id = s1_id join rec b on b.entity_id = cand_id group by 1) "
+    "select country, n_s1, n_pool, round(n_pool / nullif(n_s1, 0), 6) as ratio, singleton, cross_share from n left join s using (country) left join x using (country)",
+)
 def eda_country(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s1 = F.count(F.when(F.col("source") == "S1", 1))
-    pool = F.count(F.when(F.col("source") != "S1", 1))
-    return views.records(spark, sf_dir).groupBy("country").agg(s1.alias("n_s1"), pool.alias("n_pool"), F.round(F.try_divide(pool, s1), 6).alias("ratio"))
+    """Per country: records, pool per S1, reviewed S1s without a match, and matches that lie in another country."""
+    rec, t = views.records(spark, sf_dir), views.truth(spark, sf_dir)
+    s1, pool = F.count(F.when(F.col("source") == "S1", 1)), F.count(F.when(F.col("source") != "S1", 1))
+    made = rec.groupBy("country").agg(s1.alias("n_s1"), pool.alias("n_pool"), F.round(F.try_divide(pool, s1), 6).alias("ratio"))
+    of = lambda k, c: rec.select(F.col("entity_id").alias(k), F.col("country").alias(c))
+    share = lambda c, a: F.round(F.avg(c.cast("int")), 6).alias(a)
+    n = t.groupBy("s1_id").agg(F.count(F.lit(1)).alias("n"))
+    alone = reviewed(spark, sf_dir).join(of("s1_id", "country"), "s1_id").join(n, "s1_id", "left").groupBy("country").agg(share(F.col("n").isNull(), "singleton"))
+    cross = t.join(of("s1_id", "country"), "s1_id").join(of("cand_id", "_other"), "cand_id").groupBy("country").agg(share(F.col("country") != F.col("_other"), "cross_share"))
+    return made.join(alone, "country", "left").join(cross, "country", "left")
+
+
+query("eda_crosstab", f"with {REC}, {TRUTH} select a.country as s1_country, b.country as cand_country, count(*)::bigint as n from truth join rec a on a.entity_id = s1_id join rec b on b.entity_id = cand_id group by 1, 2")(
+    lambda spark, d: views.truth(spark, d).join(views.records(spark, d).select(F.col("entity_id").alias("s1_id"), F.col("country").alias("s1_country")), "s1_id").join(views.records(spark, d).select(F.col("entity_id").alias("cand_id"), F.col("country").alias("cand_country")), "cand_id").groupBy("s1_country", "cand_country").agg(F.count(F.lit(1)).alias("n"))
+)
 
 
 _SCRIPT = "case when regexp_matches(business_name, '[\\x{0900}-\\x{097F}]') then 'devanagari' when regexp_matches(business_name, '[\\x{00C0}-\\x{024F}]') then 'latin_accented' when regexp_matches(business_name, '[^\\x00-\\x7f]') then 'other_non_ascii' else 'ascii' end"
@@ -296,13 +324,35 @@ def eda_scripts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.withColumn("share", F.round(F.col("n") / F.sum("n").over(Window.partitionBy("source", "country")), 6))
 
 
-@query("eda_similarity", f"with {PF}, {TRUTH}, j as (select l_country as country, substr(t.cand_id, 1, 2) as source, l_name_core = r_name_core as same, case when l_name_core = '' or r_name_core = '' then 0 else jaro_winkler_similarity(l_name_core, r_name_core) end as jw from truth t join (select l.entity_id, l.country as l_country, l.name_core as l_name_core from nf l) on entity_id = s1_id join (select r.entity_id as rid, r.name_core as r_name_core from nf r) on rid = t.cand_id) select country, source, count(*)::bigint as n, round(avg(same::int), 6) as exact_share, round(quantile_cont(jw, 0.5), 5) as jw_median, round(quantile_cont(jw, 0.1), 5) as jw_p10 from j group by 1, 2")
+@query("eda_similarity", f"with {PF}, {TRUTH}, j as (select l_country as country, substr(t.cand_id, 1, 2) as source, l_name_core = r_name_core as same, case when l_name_core = '' or r_name_core = '' then 0 else jaro_winkler_similarity(l_name_core, r_name_core) end as jw from truth t join (select l.entity_id, l.country as l_country, l.name_core as l_name_core from nf l) on entity_id = s1_id join (select r.entity_id as rid, r.name_core as r_name_core from nf r) on rid = t.cand_id) select country, source, count(*)::bigint as n, round(avg(same::int), 6) as exact_share, round(quantile_cont(jw, 0.5), 5) as jw_median, round(quantile_cont(jw, 0.1), 5) as jw_p10, round(quantile_cont(jw, 0.25), 5) as jw_p25, round(quantile_cont(jw, 0.9), 5) as jw_p90 from j group by 1, 2")
 def eda_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How alike the names of true pairs are, per country and source."""
     f = views.frames(spark, sf_dir)
     t = views.truth(spark, sf_dir).join(f.select(F.col("entity_id").alias("s1_id"), "country", F.col("name_core").alias("a")), "s1_id").join(f.select(F.col("entity_id").alias("cand_id"), F.col("name_core").alias("b")), "cand_id")
     made = sim.scored(t, "a", "b", ["jw"], "x").withColumn("source", F.substring("cand_id", 1, 2))
-    return made.groupBy("country", "source").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg((F.col("a") == F.col("b")).cast("int")), 6).alias("exact_share"), F.round(F.percentile("x_jw", 0.5), 5).alias("jw_median"), F.round(F.percentile("x_jw", 0.1), 5).alias("jw_p10"))
+    return made.groupBy("country", "source").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg((F.col("a") == F.col("b")).cast("int")), 6).alias("exact_share"), F.round(F.percentile("x_jw", 0.5), 5).alias("jw_median"), *(F.round(F.percentile("x_jw", q / 100), 5).alias(f"jw_p{q}") for q in (10, 25, 90)))
+
+
+def random_others(asked: DataFrame, pool: DataFrame, key: str, seed: int) -> DataFrame:
+    """Each row of ``asked`` (``id`` and the key) with ``other``: the id of one row of the pool with the same key, drawn by a hash of the row's id. Keys without a pool give nothing."""
+    placed = windows.numbered(pool.select(F.col("id").alias("other"), key), [key], [F.asc("other")], "_n")
+    sizes = pool.groupBy(key).agg(F.count(F.lit(1)).alias("_size"))
+    drawn = asked.join(sizes, key).withColumn("_n", F.pmod(sampling.draw(seed, "id"), F.col("_size")) + 1)
+    return drawn.join(placed, [key, "_n"]).drop("_n", "_size")
+
+
+@query("eda_similarity_words")
+def eda_similarity_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token-set ratios of true pairs' names per country and source, and of as many random pairs of one country."""
+    f = views.frames(spark, sf_dir)
+    name = lambda k, c: f.select(F.col("entity_id").alias(k), F.col("name_core").alias(c))
+    t = views.truth(spark, sf_dir).join(f.select(F.col("entity_id").alias("s1_id"), "country"), "s1_id")
+    rec = f.select(F.col("entity_id").alias("id"), "country")
+    asked = rec.join(t.select(F.col("s1_id").alias("id")).distinct(), "id", "left_semi")
+    chance = random_others(asked, rec.where("not startswith(id, 'S1')"), "country", 5).select(F.col("id").alias("s1_id"), F.col("other").alias("cand_id"), "country", F.lit("random").alias("kind"))
+    both = t.select("s1_id", "cand_id", "country", F.substring("cand_id", 1, 2).alias("kind")).unionByName(chance)
+    made = sim.scored(both.join(name("s1_id", "a"), "s1_id").join(name("cand_id", "b"), "cand_id"), "a", "b", ["tset"], "x")
+    return made.groupBy("country", "kind").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("x_tset"), 5).alias("mean"), *(F.round(F.percentile("x_tset", q / 100), 5).alias(f"p{q}") for q in (10, 25, 50, 90)))
 
 
 @query("eda_address", f"with {REC} select source, country, count(*)::bigint as n, round(avg((trim(business_address) = '')::int), 6) as empty, round(avg(regexp_matches(business_address, '(^|[^0-9])[0-9]{{5}}($|[^0-9])')::int), 6) as five_digits, round(avg(regexp_matches(business_address, '(^|[^0-9])[0-9]{{6}}($|[^0-9])')::int), 6) as six_digits, round(avg(contains(lower(business_address), 'near')::int), 6) as near, round(avg(length(business_address) - length(replace(business_address, ',', ''))), 6) as commas from rec group by 1, 2")
@@ -312,9 +362,28 @@ def eda_address(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.records(spark, sf_dir).groupBy("source", "country").agg(F.count(F.lit(1)).alias("n"), share(F.trim(a) == "", "empty"), share(a.rlike("(^|[^0-9])[0-9]{5}($|[^0-9])"), "five_digits"), share(a.rlike("(^|[^0-9])[0-9]{6}($|[^0-9])"), "six_digits"), share(F.contains(F.lower(a), F.lit("near")), "near"), F.round(F.avg(F.length(a) - F.length(F.replace(a, F.lit(","), F.lit("")))), 6).alias("commas"))
 
 
-@query("eda_leakage", f"with {TRUTH}, n as (select substr(s1_id, 4)::bigint as a, substr(cand_id, 4)::bigint as b from truth), r as (select rank() over (order by a) + (count(*) over (partition by a) - 1) / 2 as x, rank() over (order by b) + (count(*) over (partition by b) - 1) / 2 as y from n) select round(corr(x, y), 6) as id_spearman, count(*)::bigint as n, (select count(*) from n where a = b)::bigint as same_number from r")
+@query(
+    "eda_leakage",
+    f"with {REC}, {TRUTH}, {FOLD}, l as (select entity_id, epoch_us(min(loaded_at)) as at from source_records where entity_id is not null and loaded_at is not null group by 1), n as (select substr(s1_id, 4)::bigint as a, substr(cand_id, 4)::bigint as b from truth), r as (select rank() over (order by a) + (count(*) over (partition by a) - 1) / 2 as x, rank() over (order by b) + (count(*) over (partition by b) - 1) / 2 as y from n), "
+    "m as (select c.at as a, d.at as b from truth join l c on c.entity_id = s1_id join l d on d.entity_id = cand_id), q as (select rank() over (order by a) + (count(*) over (partition by a) - 1) / 2 as x, rank() over (order by b) + (count(*) over (partition by b) - 1) / 2 as y from m), "
+    "dv as (select distinct business_name from fold join rec on entity_id = s1_id where dev), o as (select distinct business_name from fold join rec on entity_id = s1_id where not dev) "
+    "select round(corr(x, y), 6) as id_spearman, count(*)::bigint as n, (select count(*) from n where a = b)::bigint as same_number, (select round(corr(x, y), 6) from q) as arrival_spearman, (select count(*) - count(distinct substr(entity_id, 4)) from rec)::bigint as shared_numbers, (select round(avg((o.business_name is not null)::int), 6) from dv left join o using (business_name)) as name_reuse from r",
+)
 def eda_leakage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whether ids give true pairs away: rank correlation of their numbers, and equal numbers."""
-    n = views.truth(spark, sf_dir).select(F.substring("s1_id", 4, 20).cast("bigint").alias("a"), F.substring("cand_id", 4, 20).cast("bigint").alias("b"))
-    ranked = n.join(average_ranks(n, "a", "x"), "a").join(average_ranks(n, "b", "y"), "b")
-    return ranked.agg(F.round(F.corr("x", "y"), 6).alias("id_spearman"), F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("a") == F.col("b"), 1)).alias("same_number"))
+    """Whether ids, arrival or names give true pairs away: rank correlations of id numbers and of times of first arrival, equal numbers, numbers used by several records, names of the development S1s that others have."""
+    t, rec = views.truth(spark, sf_dir), views.records(spark, sf_dir)
+    number = lambda c: F.substring(c, 4, 20).cast("bigint")
+    n = t.select(number("s1_id").alias("a"), number("cand_id").alias("b"))
+    at = table(spark, sf_dir, "source_records").where("entity_id is not null and loaded_at is not null").groupBy("entity_id").agg(F.unix_micros(F.min("loaded_at").cast("timestamp")).alias("at"))
+    m = t.join(at.select(F.col("entity_id").alias("s1_id"), F.col("at").alias("a")), "s1_id").join(at.select(F.col("entity_id").alias("cand_id"), F.col("at").alias("b")), "cand_id").select("a", "b")
+    ranked = lambda d: d.join(average_ranks(d, "a", "x"), "a").join(average_ranks(d, "b", "y"), "b")
+    first = ranked(n).agg(F.round(F.corr("x", "y"), 6).alias("id_spearman"), F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("a") == F.col("b"), 1)).alias("same_number"))
+    second = ranked(m).agg(F.round(F.corr("x", "y"), 6).alias("arrival_spearman"))
+    shared = rec.agg((F.count(F.lit(1)) - F.countDistinct(F.substring("entity_id", 4, 20))).alias("shared_numbers"))
+    named = views.folds(spark, sf_dir).select(F.col("s1_id").alias("entity_id"), "dev").join(rec.select("entity_id", "business_name"), "entity_id")
+    other = named.where("not dev").select("business_name", F.lit(1).alias("_o")).distinct()
+    reuse = named.where("dev").select("business_name").distinct().join(other, "business_name", "left").agg(F.round(F.avg(F.col("_o").isNotNull().cast("int")), 6).alias("name_reuse"))
+    return first.crossJoin(F.broadcast(second)).crossJoin(F.broadcast(shared)).crossJoin(F.broadcast(reuse))
+
+
+query("eda_id_lengths", f"with {REC} select source, length(entity_id)::bigint as id_length, count(*)::bigint as n from rec group by 1, 2")(lambda spark, d: views.records(spark, d).groupBy("source", F.length("entity_id").cast("bigint").alias("id_length")).agg(F.count(F.lit(1)).alias("n")))

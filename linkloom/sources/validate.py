@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from linkloom.operators import windows
+
 REPORT = "level string, rule string, n bigint, example string"
 
 
@@ -42,13 +44,33 @@ def not_subset(matches: DataFrame, candidates: DataFrame) -> DataFrame:
     return _rule(lost, "error", "match not among candidates", F.lit(True), F.col("cand_id"))
 
 
-def predictions(sub: DataFrame, sample: DataFrame, key: str, targets: list[str], nonnegative: bool = False) -> DataFrame:
-    """Report on a table of predictions, all strings, against a sample: ids, values, ranges; columns that are missing raise AnalysisException."""
+def with_places(df: DataFrame, name: str = "_place") -> DataFrame:
+    """Rows of text files with their number from 1, in the order of files and lines."""
+    return windows.numbered(df.withColumn("_line", F.monotonically_increasing_id()), [], [F.asc("_line")], name).drop("_line")
+
+
+def predictions(sub: DataFrame, sample: DataFrame, key: str, targets: list[str], nonnegative: bool = False, place: str | None = None, reorder: bool = False) -> DataFrame:
+    """Report on a table of predictions, all strings, against a sample: columns, ids, their number and, by column ``place`` of both, their order (a warning with ``reorder``), values, ranges, and a summary per target.
+
+    Missing target columns are reported and not looked into; without the key column only columns are.
+    """
+    spark = sub.sparkSession
+    wanted = [c for c in [key, *targets] if c not in sub.columns]
+    odd = [c for c in sub.columns if c.startswith(("Unnamed", "_c"))]
+    columns = [("error", "unnamed column", len(odd), min(odd, default=None)), ("error", "missing column", len(wanted), min(wanted, default=None))]
+    out = spark.createDataFrame(columns, REPORT)
+    if key in wanted:
+        return out
     ids = sub.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
     both = ids.join(sample.select(F.col(key), F.lit(True).alias("known")).distinct(), key, "full")
-    out = _rule(ids, "error", "repeated id", F.col("n") > 1, F.col(key)).unionByName(_rule(ids, "error", "empty id", F.trim(F.coalesce(key, F.lit(""))) == "", F.col(key)))
+    out = out.unionByName(_rule(ids, "error", "repeated id", F.col("n") > 1, F.col(key))).unionByName(_rule(ids, "error", "empty id", F.trim(F.coalesce(key, F.lit(""))) == "", F.col(key)))
     out = out.unionByName(_rule(both, "error", "missing id", F.col("n").isNull(), F.col(key))).unionByName(_rule(both, "error", "unexpected id", F.col("known").isNull(), F.col(key)))
-    for c in targets:
+    sizes = sub.agg(F.count(F.lit(1)).alias("a")).crossJoin(sample.agg(F.count(F.lit(1)).alias("b")))
+    out = out.unionByName(_rule(sizes, "error", "row count", F.col("a") != F.col("b"), F.concat_ws(" instead of ", "a", "b")))
+    if place:
+        order = sub.select(key, F.col(place).alias("_a")).join(sample.select(key, F.col(place).alias("_b")), key)
+        out = out.unionByName(_rule(order, "warning" if reorder else "error", "row order", F.col("_a") != F.col("_b"), F.col(key)))
+    for c in [t for t in targets if t not in wanted]:
         v = F.trim(F.coalesce(F.col(c), F.lit("")))
         number = F.expr(f"try_cast(`{c}` as double)")
         out = out.unionByName(_rule(sub, "error", f"{c}: no finite value", F.lower(v).isin("", "nan", "none", "null", "inf", "-inf") | number.isNull() | F.isnan(number), v))
@@ -56,4 +78,6 @@ def predictions(sub: DataFrame, sample: DataFrame, key: str, targets: list[str],
             out = out.unionByName(_rule(sub, "error", f"{c}: negative", number < 0, v))
         same = sub.agg(F.countDistinct(v).alias("n"))
         out = out.unionByName(_rule(same, "warning", f"{c}: constant", F.col("n") == 1, F.lit(c)))
+        figures = sub.agg(F.countDistinct(number).alias("n"), F.min(number).alias("low"), F.percentile_approx(number, 0.5).alias("middle"), F.max(number).alias("high"))
+        out = out.unionByName(figures.select(F.lit("info").alias("level"), F.lit(f"{c}: summary").alias("rule"), "n", F.concat_ws(", ", F.concat(F.lit("min "), "low"), F.concat(F.lit("median "), "middle"), F.concat(F.lit("max "), "high")).alias("example")))
     return out
