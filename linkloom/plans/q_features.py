@@ -10,8 +10,9 @@ from linkloom.functions import similarity as sim, text
 from linkloom.operators import windows
 from linkloom.plans import views
 from linkloom.plans.q_decide import unseen
-from linkloom.plans.q_relational import COMP, SIBV, anchors, view_ranks
-from linkloom.plans.q_text import norm2_features, with_cosines
+from linkloom.plans.q_relational import COMP, RANKS, SIBV, anchors, view_ranks
+from linkloom.plans.measures import measures_sql
+from linkloom.plans.q_text import NORM2_SQL, norm2_features, with_cosines
 from linkloom.plans.registry import query
 from linkloom.plans.views import FOLD, LAB, NF, P, PF, REC, TRUTH, VEC, cosine_sql, tokens_sql
 
@@ -68,8 +69,26 @@ def build(pairs: DataFrame, names: list[str] | None = None) -> DataFrame:
     return pairs
 
 
-query("feat_name")(lambda spark, d: name_features(views.framed_pairs(spark, d)).select("s1_id", "cand_id", *(F.round(c, 6).alias(c) for c in NAME)))
-query("feat_address")(lambda spark, d: address_features(views.framed_pairs(spark, d)).select("s1_id", "cand_id", *(F.round(c, 6).alias(c) for c in ADDRESS)))
+_NAME_SQL = (
+    f"{measures_sql('select l_name_core as a, r_name_core as b from pf', 'mc', True)}, {measures_sql('select l_name_norm as a, r_name_norm as b from pf', 'mf')}, "
+    "fn as (select s1_id, cand_id, mc.ratio as name_ratio, mc.tset as name_tset, mc.tsort as name_tsort, mc.partial as name_partial, mc.jw as name_jw, mf.tset as name_full_tset, (l_name_core = r_name_core)::int as name_exact, length(l_name_core)::int as name_len_l, length(r_name_core)::int as name_len_r "
+    "from pf join mc on mc.a = l_name_core and mc.b = r_name_core join mf on mf.a = l_name_norm and mf.b = r_name_norm)"
+)
+_LN, _RN = (f"list_distinct({tokens_sql(f'{s}_addr_nums')})" for s in "lr")
+_ADDRESS_SQL = (
+    f"{measures_sql('select l_addr_norm as a, r_addr_norm as b from pf', 'mad', True)}, "
+    f"fa as (select s1_id, cand_id, mad.tset as addr_tset, mad.tsort as addr_tsort, mad.partial as addr_partial, len(list_intersect({_LN}, {_RN})) / nullif(len(list_distinct(list_concat({_LN}, {_RN}))), 0) as num_jaccard, len(list_intersect({_LN}, {_RN}))::int as num_common, "
+    "case when l_addr_nums <> '' and r_addr_nums <> '' then (string_split(l_addr_nums, ' ')[1] = string_split(r_addr_nums, ' ')[1])::int::double end as num_first, case when l_postcode <> '' and r_postcode <> '' then (l_postcode = r_postcode)::int::double end as postcode_eq, (r_addr_norm = '')::int as addr_empty "
+    "from pf join mad on mad.a = l_addr_norm and mad.b = r_addr_norm)"
+)
+
+
+def _rounded(columns: list[str], alias: str = "") -> str:
+    return ", ".join(f"round({alias}{c}::double, 6) as {c}" for c in columns)
+
+
+query("feat_name", f"with {PF}, {_NAME_SQL} select s1_id, cand_id, {_rounded(NAME[:6])}, name_exact, name_len_l, name_len_r from fn")(lambda spark, d: name_features(views.framed_pairs(spark, d)).select("s1_id", "cand_id", *(F.round(c, 6).alias(c) for c in NAME)))
+query("feat_address", f"with {PF}, {_ADDRESS_SQL} select s1_id, cand_id, {_rounded([c for c in ADDRESS if c not in ('num_common', 'addr_empty')])}, num_common, addr_empty from fa")(lambda spark, d: address_features(views.framed_pairs(spark, d)).select("s1_id", "cand_id", *(F.round(c, 6).alias(c) for c in ADDRESS)))
 
 
 def _with_cos(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -95,7 +114,19 @@ def feat_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(n,) for n in sorted(GROUPS)], "feature_group string")
 
 
-@query("feat_stage1")
+_CONTEXT_SQL = (
+    "cx as (select s1_id, cand_id, rank() over (partition by s1_id, source order by v desc nulls last) as ctx_rank_s1, max(v) over (partition by s1_id, source) - v as ctx_gap_s1, count(*) over (partition by s1_id, source) as ctx_n_s1, "
+    "rank() over (partition by cand_id order by v desc nulls last) as ctx_rank_c, max(v) over (partition by cand_id) - v as ctx_gap_c, count(*) over (partition by cand_id) as ctx_n_c, (source = 'S3')::int as is_s3 from x)"
+)
+_COS_SQL = f"cs as (select s1_id, cand_id, round({cosine_sql('a.vec', 'b.vec')}, 9) as cos_name, round({cosine_sql('c.vec', 'd.vec')}, 9) as cos_both from pf left join vec a on a.entity_id = s1_id and a.view_name = 'name' left join vec b on b.entity_id = cand_id and b.view_name = 'name' left join vec c on c.entity_id = s1_id and c.view_name = 'both' left join vec d on d.entity_id = cand_id and d.view_name = 'both')"
+_RANK_SQL = RANKS.split(f"{VEC}, ", 1)[1] + ", rk as (select s1_id, cand_id, min(rank) filter (where view = 'name') as rank_name, min(rank) filter (where view = 'both') as rank_both from ranks group by 1, 2)"
+
+
+@query(
+    "feat_stage1",
+    f"with {_CTX}, {_NAME_SQL}, {_ADDRESS_SQL}, {_CONTEXT_SQL}, {_COS_SQL}, {_RANK_SQL} select s1_id, cand_id, {_rounded(['cos_name', 'cos_both', *NAME, *ADDRESS, *CONTEXT, 'rank_name', 'rank_both'])} "
+    "from fn join fa using (s1_id, cand_id) join cx using (s1_id, cand_id) join cs using (s1_id, cand_id) left join rk using (s1_id, cand_id)",
+)
 def feat_stage1(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole first design matrix with the views' ranks."""
     made = build(_with_cos(spark, sf_dir))
@@ -185,7 +216,32 @@ def _cluster(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _R6 = lambda cols: [F.round(F.col(c).cast("double"), 6).alias(c) for c in cols]
-query("feat_cluster")(lambda spark, d: _cluster(spark, d).select("s1_id", "cand_id", *_R6([*PROB, *SIBLING, "sib_n_anchors"])))
+
+
+def _sibling_sql(pairs: str, tag: str) -> str:
+    """CTEs that end in ``sg<tag>``: likeness of each pair's record to its S1's other confident records, anchors from the table ``pairs``."""
+    measures = {"cos_name": "cn", "cos_both": "cb", "name_tset": "nt", "addr_tset": "at_"}
+    aggs = ", ".join(f"max({v}) as sib_{m}_max, sum({v} * anchor_prob) / nullif(sum(case when {v} is not null then anchor_prob end), 0) as sib_{m}_wmean" for m, v in measures.items())
+    return (
+        f"an{tag} as (select s1_id, cand_id as anchor, prob as anchor_prob from (select *, row_number() over (partition by s1_id order by prob desc, cand_id) as place from {pairs}) where place <= 3 and prob >= 0.5), "
+        f"sb{tag} as materialized (select p.s1_id, p.cand_id, anchor, anchor_prob, l.name_core as la, r.name_core as ra, l.addr_norm as lb, r.addr_norm as rb from {pairs} p join an{tag} a on a.s1_id = p.s1_id and a.anchor <> p.cand_id join nf l on l.entity_id = p.cand_id join nf r on r.entity_id = anchor), "
+        f"{measures_sql(f'select la as a, ra as b from sb{tag}', f'sn{tag}')}, {measures_sql(f'select lb as a, rb as b from sb{tag}', f'sa{tag}')}, "
+        f"sv{tag} as (select s.s1_id, s.cand_id, anchor_prob, n.tset as nt, d.tset as at_, {cosine_sql('v1.vec', 'v2.vec')} as cn, {cosine_sql('v3.vec', 'v4.vec')} as cb from sb{tag} s join sn{tag} n on n.a = la and n.b = ra join sa{tag} d on d.a = lb and d.b = rb "
+        "left join vec v1 on v1.entity_id = s.cand_id and v1.view_name = 'name' left join vec v2 on v2.entity_id = anchor and v2.view_name = 'name' left join vec v3 on v3.entity_id = s.cand_id and v3.view_name = 'both' left join vec v4 on v4.entity_id = anchor and v4.view_name = 'both'), "
+        f"sg{tag} as (select s1_id, cand_id, {aggs}, count(*) as sib_n_anchors from sv{tag} group by 1, 2)"
+    )
+
+
+def _prob_sql(pairs: str, tag: str) -> str:
+    """CTEs that end in ``pg<tag>``: figures of the S1's scores and competition, of the table ``pairs``."""
+    return (
+        f"cc{tag} as (select s1_id, cand_id, prob, case when rn = 1 then coalesce(second, 0) else first end as other from (select *, row_number() over w as rn, max(prob) over (partition by cand_id) as first, nth_value(prob, 2) over (partition by cand_id order by prob desc, s1_id rows between unbounded preceding and unbounded following) as second from {pairs} window w as (partition by cand_id order by prob desc, s1_id))), "
+        f"pg{tag} as (select s1_id, cand_id, prob as s2_prob, row_number() over (partition by s1_id order by prob desc, cand_id) as s2_rank_in_s1, max(prob) over (partition by s1_id) - prob as s2_gap_to_max_s1, count(*) filter (where prob >= 0.5) over (partition by s1_id) as s2_n_conf50_s1, count(*) filter (where prob >= 0.9) over (partition by s1_id) as s2_n_conf90_s1, "
+        f"sum(prob) over (partition by s1_id) as s2_sum_prob_s1, other as s2_other_s1_best, prob - other as s2_margin_vs_other_s1 from cc{tag})"
+    )
+
+
+query("feat_cluster", f"with {P}, {NF}, {VEC}, {_prob_sql('p', '1')}, {_sibling_sql('p', '1')} select s1_id, cand_id, {_rounded([*PROB, *SIBLING])}, coalesce(sib_n_anchors, 0)::double as sib_n_anchors from pg1 left join sg1 using (s1_id, cand_id)")(lambda spark, d: _cluster(spark, d).select("s1_id", "cand_id", *_R6([*PROB, *SIBLING, "sib_n_anchors"])))
 
 
 @query("feat_cluster_words", f"with {SIBV} select s1_id, cand_id, round(max(v), 6) as sib_words_max, round(sum(v * anchor_prob) / sum(case when v is not null then anchor_prob end), 6) as sib_words_wmean, count(*)::bigint as sib_n_anchors from sv group by s1_id, cand_id")
@@ -197,7 +253,21 @@ def feat_cluster_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sibling_scores(spark, sf_dir).groupBy("s1_id", "cand_id").agg(F.round(F.max("v"), 6).alias("sib_words_max"), F.round(F.try_divide(F.sum(F.col("v") * F.col("anchor_prob")), w), 6).alias("sib_words_wmean"), F.count(F.lit(1)).alias("sib_n_anchors"))
 
 
-@query("feat_stage2")
+_RARITY_SQL = (
+    f"rs as (select country, name_core, count(*) filter (where entity_id like 'S1%') as n1, count(*) filter (where entity_id not like 'S1%') as np from nf group by 1, 2), rz as (select country, coalesce(nullif(count(*) filter (where entity_id not like 'S1%'), 0) / nullif(count(*) filter (where entity_id like 'S1%'), 0), 1) as ratio from nf group by 1), "
+    f"rt as (select entity_id, country, unnest({tokens_sql('name_core')}) as token from nf), rd as (select country, token, count(*) as df from rt group by 1, 2), rm as (select entity_id, min(df) as df from rt join rd using (country, token) group by 1), "
+    "ry as (select nf.entity_id, n1 as same_name_s1, np / ratio as same_name_pool, coalesce(df, 0) as min_tok_df from nf join rs using (country, name_core) join rz using (country) left join rm on rm.entity_id = nf.entity_id)"
+)
+_RAR = [f"rar_{side}_{c}" for side in ("s1", "c") for c in ("same_name_s1", "same_name_pool", "min_tok_df")]
+
+
+@query(
+    "feat_stage2",
+    f"with {PF}, {VEC}, {_prob_sql('p', '2')}, q as (select s1_id, cand_id, prob from pf), {_sibling_sql('q', '2')}, {NORM2_SQL}, {_RARITY_SQL}, "
+    "ra2 as (select entity_id as s1_id, same_name_s1 as rar_s1_same_name_s1, same_name_pool as rar_s1_same_name_pool, min_tok_df as rar_s1_min_tok_df from ry), rb2 as (select entity_id as cand_id, same_name_s1 as rar_c_same_name_s1, same_name_pool as rar_c_same_name_pool, min_tok_df as rar_c_min_tok_df from ry) "
+    f"select s1_id, cand_id, {_rounded(['prob', 's2_other_s1_best', 's2_margin_vs_other_s1', *SIBLING, 'sib_n_anchors', 'name2_ratio', 'name2_tset', 'name2_tsort', 'addr2_tset', 'addr2_tsort', *_RAR])} "
+    "from q join pg2 using (s1_id, cand_id) join norm2 using (s1_id, cand_id) left join sg2 using (s1_id, cand_id) left join ra2 using (s1_id) left join rb2 using (cand_id)",
+)
 def feat_stage2(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Second design matrix of every S1: competition over all pairs, siblings, second normalisation, rarity."""
     p, frames = views.pairs(spark, sf_dir), views.frames(spark, sf_dir)
@@ -212,13 +282,21 @@ def feat_stage2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("s1_id", "cand_id", *_R6(cols))
 
 
-@query("feat_stage3")
+#: Added before rounding: adjusted scores have seven decimals, so their sums lie on ties.
+_TIE = 1e-9
+
+
+@query(
+    "feat_stage3",
+    f"with {P}, {NF}, {VEC}, {_prob_sql('p', '0')}, s as (select s1_id, cand_id, greatest(0.0, least(1.0, s2_prob + 0.1::double * s2_margin_vs_other_s1)) as prob from pg0), {_prob_sql('s', '3')}, {_sibling_sql('s', '3')} "
+    f"select s1_id, cand_id, {', '.join(f'round({c}::double + {_TIE}, 6) as t3_{c}' for c in [*PROB, *SIBLING] if 'other_s1' not in c)}, coalesce(sib_n_anchors, 0)::double as t3_sib_n_anchors from pg3 left join sg3 using (s1_id, cand_id)",
+)
 def feat_stage3(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cluster features again from a second stage's scores (here the margin-adjusted first ones), competition left out, prefixed."""
     second = competition(views.pairs(spark, sf_dir)).select("s1_id", "cand_id", F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("prob") + 0.1 * F.col("s2_margin_vs_other_s1"))).alias("prob"))
     made = cluster_features(second, views.frames(spark, sf_dir), views.vectors(spark, sf_dir))
     kept = [c for c in [*PROB, *SIBLING, "sib_n_anchors"] if "other_s1" not in c]
-    return made.select("s1_id", "cand_id", *_R6(kept)).withColumnsRenamed({c: f"t3_{c}" for c in kept})
+    return made.select("s1_id", "cand_id", *(F.round(F.col(c).cast("double") + _TIE, 6).alias(f"t3_{c}") for c in kept))
 
 
 # side tables of scores --------------------------------------------------------------------------------------------------
@@ -233,6 +311,16 @@ def side_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "scored_pairs").where("s1_id is not null and cand_id is not null and not isnan(prob)").groupBy("s1_id", "cand_id").agg(F.min("prob").alias("ce_score")).where("ce_score > 0.02")
 
 
+CE2 = "ce2 as (select s1_id, cand_id, max(prob) as ce_score from scored_pairs where s1_id is not null and cand_id like 'S3%' and not isnan(prob) group by 1, 2 having max(prob) < 0.9)"
+
+
+def later_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A third scorer's table, of records of S3 alone: the greatest score that a pair ever had, below 0.9."""
+    from linkloom.runtime import table
+
+    return table(spark, sf_dir, "scored_pairs").where("s1_id is not null and startswith(cand_id, 'S3') and not isnan(prob)").groupBy("s1_id", "cand_id").agg(F.max("prob").alias("ce_score")).where("ce_score < 0.9")
+
+
 def with_scores(pairs: DataFrame, tables: list[DataFrame]) -> DataFrame:
     """Score tables attached by key as ``ce_score``, ``ce_score_2``, …; a pair that a table lacks has null."""
     for k, t in enumerate(tables, 1):
@@ -240,7 +328,7 @@ def with_scores(pairs: DataFrame, tables: list[DataFrame]) -> DataFrame:
     return pairs
 
 
-query("feat_scores", f"with {P}, {CE} select p.s1_id, p.cand_id, p.prob, ce.ce_score, ce.ce_score as ce_score_2 from p left join ce using (s1_id, cand_id)")(lambda spark, d: with_scores(views.pairs(spark, d), [side_scores(spark, d), side_scores(spark, d)]))
+query("feat_scores", f"with {P}, {CE}, {CE2} select p.s1_id, p.cand_id, p.prob, ce.ce_score, ce2.ce_score as ce_score_2 from p left join ce using (s1_id, cand_id) left join ce2 using (s1_id, cand_id)")(lambda spark, d: with_scores(views.pairs(spark, d), [side_scores(spark, d), later_scores(spark, d)]))
 query("feat_llm_map", f"with {P}, {CE} select p.s1_id, p.cand_id, case when ce_score > 0.05 and ce_score < 0.95 then ce_score end as llm_score from p left join ce using (s1_id, cand_id)")(
     lambda spark, d: with_scores(views.pairs(spark, d), [side_scores(spark, d)]).select("s1_id", "cand_id", F.when((F.col("ce_score") > 0.05) & (F.col("ce_score") < 0.95), F.col("ce_score")).alias("llm_score"))
 )

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from linkloom.functions import similarity as sim, text
 from linkloom.plans import views
+from linkloom.plans.measures import measures_sql
 from linkloom.plans.registry import query
 from linkloom.plans.views import NF, P, PF, REC, TRUTH, VEC, cosine_sql, tokens_sql
 from linkloom.runtime import table
@@ -200,10 +201,8 @@ def _string_measure(kind: str, field: str):
     return build
 
 
-query("sim_ratio")(_string_measure("ratio", "name_core"))
-query("sim_tset")(_string_measure("tset", "name_norm"))
-query("sim_tsort")(_string_measure("tsort", "name_core"))
-query("sim_partial")(_string_measure("partial", "addr_norm"))
+for _kind, _field in (("ratio", "name_core"), ("tset", "name_norm"), ("tsort", "name_core"), ("partial", "addr_norm")):
+    query(f"sim_{_kind}", f"with {PF}, {measures_sql(f'select l_{_field} as a, r_{_field} as b from pf', 'm', _kind == 'partial')} select s1_id, cand_id, round({_kind}, 6) as sim_{_kind} from pf join m on a = l_{_field} and b = r_{_field}")(_string_measure(_kind, _field))
 query("sim_jw", f"with {PF} select s1_id, cand_id, round(case when l_name_core = '' or r_name_core = '' then 0 else jaro_winkler_similarity(l_name_core, r_name_core) end, 6) as sim_jw from pf")(_string_measure("jw", "name_core"))
 
 
@@ -252,5 +251,11 @@ def norm2_features(pairs: DataFrame) -> DataFrame:
 
 
 _NORM2 = ["name2_ratio", "name2_tset", "name2_tsort", "addr2_tset", "addr2_tsort"]
+NORM2_SQL = (
+    f"n2 as (select entity_id, {_core_sql('w', [*text.LEGAL2, *text.JOINING2])} as n2, array_to_string({_map_sql(tokens_sql('addr_norm'), text.ADDRESS_WORDS)}, ' ') as a2 from (select *, {_JOINED.replace('(n,', '(name_norm,')} as w from nf)), "
+    "p2 as materialized (select s1_id, cand_id, l.n2 as ln, r.n2 as rn, l.a2 as la, r.a2 as ra from pf join n2 l on l.entity_id = s1_id join n2 r on r.entity_id = cand_id), "
+    f"{measures_sql('select ln as a, rn as b from p2', 'mn')}, {measures_sql('select la as a, ra as b from p2', 'ma')}, "
+    "norm2 as (select s1_id, cand_id, mn.ratio as name2_ratio, mn.tset as name2_tset, mn.tsort as name2_tsort, ma.tset as addr2_tset, ma.tsort as addr2_tsort from p2 join mn on mn.a = ln and mn.b = rn join ma on ma.a = la and ma.b = ra)"
+)
 for _name in ("sim_norm2", "feat_norm2"):
-    query(_name)(lambda spark, d: norm2_features(views.framed_pairs(spark, d)).select("s1_id", "cand_id", *(F.round(c, 6).alias(c) for c in _NORM2)))
+    query(_name, f"with {PF}, {NORM2_SQL} select s1_id, cand_id, {', '.join(f'round({c}, 6) as {c}' for c in _NORM2)} from norm2")(lambda spark, d: norm2_features(views.framed_pairs(spark, d)).select("s1_id", "cand_id", *(F.round(c, 6).alias(c) for c in _NORM2)))
