@@ -26,6 +26,8 @@ FIT_ROWS, FIT_EACH = 20_000, 8
 DEVIATIONS = 2.5
 #: Classes that ask in one task, and that are stored in one; a larger cell is a grid of tasks.
 ASKING_ROWS, STORED_ROWS = 8_192, 32_768
+#: Decimals to which cosines are compared: vectors of one direction but different lengths are equally similar.
+DECIMALS = 12
 #: Stored rows compared at a time.
 BLOCK_ROWS = 8_192
 
@@ -88,7 +90,7 @@ def _nearest(asking: np.ndarray, ask_ids: np.ndarray, stored: np.ndarray, ids: n
     exact = np.empty(len(rows))
     for at in range(0, len(rows), 1 << 16):
         part = slice(at, at + (1 << 16))
-        exact[part] = np.einsum("ij,ij->i", asking[rows[part]], stored[cols[part]])
+        exact[part] = np.round(np.einsum("ij,ij->i", asking[rows[part]], stored[cols[part]]), DECIMALS)
     return rows, cols, exact
 
 

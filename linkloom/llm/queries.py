@@ -36,6 +36,14 @@ ORACLE = {
       from c where kept * 1000 >= keep_permille * total group by source_tag, country
     """,
     "p8_round_trip": "select doc_id, md5(coalesce(text, '')) as digest from documents",
+    "p6_found": """
+      with v as (select view_name, entity_id, max(vec) as vec from record_vectors
+                 where entity_id is not null and view_name is not null and len(vec) = 64 and len(list_filter(vec, lambda x: x is null or isnan(x) or isinf(x))) = 0 and len(list_filter(vec, lambda x: x <> 0)) > 0 group by all),
+      u as (select view_name, entity_id, vec::double[64] as vec from v),
+      c as (select a.view_name, a.entity_id as x, b.entity_id as y, round(array_cosine_similarity(a.vec, b.vec), 12) as cosine from u a join u b on a.view_name = b.view_name and a.entity_id <> b.entity_id),
+      k as (select * from c qualify row_number() over (partition by view_name, x order by cosine desc, y) <= 5)
+      select distinct view_name, least(x, y) as id_a, greatest(x, y) as id_b from k
+    """,
     "p3_found": f"""
       with pairs as ({COUNTING_SQL})
       select s1_id, cand_id from pairs
