@@ -246,7 +246,7 @@ class Reader:
         if not lead and len(words) in (3, 4):
             # the first word may be one that the corpus leaves out, rarely
             out.append(firm(_readings(words[1:])[0], True, words[0]))
-        if len(words) >= 2 and 3 <= len(spelt) <= 6:
+        if len(words) >= 3 and 3 <= len(spelt) <= 6:
             out.append(firm([[spelt, ""]], True, lead) | {"trades": []})
         return out
 
