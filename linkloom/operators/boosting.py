@@ -47,34 +47,49 @@ class Booster:
         return self.gains / self.gains.sum() if self.gains is not None and self.gains.sum() > 0 else np.zeros(0 if self.gains is None else len(self.gains))
 
 
-def boost(x, y, weight=None, held=None, rounds: int = 200, rate: float = 0.1, leaves: int = 15, least: int = 20, features: float = 1.0, l2: float = 1.0, patience: int = 20, seed: int = 0) -> Booster:
+def _quantiles(v, n, q):
+    """``np.quantile`` of values of which each stands for ``n`` rows."""
+    order = np.argsort(v, kind="stable")
+    v, ends = v[order], np.cumsum(n[order])
+    at = q * (ends[-1] - 1)
+    a, b = (v[np.searchsorted(ends, k, side="right")] for k in (np.floor(at), np.ceil(at)))
+    t = at - np.floor(at)
+    return np.where(t < 0.5, a + (b - a) * t, b - (b - a) * (1 - t))
+
+
+def boost(x, y, weight=None, held=None, rounds: int = 200, rate: float = 0.1, leaves: int = 15, least: int = 20, features: float = 1.0, l2: float = 1.0, patience: int = 20, seed: int = 0, count=None) -> Booster:
     """A booster of logistic loss, trees grown by best gain to so many leaves.
 
+    With ``count`` each row stands for so many equal ones, in the bins and in ``least`` too: the model is that of the rows written out.
+
     ``held`` marks rows that aren't fitted: when their loss hasn't fallen for ``patience`` rounds, the trees up to the best round are kept.
     Of one class only it is a constant.
     """
     x, y = np.asarray(x, float), np.asarray(y, float)
-    w = np.ones(len(y)) if weight is None else np.asarray(weight, float)
+    n = np.ones(len(y)) if count is None else np.asarray(count, float)
+    w = n if weight is None else n * np.asarray(weight, float)
     held = np.zeros(len(y), bool) if held is None else np.asarray(held, bool)
     fit = np.flatnonzero(~held)
     mean = float(np.clip((w[fit] * y[fit]).sum() / max(w[fit].sum(), 1e-12), 1e-6, 1 - 1e-6)) if len(fit) else 0.5
     model = Booster(float(np.log(mean / (1 - mean))), [], np.zeros(x.shape[1]))
     if len(fit) < 2 or len(np.unique(y[fit])) < 2:
         return model
-    cuts = [np.unique(np.quantile(x[fit, j], np.linspace(0, 1, BINS + 1)[1:-1])) for j in range(x.shape[1])]
+    shares = np.linspace(0, 1, BINS + 1)[1:-1]
+    cuts = [np.unique(np.quantile(x[fit, j], shares) if count is None else _quantiles(x[fit, j], n[fit], shares)) for j in range(x.shape[1])]
     binned = np.stack([np.searchsorted(c, x[:, j], side="left") for j, c in enumerate(cuts)], axis=1)
     rng, z = np.random.default_rng(seed), np.full(len(y), model.base)
     loss, best, stale = np.inf, 0, 0
     for _ in range(rounds):
         p = _sigmoid(z)
         use = np.sort(rng.choice(x.shape[1], max(1, round(features * x.shape[1])), replace=False))
-        tree, at = _tree(binned, cuts, w * (p - y), w * np.maximum(p * (1 - p), 1e-9), fit, use, leaves, least, l2, model.gains)
+        tree, at = _tree(binned, cuts, w * (p - y), w * np.maximum(p * (1 - p), 1e-9), n, fit, use, leaves, least, l2, model.gains)
         value = -rate * tree[4]
         model.trees.append((*tree[:4], value))
         z += value[at]
         if held.any():
             q = np.clip(_sigmoid(z[held]), 1e-12, 1 - 1e-12)
-            now = -(y[held] * np.log(q) + (1 - y[held]) * np.log(1 - q)).mean()
+            each = -(y[held] * np.log(q) + (1 - y[held]) * np.log(1 - q))
+            now = each.mean() if count is None else np.average(each, weights=n[held])
             if now < loss - 1e-9:
                 loss, best, stale = now, len(model.trees), 0
             else:
@@ -86,28 +101,26 @@ def boost(x, y, weight=None, held=None, rounds: int = 200, rate: float = 0.1, le
     return model
 
 
-def _split(binned, cuts, g, h, rows, use, least, l2):
+def _split(binned, cuts, g, h, n, rows, use, least, l2):
     """(gain, feature, bin) of the best split of a node's rows, or None."""
-    found, whole = None, g[rows].sum() ** 2 / (h[rows].sum() + l2)
-    for j in use:
-        size = len(cuts[j]) + 1
-        if size < 2:
-            continue
-        b = binned[rows, j]
-        gs, hs, ns = (np.cumsum(np.bincount(b, v, size))[:-1] for v in (g[rows], h[rows], np.ones(len(rows))))
-        ok = (ns >= least) & (len(rows) - ns >= least)
-        gain = np.where(ok, gs**2 / (hs + l2) + (g[rows].sum() - gs) ** 2 / (h[rows].sum() - hs + l2) - whole, -1.0)
-        k = int(np.argmax(gain))
-        if gain[k] > 1e-9 and (found is None or gain[k] > found[0]):
-            found = (float(gain[k]), int(j), k)
-    return found
-
-
-def _tree(binned, cuts, g, h, fit, use, leaves, least, l2, gains):
+    sizes = np.array([len(cuts[j]) for j in use])
+    width = sizes.max() + 1
+    if width < 2:
+        return None
+    at = (binned[rows][:, use] + np.arange(len(use)) * width).ravel()
+    gs, hs, ns = (np.cumsum(np.bincount(at, np.repeat(v[rows], len(use)), len(use) * width).reshape(len(use), width), axis=1)[:, :-1] for v in (g, h, n))
+    g_all, h_all, n_all = g[rows].sum(), h[rows].sum(), n[rows].sum()
+    ok = (ns >= least) & (n_all - ns >= least) & (np.arange(width - 1) < sizes[:, None])
+    gain = np.where(ok, gs**2 / (hs + l2) + (g_all - gs) ** 2 / (h_all - hs + l2) - g_all**2 / (h_all + l2), -1.0)
+    j, k = np.unravel_index(np.argmax(gain), gain.shape)
+    return (float(gain[j, k]), int(use[j]), int(k)) if gain[j, k] > 1e-9 else None
+
+
+def _tree(binned, cuts, g, h, n, fit, use, leaves, least, l2, gains):
     """One tree, and the leaf of every row, fitted or not."""
     feature, cut, left, right, value = [-1], [0.0], [0], [0], [g[fit].sum() / (h[fit].sum() + l2)]
     at = np.zeros(len(binned), np.int64)
-    open_ = {0: (fit, _split(binned, cuts, g, h, fit, use, least, l2))}
+    open_ = {0: (fit, _split(binned, cuts, g, h, n, fit, use, least, l2))}
     for _ in range(leaves - 1):
         node = max((n for n, (_, s) in open_.items() if s), key=lambda n: open_[n][1][0], default=None)
         if node is None:
@@ -119,7 +132,7 @@ def _tree(binned, cuts, g, h, fit, use, leaves, least, l2, gains):
         at = np.where(at == node, np.where(below, left[node], right[node]), at)
         for child, part in ((left[node], rows[binned[rows, j] <= k]), (right[node], rows[binned[rows, j] > k])):
             feature.append(-1), cut.append(0.0), left.append(0), right.append(0), value.append(g[part].sum() / (h[part].sum() + l2))
-            open_[child] = (part, _split(binned, cuts, g, h, part, use, least, l2))
+            open_[child] = (part, _split(binned, cuts, g, h, n, part, use, least, l2))
     return (np.array(feature), np.array(cut), np.array(left), np.array(right), np.array(value)), at
 
 

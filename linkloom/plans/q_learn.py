@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import zlib
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -41,6 +41,14 @@ def sampled(rows: DataFrame, columns: list[str]) -> pd.DataFrame:
     return sampling.uniform(rows, FIT_ROWS, 1, "s1_id", "cand_id").select(*columns).toPandas()
 
 
+def tallied(rows: DataFrame, columns: list[str]) -> pd.DataFrame:
+    """Each distinct row of ``columns`` with ``n``, the rows that have it, on the driver, sorted; of a sample only if more than ``FIT_ROWS`` are distinct."""
+    tally = lambda df: df.groupBy(*columns).agg(F.count(F.lit(1)).alias("n")).limit(FIT_ROWS + 1).toPandas()
+    made = tally(rows)
+    made = made if len(made) <= FIT_ROWS else tally(sampling.uniform(rows, FIT_ROWS, 1, "s1_id", "cand_id"))
+    return made.sort_values(columns, ignore_index=True)
+
+
 def fold_models(rows: pd.DataFrame, **settings) -> dict[int, boosting.Booster]:
     """One booster per fold, fitted on the rows of the other folds and stopped early on its own."""
     x, y, fold = rows[X].to_numpy(float), rows["label"].to_numpy(), rows["fold"].to_numpy()
@@ -147,23 +155,37 @@ SEEDS = 3
 
 @query("ml_tune")
 def ml_tune(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each variant by out-of-fold log loss, and the best one again as the mean over several seeds. On at most ``FIT_ROWS`` labelled rows."""
-    rows = sampled(labelled(spark, sf_dir), [*X, "label", "fold"])
-    y, fold = rows["label"].to_numpy(), rows["fold"].to_numpy()
-
-    def out_of_fold(**settings) -> np.ndarray:
-        p = np.full(len(rows), np.nan)
-        for k, model in fold_models(rows, **settings).items():
-            p[fold == k] = model.score(rows[X].to_numpy(float)[fold == k])
+    """Each variant by out-of-fold log loss, and the best one again as the mean over several seeds.
+
+    On all labelled rows, as counts of distinct ones; the models of variants, folds and seeds are fitted in a task each.
+    """
+    rows = tallied(labelled(spark, sf_dir), [*X, "label", "fold"])
+    x, y, fold, n = rows[X].to_numpy(float), rows["label"].to_numpy(), rows["fold"].to_numpy(), rows["n"].to_numpy()
+    folds = [int(k) for k in sorted(set(fold)) if len(set(y[fold != k])) == 2]
+    shared = spark.sparkContext.broadcast((x, y, fold, n))
+
+    def out_of_fold(tries: list[dict]) -> np.ndarray:
+        jobs = [(i, k, settings) for i, settings in enumerate(tries) for k in folds]
+
+        def fitted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            x, y, fold, n = shared.value
+            for batch in batches:
+                for i, k, settings in (jobs[j] for j in batch["id"]):
+                    model = boosting.boost(x, y, held=fold == k, count=n, **settings)
+                    yield pd.DataFrame({"i": [i], "k": [k], "p": [model.score(x[fold == k])]})
+
+        p = np.full((len(tries), len(rows)), np.nan)
+        for r in spark.range(0, len(jobs), 1, max(1, len(jobs))).mapInPandas(fitted, "i long, k long, p array<double>").collect():
+            p[r.i, fold == r.k] = r.p
         return p
 
     def loss(p: np.ndarray) -> float:
         q, known = np.clip(p, 1e-15, 1 - 1e-15), ~np.isnan(p)
-        return float(-(y * np.log(q) + (1 - y) * np.log(1 - q))[known].mean()) if known.any() else float("nan")
+        return float(np.average(-(y * np.log(q) + (1 - y) * np.log(1 - q))[known], weights=n[known])) if known.any() else float("nan")
 
-    tried = {name: loss(out_of_fold(**v)) for name, v in VARIANTS.items()}
-    best = min(tried, key=lambda n: (tried[n], n))
-    tried[f"{best}_x{SEEDS}"] = loss(np.mean([out_of_fold(**VARIANTS[best], seed=k) for k in range(SEEDS)], axis=0))
+    tried = {name: loss(p) for name, p in zip(VARIANTS, out_of_fold(list(VARIANTS.values())))}
+    best = min(tried, key=lambda v: (tried[v], v))
+    tried[f"{best}_x{SEEDS}"] = loss(out_of_fold([{**VARIANTS[best], "seed": k} for k in range(SEEDS)]).mean(axis=0))
     return spark.createDataFrame([(n, round(v, 4)) for n, v in tried.items()], "variant string, logloss double").orderBy("logloss", "variant")
 
 

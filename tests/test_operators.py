@@ -5,6 +5,7 @@ import math
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import Window, functions as F
 
@@ -308,6 +309,41 @@ def test_booster(spark):
     assert np.abs(boosting.boost(x, y, weight, least=1, rounds=5).score(x) - same).mean() < 0.1
 
 
+def test_booster_counts():
+    """Rows with counts give the trees of the rows written out."""
+    rng = np.random.default_rng(5)
+    x, y, fold, n = rng.integers(0, 90, (600, 3)) / 7, rng.integers(0, 2, 600).astype(float), rng.integers(0, 3, 600), rng.integers(1, 9, 600)
+    for settings in ({}, {"features": 0.6, "seed": 2}, {"least": 60, "leaves": 7}):
+        a = boosting.boost(x, y, held=fold == 0, count=n, **settings)
+        b = boosting.boost(*(np.repeat(v, n, axis=0) for v in (x, y)), held=np.repeat(fold == 0, n), **settings)
+        assert len(a.trees) == len(b.trees) and np.abs(a.score(x) - b.score(x)).max() < 1e-9
+
+
+def test_tuning_counts(spark, monkeypatch):
+    """All labelled rows count, also above ``FIT_ROWS`` as long as no more are distinct."""
+    rng = np.random.default_rng(6)
+    made = pd.DataFrame(rng.integers(0, 3, (800, len(q_learn.X))) / 2.0, columns=q_learn.X)
+    for c in q_learn.X[3:]:
+        made[c] = 0.0
+    made = made.assign(s1_id=[f"S1-{i}" for i in range(800)], cand_id="S2-1", fold=rng.integers(0, 3, 800), label=(rng.random(800) < 0.2 + 0.3 * made["name_words"]).astype(float))
+    monkeypatch.setattr(q_learn, "labelled", lambda *_: spark.createDataFrame(made))
+    monkeypatch.setattr(q_learn, "FIT_ROWS", 200)
+    monkeypatch.setattr(q_learn, "VARIANTS", {"base": {}, "features60": {"features": 0.6}})
+    got = {r.variant: r.logloss for r in q_learn.ml_tune(spark, "").collect()}
+    x, y, fold = made[q_learn.X].to_numpy(float), made["label"].to_numpy(), made["fold"].to_numpy()
+
+    def loss(seeds, **settings):
+        p = np.mean([[m[k].score(x[i : i + 1])[0] for i, k in enumerate(fold)] for m in (q_learn.fold_models(made, seed=s, **settings) for s in seeds)], axis=0)
+        return -(y * np.log(p) + (1 - y) * np.log(1 - p)).mean()
+
+    want = {"base": loss([0]), "features60": loss([0], features=0.6)}
+    best = min(want, key=want.get)
+    want[f"{best}_x3"] = loss(range(3), **q_learn.VARIANTS[best])
+    assert got.keys() == want.keys() and all(abs(got[v] - want[v]) < 1e-4 for v in want)
+    monkeypatch.setattr(q_learn, "FIT_ROWS", 3)
+    assert q_learn.tallied(spark.createDataFrame(made), [*q_learn.X, "label"])["n"].sum() == 3
+
+
 def test_listwise(spark):
     rng = np.random.default_rng(4)
     lists = [rng.standard_normal((rng.integers(2, 6), 2)) for _ in range(2000)]
