@@ -1,6 +1,6 @@
 """Gradient-boosted trees on histograms for bounded samples, and a listwise model; fitted on the driver, applied in Arrow batches.
 
-The sample that a fit sees is bounded by its caller; scoring is distributed.
+What a fit sees is bounded by its caller, as a sample or as counts of rows in equal bins; scoring is distributed.
 """
 
 from __future__ import annotations
@@ -57,10 +57,27 @@ def _quantiles(v, n, q):
     return np.where(t < 0.5, a + (b - a) * t, b - (b - a) * (1 - t))
 
 
-def boost(x, y, weight=None, held=None, rounds: int = 200, rate: float = 0.1, leaves: int = 15, least: int = 20, features: float = 1.0, l2: float = 1.0, patience: int = 20, seed: int = 0, count=None) -> Booster:
+def cuts_of(v, n=None) -> np.ndarray:
+    """Upper bounds of a feature's bins but the last; with ``n`` each value stands for so many rows."""
+    shares = np.linspace(0, 1, BINS + 1)[1:-1]
+    return np.unique(np.quantile(v, shares) if n is None else _quantiles(v, n, shares))
+
+
+def to_bins(x, cuts: list[np.ndarray]) -> np.ndarray:
+    """The bin of each value, by feature."""
+    return np.stack([np.searchsorted(c, x[:, j], side="left") for j, c in enumerate(cuts)], axis=1)
+
+
+def of_bins(bins, cuts: list[np.ndarray]) -> np.ndarray:
+    """A value in each bin: to trees on these cuts the same as any other in it."""
+    return np.stack([np.append(c, np.inf)[bins[:, j]] for j, c in enumerate(cuts)], axis=1)
+
+
+def boost(x, y, weight=None, held=None, rounds: int = 200, rate: float = 0.1, leaves: int = 15, least: int = 20, features: float = 1.0, l2: float = 1.0, patience: int = 20, seed: int = 0, count=None, cuts=None) -> Booster:
     """A booster of logistic loss, trees grown by best gain to so many leaves.
 
     With ``count`` each row stands for so many equal ones, in the bins and in ``least`` too: the model is that of the rows written out.
+    ``cuts`` are the bins' bounds by feature, where they aren't to be taken from ``x``.
 
     ``held`` marks rows that aren't fitted: when their loss hasn't fallen for ``patience`` rounds, the trees up to the best round are kept.
     Of one class only it is a constant.
@@ -74,9 +91,8 @@ def boost(x, y, weight=None, held=None, rounds: int = 200, rate: float = 0.1, le
     model = Booster(float(np.log(mean / (1 - mean))), [], np.zeros(x.shape[1]))
     if len(fit) < 2 or len(np.unique(y[fit])) < 2:
         return model
-    shares = np.linspace(0, 1, BINS + 1)[1:-1]
-    cuts = [np.unique(np.quantile(x[fit, j], shares) if count is None else _quantiles(x[fit, j], n[fit], shares)) for j in range(x.shape[1])]
-    binned = np.stack([np.searchsorted(c, x[:, j], side="left") for j, c in enumerate(cuts)], axis=1)
+    cuts = [cuts_of(x[fit, j], None if count is None else n[fit]) for j in range(x.shape[1])] if cuts is None else cuts
+    binned = to_bins(x, cuts)
     rng, z = np.random.default_rng(seed), np.full(len(y), model.base)
     loss, best, stale = np.inf, 0, 0
     for _ in range(rounds):

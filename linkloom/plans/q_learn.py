@@ -49,6 +49,38 @@ def tallied(rows: DataFrame, columns: list[str]) -> pd.DataFrame:
     return made.sort_values(columns, ignore_index=True)
 
 
+def binned(rows: DataFrame) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]]:
+    """By fold what its model sees of all ``rows``: bins of the features, labels, which rows are held out, how many rows each stands for, and the cuts between the bins.
+
+    The cuts are quantiles of all rows of the other folds. Rows in the same bins are one to a model, so what comes to the driver is bounded
+    by the bins, and for the cuts by the distinct values of single features, however many rows differ.
+    Folds without both labels outside are left out.
+    """
+    tally = materialise(rows.groupBy(*X, "label", "fold").agg(F.count(F.lit(1)).alias("n")))
+    values = tally.select("fold", "n", F.posexplode(F.array(*X, "label")).alias("j", "v")).groupBy("fold", "j", "v").agg(F.sum("n").alias("n")).toPandas()
+    cuts = {}
+    for k in sorted(set(values["fold"])):
+        *of_x, of_label = (values[(values["fold"] != k) & (values["j"] == j)] for j in range(len(X) + 1))
+        if len(set(of_label["v"])) == 2:
+            cuts[int(k)] = [boosting.cuts_of(v["v"].to_numpy(), v["n"].to_numpy()) for v in of_x]
+
+    def seen(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            x = batch[X].to_numpy(float)
+            for k, c in cuts.items():
+                yield pd.DataFrame(boosting.to_bins(x, c), columns=X).assign(label=batch["label"], n=batch["n"], k=k, held=batch["fold"] == k)
+
+    def packed(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values([*X, "label", "held"])
+        cells = {c: [part[c].to_numpy(t).tobytes()] for c, t in (("label", "f8"), ("held", "?"), ("n", "i8"))}
+        return pd.DataFrame({"k": [part["k"].iloc[0]], "bins": [part[X].to_numpy("i2").tobytes()]} | cells)
+
+    keys = [*X, "label", "k", "held"]
+    cells = tally.mapInPandas(seen, ", ".join(f"{c} smallint" for c in X) + ", label double, n long, k long, held boolean").groupBy(*keys).agg(F.sum("n").alias("n"))
+    made = cells.groupBy("k").applyInPandas(packed, "k long, bins binary, label binary, held binary, n binary").collect()
+    return {r.k: (np.frombuffer(r.bins, "i2").reshape(-1, len(X)), np.frombuffer(r.label, "f8"), np.frombuffer(r.held, "?"), np.frombuffer(r.n, "i8"), cuts[r.k]) for r in sorted(made, key=lambda r: r.k)}
+
+
 def fold_models(rows: pd.DataFrame, **settings) -> dict[int, boosting.Booster]:
     """One booster per fold, fitted on the rows of the other folds and stopped early on its own."""
     x, y, fold = rows[X].to_numpy(float), rows["label"].to_numpy(), rows["fold"].to_numpy()
@@ -157,31 +189,32 @@ SEEDS = 3
 def ml_tune(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each variant by out-of-fold log loss, and the best one again as the mean over several seeds.
 
-    On all labelled rows, as counts of distinct ones; the models of variants, folds and seeds are fitted in a task each.
+    On all labelled rows, as counts of those in the same bins; the models of variants, folds and seeds are fitted in a task each.
     """
-    rows = tallied(labelled(spark, sf_dir), [*X, "label", "fold"])
-    x, y, fold, n = rows[X].to_numpy(float), rows["label"].to_numpy(), rows["fold"].to_numpy(), rows["n"].to_numpy()
-    folds = [int(k) for k in sorted(set(fold)) if len(set(y[fold != k])) == 2]
-    shared = spark.sparkContext.broadcast((x, y, fold, n))
+    rows = binned(labelled(spark, sf_dir))
+    y, n = (np.concatenate([r[c][r[2]] for r in rows.values()] or [np.zeros(0)]) for c in (1, 3))
+    fold = np.repeat(list(rows), np.array([r[2].sum() for r in rows.values()], int))
+    shared = spark.sparkContext.broadcast(rows)
 
     def out_of_fold(tries: list[dict]) -> np.ndarray:
-        jobs = [(i, k, settings) for i, settings in enumerate(tries) for k in folds]
+        jobs = [(i, k, settings) for i, settings in enumerate(tries) for k in rows]
 
         def fitted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            x, y, fold, n = shared.value
             for batch in batches:
                 for i, k, settings in (jobs[j] for j in batch["id"]):
-                    model = boosting.boost(x, y, held=fold == k, count=n, **settings)
-                    yield pd.DataFrame({"i": [i], "k": [k], "p": [model.score(x[fold == k])]})
-
-        p = np.full((len(tries), len(rows)), np.nan)
-        for r in spark.range(0, len(jobs), 1, max(1, len(jobs))).mapInPandas(fitted, "i long, k long, p array<double>").collect():
-            p[r.i, fold == r.k] = r.p
+                    bins, y, held, n, cuts = shared.value[k]
+                    x = boosting.of_bins(bins, cuts)
+                    model = boosting.boost(x, y, held=held, count=n, cuts=cuts, **settings)
+                    yield pd.DataFrame({"i": [i], "k": [k], "p": [model.score(x[held]).tobytes()]})
+
+        p = np.full((len(tries), len(y)), np.nan)
+        for r in spark.range(0, len(jobs), 1, max(1, len(jobs))).mapInPandas(fitted, "i long, k long, p binary").collect():
+            p[r.i, fold == r.k] = np.frombuffer(r.p)
         return p
 
     def loss(p: np.ndarray) -> float:
-        q, known = np.clip(p, 1e-15, 1 - 1e-15), ~np.isnan(p)
-        return float(np.average(-(y * np.log(q) + (1 - y) * np.log(1 - q))[known], weights=n[known])) if known.any() else float("nan")
+        q = np.clip(p, 1e-15, 1 - 1e-15)
+        return float(np.average(-(y * np.log(q) + (1 - y) * np.log(1 - q)), weights=n)) if len(q) else float("nan")
 
     tried = {name: loss(p) for name, p in zip(VARIANTS, out_of_fold(list(VARIANTS.values())))}
     best = min(tried, key=lambda v: (tried[v], v))

@@ -344,6 +344,28 @@ def test_tuning_counts(spark, monkeypatch):
     assert q_learn.tallied(spark.createDataFrame(made), [*q_learn.X, "label"])["n"].sum() == 3
 
 
+def test_tuning_is_whole(spark, monkeypatch):
+    """All labelled rows count, also where more than ``FIT_ROWS`` are distinct and values share bins."""
+    rng = np.random.default_rng(7)
+    made = pd.DataFrame(0.0, index=range(900), columns=q_learn.X)
+    made["name_words"], made["num_jaccard"], made["name_exact"] = rng.random(900), rng.integers(0, 200, 900) / 199, rng.integers(0, 2, 900)
+    made = made.assign(s1_id=[f"S1-{i}" for i in range(900)], cand_id="S2-1", fold=rng.integers(0, 3, 900), label=(rng.random(900) < 0.1 + 0.8 * made["name_words"]).astype(float))
+    monkeypatch.setattr(q_learn, "labelled", lambda *_: spark.createDataFrame(made).repartition(3))
+    monkeypatch.setattr(q_learn, "FIT_ROWS", 50)
+    monkeypatch.setattr(q_learn, "VARIANTS", {"base": {}, "features60": {"features": 0.6}})
+    got = {r.variant: r.logloss for r in q_learn.ml_tune(spark, "").collect()}
+    y, fold, models = made["label"].to_numpy(), made["fold"].to_numpy(), {v: q_learn.fold_models(made, **s) for v, s in q_learn.VARIANTS.items()}
+    for v, m in models.items():
+        p = np.choose(fold, [m[k].score(made[q_learn.X].to_numpy(float)) for k in range(3)])
+        assert abs(got[v] + (y * np.log(p) + (1 - y) * np.log(1 - p)).mean()) < 1e-4
+    seen = q_learn.binned(q_learn.labelled())
+    assert all(n.sum() == 900 and n[held].sum() == (fold == k).sum() for k, (_, _, held, n, _) in seen.items())
+    one = made.assign(label=(fold == 1).astype(float))
+    assert sorted(q_learn.binned(spark.createDataFrame(one))) == [0, 2]
+    monkeypatch.setattr(q_learn, "labelled", lambda *_: spark.createDataFrame(made).limit(0))
+    assert all(math.isnan(r.logloss) for r in q_learn.ml_tune(spark, "").collect())
+
+
 def test_listwise(spark):
     rng = np.random.default_rng(4)
     lists = [rng.standard_normal((rng.integers(2, 6), 2)) for _ in range(2000)]
